@@ -6,13 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import lookalike, mixing, relevance, sentences, termfreq
+from folioflow.llm import lookalike, mixing, neardup, relevance, sentences, termfreq, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_cuts(_t(spark, d, "df")).where("cut").select("doc_number").distinct()
+
+
+def p1_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cuts_by_source(truncation.find_cuts(_t(spark, d, "df"))).withColumn("share_cut", F.round("share_cut", 6))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(_t(spark, d, "df"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_groups(_t(spark, d, "df"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     counts = termfreq.term_counts(termfreq.words_only(_t(spark, d, "token")))
     return termfreq.mark_terms(counts).where("mark is not null").select(F.col("term").alias("term_str"), "mark")

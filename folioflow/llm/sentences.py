@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 CHUNK = 1 << 16
@@ -52,13 +53,12 @@ REPORTING = frozenset(
 REPORTING_CJK = "说道问称写答喊叫"
 
 _THAI = "฀-๿຀-໿က-႟ក-៿"
-_EVENT = re.compile(
-    "\r\n|[\n\r\u2028\u2029\u0085]"
-    "|[.!?…。！？｡।॥؟۔։።⁇⁈⁉‼．]+"
-    "|[\"“”„‟«»「」『』‹›]"
-    "|[()\\[\\]{}（）【】〔〕《》]"
-    f"|(?<=[{_THAI}0-9])[ \u00a0]+(?=[{_THAI}0-9])"
-)
+LINE_MARKS = "\n\r  \u0085"
+_END_MARKS = ".!?…。！？｡।॥؟۔։።⁇⁈⁉‼．"
+_PAIRED = "\"“”„‟«»「」『』‹›()\\[\\]{}（）【】〔〕《》"
+_EVENT = re.compile(f"[{LINE_MARKS}{_PAIRED}{_END_MARKS}](?:(?<=[{_END_MARKS}])[{_END_MARKS}]+)?")
+_EVENT_GAPS = re.compile(f"[{LINE_MARKS}{_PAIRED}{_END_MARKS}](?:(?<=[{_END_MARKS}])[{_END_MARKS}]+)?|(?<=[{_THAI}0-9])[  ]+(?=[{_THAI}0-9])")
+_GAP_SCRIPT = re.compile(f"[{_THAI}]")
 _STRONG = frozenset("!?。！？｡।॥؟۔։።⁇⁈⁉‼")
 _UNSPACED = frozenset("。！？｡।॥։።")
 _CLOSERS = "\"”»’'」』›)]}）】〕》“"
@@ -96,8 +96,13 @@ START = pack(NO_QUOTE, 0, 0, 0, 1)
 
 def _next(text: str, at: int) -> tuple[str, int]:
     """The next character on the line that is no blank, and its place; "" at the line's end."""
+    c = text[at : at + 1]
+    if c and not c.isspace():
+        return c, at
+    if c == " " and not text[at + 1 : at + 2].isspace():
+        return text[at + 1 : at + 2], at + 1
     m = _BLANK.search(text, at)
-    if not m or any(c in "\n\r\u2028\u2029\u0085" for c in text[at : m.start()]):
+    if not m or any(c in LINE_MARKS for c in text[at : m.start()]):
         return "", at
     return m.group(), m.start()
 
@@ -114,16 +119,20 @@ def _stop_ends(text: str, start: int, end: int) -> bool:
     direct = at == follow
     if nxt in ",;:，；：、":
         return False
-    if any(c in _UNSPACED for c in marks):
-        return True
-    if any(c in _STRONG for c in marks):
-        return not nxt.islower() and not (direct and nxt.isalnum())
+    if marks != ".":
+        if not _UNSPACED.isdisjoint(marks):
+            return True
+        if not _STRONG.isdisjoint(marks):
+            return not nxt.islower() and not (direct and nxt.isalnum())
     if nxt.islower():
         return False
     if direct and follow == end and (nxt.isalnum() or nxt in "-/@&_%$€£+=*"):
         return False
     if marks != ".":  # an ellipsis
         return not nxt.islower()
+    back = text.rfind(" ", max(0, start - 40), start) + 1
+    if back and start - back > 6 and text[back:start].isalpha():
+        return True
     token = _TOKEN_BACK.search(text, max(0, start - 40), start).group()
     low = token.lower().lstrip("'‘’-–—*")
     if not low:
@@ -191,76 +200,96 @@ def _quote_ends(text: str, at: int, first: bool) -> bool:
     return True
 
 
-def events(text: str, low: int = 0, high: int | None = None) -> list[tuple[int, int, int, bool, bool, bool]]:
-    """Input symbols of text[low:high]: (place, its end with closers, symbol, ends if it is the first thing quoted, ends
-    otherwise, whether anything but blanks stands between it and the symbol before)."""
+def events(text: str, low: int = 0, high: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """Input symbols of text[low:high]: (start, end, symbol, whether anything but blanks stands before it since the last one)."""
     high = len(text) if high is None else high
-    found: list[tuple[int, int, int, bool, bool, bool]] = []
     seen = low
-    pos = low
-    while True:
-        m = _EVENT.search(text, pos)
-        if not m or m.start() >= high:
-            break
-        start, end, s = m.start(), m.end(), m.group()
-        c = s[0]
-        between = bool(_BLANK.search(text, seen, start)) if start > seen else False
-        if c in "\n\r\u2028\u2029\u0085":
-            found.append((start, end, LINE, True, True, between))
-        elif c in " \u00a0":
-            left, right = text[start - 1], text[end]
-            ends = not (left.isdigit() and right.isdigit()) and (not left.isdigit() or not right.isdigit())
-            thai = not left.isdigit() or not right.isdigit()
-            found.append((start, start, GAP, ends and thai, ends and thai, between))
-        elif c in _QUOTE_SYMBOL:
-            found.append((start, end, _QUOTE_SYMBOL[c], _quote_ends(text, start, True), _quote_ends(text, start, False), between))
-        elif c in "()[]{}（）【】〔〕《》":
-            symbol = OPEN_BR if c in _OPEN_BRACKET else CLOSE_BR
-            ends = symbol == CLOSE_BR and _quote_ends(text, start, True)
-            found.append((start, end, symbol, ends, False, between))
-        else:
-            stop = _stop_ends(text, start, end)
-            found.append((start, end, END, stop, stop, between))
-        pos = seen = end
-    return found
-
-
-def step(state: int, event: tuple[int, int, int, bool, bool, bool]) -> tuple[int, bool]:
+    size = len(text)
+    pattern = _EVENT if text.isascii() or not _GAP_SCRIPT.search(text) else _EVENT_GAPS
+    for m in pattern.finditer(text, low):
+        start, end = m.span()
+        if start >= high:
+            return
+        mark = text[start]
+        if mark == "." and end - start == 1 and end < size:
+            # a point between letters or digits, or before a small letter, neither ends a sentence nor changes the state
+            after = text[end]
+            if after.isalnum() or (after == " " and end + 1 < size and text[end + 1].islower()):
+                continue
+        between = 1 if start > seen and not text[seen:start].isspace() else 0
+        seen = end
+        yield start, end, _SYMBOL.get(mark, END), between
+
+
+def decide(text: str, start: int, end: int, symbol: int, first: int) -> int:
+    """Whether a sentence may end behind the symbol, by the characters around it."""
+    if symbol == END:
+        return int(_stop_ends(text, start, end))
+    if symbol == GAP:
+        return int(not (text[start - 1].isdigit() and text[end].isdigit()))
+    return int(_quote_ends(text, start, bool(first)))
+
+
+def _step(state: int, symbol: int, between: int, ends: int) -> tuple[int, bool]:
     """The next state, and whether a sentence ends behind this symbol."""
     quote, quote_first, depth, bracket_first, fresh = unpack(state)
-    _, _, symbol, ends_first, ends, between = event
     if between:
         fresh = 0
     if symbol == LINE:
         return START, True
-    if symbol == END or symbol == GAP:
-        cut = ends and quote == NO_QUOTE and depth == 0
-        return (START, True) if cut else (pack(quote, quote_first, depth, bracket_first, fresh if symbol == GAP else 0), False)
+    if symbol in (END, GAP):
+        if ends and quote == NO_QUOTE and depth == 0:
+            return START, True
+        return pack(quote, quote_first, depth, bracket_first, fresh if symbol == GAP else 0), False
     if symbol == OPEN_BR:
-        if depth == 0:
-            bracket_first = fresh
-        return pack(quote, quote_first, min(3, depth + 1), bracket_first, 0), False
+        return pack(quote, quote_first, min(3, depth + 1), bracket_first if depth else fresh, 0), False
     if symbol == CLOSE_BR:
-        if depth == 0:
-            return pack(quote, quote_first, 0, 0, 0), False
-        cut = depth == 1 and quote == NO_QUOTE and bool(bracket_first) and ends_first
-        return (START, True) if cut else (pack(quote, quote_first, depth - 1, bracket_first if depth > 1 else 0, 0), False)
+        if depth == 1 and quote == NO_QUOTE and bracket_first and ends:
+            return START, True
+        return pack(quote, quote_first, max(0, depth - 1), bracket_first if depth > 1 else 0, 0), False
+    if _closes(quote, symbol):
+        if depth == 0 and ends:
+            return START, True
+        return pack(NO_QUOTE, 0, depth, bracket_first, 0), False
     opened = {STRAIGHT: Q_STRAIGHT, OPEN_CURLY: Q_CURLY, LOW: Q_LOW, OPEN_GUIL: Q_GUIL, OPEN_CORNER: Q_CORNER}.get(symbol)
-    closes = (
-        (quote == Q_STRAIGHT and symbol == STRAIGHT)
-        or (quote == Q_CURLY and symbol == CLOSE_CURLY)
-        or (quote == Q_LOW and symbol in (OPEN_CURLY, CLOSE_CURLY, STRAIGHT))
-        or (quote == Q_GUIL and symbol == CLOSE_GUIL)
-        or (quote == Q_CORNER and symbol == CLOSE_CORNER)
-    )
-    if closes:
-        cut = depth == 0 and (ends_first if quote_first else ends)
-        return (START, True) if cut else (pack(NO_QUOTE, 0, depth, bracket_first, 0), False)
     if quote == NO_QUOTE and opened is not None:
         return pack(opened, fresh, depth, bracket_first, 0), False
     return pack(quote, quote_first, depth, bracket_first, 0), False
 
 
+def _closes(quote: int, symbol: int) -> bool:
+    return symbol in {Q_STRAIGHT: (STRAIGHT,), Q_CURLY: (CLOSE_CURLY,), Q_LOW: (OPEN_CURLY, CLOSE_CURLY, STRAIGHT), Q_GUIL: (CLOSE_GUIL,), Q_CORNER: (CLOSE_CORNER,)}.get(quote, ())
+
+
+def _compile() -> tuple[list[list[int]], list[list[int]]]:
+    """The transducer as tables: next state (plus ``CUT`` where a sentence ends) by state and symbol * 4 + between * 2 + ends;
+    and by state and symbol: 0 if the neighbourhood does not matter, 1 if it does, 2 if it does as the first thing of a sentence."""
+    table, asks = [], []
+    for state in range(STATES):
+        quote, quote_first, depth, bracket_first, _ = unpack(state)
+        row, ask = [], []
+        for symbol in range(SYMBOLS):
+            for between in (0, 1):
+                for ends in (0, 1):
+                    after, cut = _step(state, symbol, between, ends)
+                    row.append(after + CUT * cut)
+            if symbol in (END, GAP):
+                ask.append(int(quote == NO_QUOTE and depth == 0))
+            elif symbol == CLOSE_BR:
+                ask.append(2 * int(depth == 1 and quote == NO_QUOTE and bracket_first))
+            else:
+                ask.append((1 + quote_first) * int(_closes(quote, symbol) and depth == 0))
+        table.append(row)
+        asks.append(ask)
+    return table, asks
+
+
+CUT = 1 << 10
+SYMBOLS = 13
+_SYMBOL = _QUOTE_SYMBOL | dict.fromkeys(LINE_MARKS, LINE) | dict.fromkeys(" \u00a0", GAP) | dict.fromkeys("([{（【〔《", OPEN_BR) | dict.fromkeys(")]}）】〕》", CLOSE_BR)
+TABLE, ASKS = _compile()
+
+
 def _closing(text: str, at: int, symbol: int) -> int:
     """End of a sentence that ends with the symbol ending at ``at``: closing quotes and brackets count."""
     if symbol in (LINE, GAP):
@@ -274,22 +303,24 @@ def _closing(text: str, at: int, symbol: int) -> int:
     return at
 
 
-def cuts(text: str, state: int, found: list) -> tuple[list[int], int]:
-    """Places where sentences end, and the state behind the last symbol."""
-    places = []
+def cuts(text: str, state: int, low: int = 0, high: int | None = None) -> tuple[list[int], int]:
+    """Places in text[low:high] where sentences end, and the state behind it."""
+    places: list[int] = []
     skip = -1
-    for event in found:
-        if event[0] < skip:
+    for start, end, symbol, between in events(text, low, high):
+        if start < skip:
             continue
-        state, cut = step(state, event)
-        if cut:
-            at = event[0] if event[2] == LINE else _closing(text, event[1], event[2])
-            if event[2] == LINE:
-                places.append(event[0])
-                places.append(event[1])
+        ask = ASKS[state][symbol]
+        ends = decide(text, start, end, symbol, ask == 2) if ask else 0
+        state = TABLE[state][symbol * 4 + between * 2 + ends]
+        if state >= CUT:
+            state -= CUT
+            if symbol == LINE:
+                places.append(start)
+                places.append(end)
             else:
-                places.append(at)
-                skip = at
+                skip = _closing(text, end if symbol != GAP else start, symbol)
+                places.append(skip)
     return places, state
 
 
@@ -303,7 +334,7 @@ def spans_between(text: str, places: list[int]) -> list[tuple[int, int]]:
         start = last + len(piece) - len(piece.lstrip())
         end = place - (len(piece) - len(piece.rstrip()))
         if end > start:
-            if any(c.isalnum() for c in text[start:end]):
+            if text[start].isalnum() or text[end - 2 : end - 1].isalnum() or any(c.isalnum() for c in text[start:end]):
                 out.append((start, end))
             elif out and "\n" not in text[out[-1][1] : start] and "\r" not in text[out[-1][1] : start]:
                 out[-1] = (out[-1][0], end)
@@ -315,17 +346,31 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     """Spans of the sentences of one text."""
     if not text or text.isspace():
         return []
-    places, _ = cuts(text, START, events(text))
+    places, _ = cuts(text, START)
     return spans_between(text, places)
 
 
 def transition(text: str, low: int, high: int) -> np.ndarray:
-    """The chunk text[low:high] as a function: for every state before it, the state behind it."""
-    at = np.arange(STATES, dtype=np.int16)
-    for event in events(text, low, high):
-        table = {int(s): step(int(s), event)[0] for s in np.unique(at)}
-        at = np.array([table[int(s)] for s in at], dtype=np.int16)
-    return at
+    """The chunk text[low:high] as a function: for every state before it, the state behind it.
+
+    Symbols swallowed as closers of a sentence that has just ended are told by their place, so that a state carries it along.
+    """
+    at = [(s, -1) for s in range(STATES)]
+    for start, end, symbol, between in events(text, low, high):
+        after: dict[tuple[int, int], tuple[int, int]] = {}
+        for now in set(at):
+            state, skip = now
+            if start < skip:
+                after[now] = now
+                continue
+            ask = ASKS[state][symbol]
+            to = TABLE[state][symbol * 4 + between * 2 + (decide(text, start, end, symbol, ask == 2) if ask else 0)]
+            if to < CUT:
+                after[now] = (to, skip)
+            else:
+                after[now] = (to - CUT, skip if symbol == LINE else _closing(text, start if symbol == GAP else end, symbol))
+        at = [after[x] for x in at]
+    return np.array([s for s, _ in at], dtype=np.int16)
 
 
 def prefix_states(functions: np.ndarray, start: int = START) -> np.ndarray:
@@ -339,9 +384,14 @@ def prefix_states(functions: np.ndarray, start: int = START) -> np.ndarray:
     return np.concatenate([[start], scan[:-1, start]]) if n else np.array([], dtype=np.int64)
 
 
-@F.pandas_udf(SPANS)
-def spans_of(texts: pd.Series) -> pd.Series:
-    return texts.map(sentence_spans)
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and text to keys and spans."""
+    for batch in batches:
+        found = [sentence_spans(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+        places = np.array([x for spans in found for x in spans], dtype=np.int32).reshape(-1, 2)
+        keys = [batch.column(i).take(rows) for i in range(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(places[:, 0]), pa.array(places[:, 1])], names=[*batch.schema.names[:-1], "start_char", "end_char"])
 
 
 def _chunk_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -362,7 +412,7 @@ def _chunk_cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for piece, lead, n, state, k, size in zip(pdf["_piece"], pdf["_lead"], pdf["_n"], pdf["_state"], pdf["_k"], pdf["_size"], strict=True):
-            places, _ = cuts(piece, int(state), events(piece, lead, lead + n))
+            places, _ = cuts(piece, int(state), lead, lead + n)
             out.append([int(k) * int(size) + p - lead for p in places])
         yield pd.DataFrame({"_row": pdf["_row"], "_k": pdf["_k"], "_cuts": out})
 
@@ -381,7 +431,9 @@ def sentences(df: DataFrame, keys: list[str], text: str = "text", chunk: int = C
     src = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     kept = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
     size = F.length("_text")
-    spans = src.where(size <= chunk).select(*kept, F.inline(spans_of("_text")))
+    short = src.where(size <= chunk).select(*kept, "_text")
+    schema = T.StructType([*short.schema.fields[:-1], *SPANS.elementType.fields])
+    spans = short.mapInArrow(_short, schema)
     long = src.where(size > chunk).withColumn("_row", F.xxhash64(*[f"_k{i}" for i in range(len(keys))], "_text"))
     at = F.col("_k").cast("long") * chunk
     pieces = long.select("_row", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("_k"), "_text").distinct()
