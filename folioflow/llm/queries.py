@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import lookalike, mixing, neardup, relevance, sentences, termfreq, truncation
+from folioflow.llm import leakage, lookalike, mixing, neardup, relevance, sentences, subjects, termfreq, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -43,6 +43,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(_t(spark, d, "df"), ["doc_number"]).distinct()
 
 
+def _shares(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_shares(_t(spark, d, "df"), _t(spark, d, "topic_keys"), _t(spark, d, "labels"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _shares(spark, d).select("doc_number", "subject")
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.corpus_shares(_shares(spark, d)).withColumn("share", F.round("share", 6))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     scored = relevance.relevance(termfreq.words_only(_t(spark, d, "token")))
     return scored.where("tf >= 4 and df <= 8").select("doc_id", "term_id")
@@ -52,6 +64,14 @@ def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     return relevance.relevance(termfreq.words_only(_t(spark, d, "token"))).withColumn("score", F.round("score", 6))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).where("longest_run >= 12").select("item_id", "doc_id")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.unmet_targets(_t(spark, d, "documents"), _t(spark, d, "source_targets")).select("source")
 
