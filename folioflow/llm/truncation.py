@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,7 @@ _BRACKETED_ELLIPSIS = re.compile(r"\s*(?:[\[(]\s*(?:\.{2,}|…)\s*[\])]|(?:\.{2,
 _ELLIPSIS = re.compile(r"\s*(?:\.{2,}|…)\s*$")
 _END_QUOTE = re.compile("([.!?…。！？।]+)([\"”»“’)\\]」』]+)$")
 _QUOTED_END = re.compile("[.!?…。！？।][\"”»“](?![\"”»“])")
+_POINT = re.compile(r"\.(?=[\s\"”»)])")
 _UNSURE = re.compile(r"(?:[^\W\d_]{1,5}|[^\W\d_](?:\.[^\W\d_])+|[$€£¥]?[\d.,:]*\d)\.(?=\s|$|[\"”»)])")
 _END_MARK = frozenset(".!?…。！？।॥؟۔")
 _THAI = re.compile(f"[{S._THAI}]")
@@ -51,6 +53,7 @@ _SUFFIXES = (16, 12, 9, 6, 4)
 _ALL_ABBREVIATIONS = S.TITLES | S.MAY_END | S.BEFORE_NUMBER
 
 
+@lru_cache(maxsize=1 << 16)
 def shape(token: str) -> str:
     """A word as the contexts know it: names as X, digits as 9."""
     low = re.sub(r"\d+", "9", token.lower())
@@ -119,16 +122,16 @@ def ending(text: str) -> tuple[str, list[str], int]:
 def inside(text: str, keys: Counter) -> None:
     """Adds how often a sentence ends, and how often not, behind every unsure place within the text."""
     body = text.rstrip()
-    for m in _UNSURE.finditer(body):
-        if m.end() >= len(body):
-            break
-        start = m.start()
-        while start > 0 and not body[start - 1].isspace():
-            start -= 1
-        token = body[start : m.end() - 1].lstrip("(\"“«'").lower()
+    for m in _POINT.finditer(body):
+        point = m.start()
+        start = max(body.rfind(" ", max(0, point - 40), point), body.rfind("\n", max(0, point - 40), point)) + 1
+        token = body[start:point]
+        if point + 1 >= len(body) or (len(token) > 5 and token.isalpha()):
+            continue
+        token = token.lstrip("(\"“«'").lower()
         if token[-1:].isdigit() or token in _ALL_ABBREVIATIONS or len(token) == 1 or "." in token:
-            ends = S._stop_ends(body, m.end() - 1, m.end())
-            for key in contexts(body, m.end()):
+            ends = S._stop_ends(body, point, point + 1)
+            for key in contexts(body, point + 1):
                 keys[key, ends] += 1
     for m in _QUOTED_END.finditer(body):
         if m.end() < len(body):
