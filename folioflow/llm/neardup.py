@@ -29,9 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
+FILTER_BITS = 23
 _BLOCK = 4096
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,16 +126,37 @@ def _prefixes(width: int, rank: np.ndarray, threshold: float):  # noqa: ANN202
             place = np.arange(longest.sum()) - np.repeat(np.cumsum(longest) - longest, longest)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(grams[np.repeat(starts, longest) + place].astype(np.uint32).view(np.int32)), pa.array(np.repeat(classes, longest)),
-                    pa.array((np.repeat(sizes, longest) << 32) | place),
+                    pa.array(((grams[np.repeat(starts, longest) + place] << np.uint64(32)) | place.astype(np.uint64)).view(np.int64)),
+                    pa.array(np.repeat(classes, longest)), pa.array(np.repeat(sizes, longest)),
                 ],
-                names=["g", "c", "at"],
+                names=["g", "c", "n"],
             )
 
     return emit
 
 
-def _whole_sets(width: int):  # noqa: ANN202
+def _slots(classes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_mix(classes.view(np.uint64) + _SEED) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+    for batch in batches:
+        for i in (0, 1):
+            bits[_slots(batch.column(i).to_numpy())] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+
+def class_filter(pairs: DataFrame) -> np.ndarray:
+    """A filter of fixed size (2 ** FILTER_BITS bits) that lets pass every class in ``pairs``."""
+    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+    for r in pairs.coalesce(8).mapInArrow(_present, "bits binary").toLocalIterator():
+        bits |= np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)).astype(bool)
+    return bits
+
+
+def _whole_sets(width: int, wanted: np.ndarray):  # noqa: ANN202
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -142,6 +164,8 @@ def _whole_sets(width: int):  # noqa: ANN202
             starts, classes = heads
             ends = np.r_[starts[1:], len(owner)]
             packed = grams.astype(np.uint32)
+            some = wanted[_slots(classes)] if len(classes) else np.array([], dtype=bool)
+            starts, ends, classes = starts[some], ends[some], classes[some]
             rows = [(c, packed[a:z].tobytes()) for c, a, z in zip(classes.tolist(), starts.tolist(), ends.tolist()) if c not in seen and not seen.add(c)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["c", "grams"])
 
@@ -175,28 +199,25 @@ def _similar(threshold: float):  # noqa: ANN202
 
 def similar_classes(texts: DataFrame, width: int = 3, threshold: float = 0.5) -> DataFrame:
     """ca, cb of every pair of classes whose sets of n-grams have at least ``threshold`` of their union in common."""
-    rank = gram_sketch(texts, width)
-    prefix = texts.mapInArrow(_prefixes(width, rank, threshold), "g int, c long, at long")
-
-    def size(at: Column) -> Column:
-        return F.shiftright(at, 32)
-
-    def place(at: Column) -> Column:
-        return at.bitwiseAND(0xFFFFFFFF)
+    from folioflow.plans.lineage import settle
 
+    rank = gram_sketch(texts, width)
+    prefix = texts.mapInArrow(_prefixes(width, rank, threshold), "g long, c long, n long")
     x, y = prefix.alias("x"), prefix.alias("y")
-    xa, ya = F.col("x.at"), F.col("y.at")
-    share = 2 * threshold / (1 + threshold)
-    # written so that no side of the join can be filtered alone: both are one and the same shuffle
-    smaller = (size(xa) < size(ya)) | ((size(xa) == size(ya)) & (F.col("x.c") < F.col("y.c")))
-    indexed = place(xa) * size(ya) < (size(xa) - F.ceil(size(xa) * share - 1e-9) + 1) * size(ya)
-    close = size(xa) >= size(ya) * threshold - 1e-9
-    product = x.join(y, (F.col("x.g") == F.col("y.g")) & smaller & close & indexed)
-    sums = product.groupBy(F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).agg(F.count(F.lit(1)).alias("n"), F.max("x.at").alias("xa"), F.max("y.at").alias("ya"))
-    left = F.least(size(F.col("xa")) - place(F.col("xa")), size(F.col("ya")) - place(F.col("ya"))) - 1
-    enough = (size(F.col("xa")) + size(F.col("ya"))) * (threshold / (1 + threshold)) - 1e-9
-    candidates = sums.where(F.col("n") + left >= enough).select("ca", "cb")
-    sets = texts.mapInArrow(_whole_sets(width), "c long, grams binary").groupBy("c").agg(F.first("grams").alias("grams"))
+    xn, yn = F.col("x.n"), F.col("y.n")
+    xp, yp = F.col("x.g").bitwiseAND(0xFFFFFFFF), F.col("y.g").bitwiseAND(0xFFFFFFFF)
+    # every condition is of both sides, so that none is filtered before it is shuffled: both sides are one and the same shuffle
+    smaller = (xn < yn) | ((xn == yn) & (F.col("x.c") < F.col("y.c")))
+    indexed = (xn - xp) * yn > (F.ceil(xn * (2 * threshold / (1 + threshold)) - 1e-9) - 1) * yn
+    close = xn >= yn * threshold - 1e-9
+    least = F.ceil((xn + yn) * (threshold / (1 + threshold)) - 1e-9)
+    behind = F.least(xn - xp, yn - yp) - 1
+    reaches = F.least(xp, yp) + 1 + behind >= least
+    product = x.join(y, (F.shiftright("x.g", 32) == F.shiftright("y.g", 32)) & smaller & close & indexed & reaches)
+    # the last shared column has the least behind it: overlap so far and what is behind must reach the least overlap
+    sums = product.groupBy(F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).agg(F.count(F.lit(1)).alias("n"), F.min((behind - least).cast("int")).alias("slack"))
+    candidates = settle(sums.where(F.col("n") + F.col("slack") >= 0).select("ca", "cb"))
+    sets = texts.mapInArrow(_whole_sets(width, class_filter(candidates)), "c long, grams binary").groupBy("c").agg(F.first("grams").alias("grams"))
     paired = candidates.join(sets.select(F.col("c").alias("ca"), F.col("grams").alias("a")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("grams").alias("b")), "cb")
     return paired.select("ca", "cb", "a", "b").mapInArrow(_similar(threshold), "ca long, cb long")
 
