@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.operators import records
+from folioflow.plans import corpus_queries, signal_queries, string_queries, vector_queries
+
+_PARTS = (corpus_queries, vector_queries, signal_queries, string_queries)
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -25,7 +28,7 @@ def p7_valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found, "p7_valid": p7_valid}
+    return {"p7_found": p7_found, "p7_valid": p7_valid} | {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 
 
 _FIELD = '("(?:[^"]|"")*"|[^",]*)'
@@ -46,4 +49,4 @@ ORACLES: dict[str, str] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {k: q for part in _PARTS for k, q in part.ORACLES.items()}
