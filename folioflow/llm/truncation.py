@@ -195,9 +195,12 @@ def length_hazards(lengths: DataFrame, neighbours: int = 25, rate: float = 0.01)
     near = by.rangeBetween(-neighbours, neighbours)
     others = F.sum("n").over(near) - F.col("n")
     exposure = (F.sum("at_risk").over(near) - F.col("at_risk")) / F.nullif(F.count(F.lit(1)).over(near) - 1, F.lit(0))
-    # lengths no text has count as neighbours with hazard 0; half an event keeps the expectation above zero
-    usual = (others + 0.5) / (2 * neighbours) / F.coalesce(exposure, F.col("at_risk"))
-    tested = risk.withColumn("hazard", F.col("n") / F.col("at_risk")).withColumn("expected", usual * F.col("at_risk")).withColumn("log10_p", _tail(F.col("n").cast("double"), F.col("expected")))
+    # near the longest texts hazards rise steeply: there the neighbours' mean number is what is expected at least
+    # lengths within reach that no text has count as neighbours with hazard 0; half an event keeps the expectation above zero
+    longest = F.max("length").over(Window.partitionBy("source"))
+    reach = F.least(F.lit(neighbours), F.col("length")) + F.least(F.lit(neighbours), longest - F.col("length"))
+    usual = (others + 0.5) / reach / F.coalesce(exposure, F.col("at_risk"))
+    tested = risk.withColumn("hazard", F.col("n") / F.col("at_risk")).withColumn("expected", F.greatest(usual * F.col("at_risk"), (others + 0.5) / reach)).withColumn("log10_p", _tail(F.col("n").cast("double"), F.col("expected")))
     rank = Window.partitionBy("source").orderBy("log10_p", "length")
     tests = F.count(F.lit(1)).over(Window.partitionBy("source"))
     passed = F.col("log10_p") <= F.log10(F.row_number().over(rank) * rate / tests)
