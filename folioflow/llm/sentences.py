@@ -50,6 +50,12 @@ REPORTING = frozenset(
     "dijo preguntó respondió añadió dit demanda répondit ajouta sagte fragte antwortete rief meinte "
     "сказал сказала спросил спросила ответил ответила добавил заметил कहा पूछा बोला".split()
 )
+# Words with which a new sentence begins rather than the naming of a speaker.
+STARTERS = frozenset(
+    "the a an he she it they we i you but and so or in at on for by is are was who what when where why how which this that these those "
+    "mr mrs ms dr prof st some every neither only last more most with officials there their his her its no not as if after before then yet now "
+    "el la los las un una en le les un une der die das ein eine".split()
+)
 REPORTING_CJK = "说道问称写答喊叫"
 
 _THAI = "฀-๿຀-໿က-႟ក-៿"
@@ -194,6 +200,10 @@ def _quote_ends(text: str, at: int, first: bool) -> bool:
         words += 1
         if words > 6:
             break
+    if text[i] in "!?" and nxt.isupper():
+        word = _NEXT_WORD.match(text, place)
+        if word and word.group().lower() not in STARTERS:
+            return False
     clause = re.match("[^\\n。！？“”，,.!?]{1,16}", text[place : place + 16])
     if clause and "㐀" <= nxt <= "鿿" and any(v in clause.group() for v in REPORTING_CJK):
         return False
