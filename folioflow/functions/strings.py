@@ -257,3 +257,91 @@ def column(f: Callable, kind: T.DataType):  # noqa: ANN201
         return pd.Series([None if any(v is None for v in row) else f(*[list(v) if not isinstance(v, (str, int, float)) else v for v in row]) for row in zip(*args, strict=True)], dtype=object)
 
     return apply
+
+
+def _row_after(row: list[int], symbol: str, string: str) -> list[int]:
+    """The next row of the distance table of a candidate against a string, when the candidate gets one more symbol."""
+    out = [row[0] + 1]
+    for j, c in enumerate(string):
+        out.append(min(row[j] + (c != symbol), row[j + 1] + 1, out[j] + 1))
+    return out
+
+
+def greedy_median(strings: list[str], weights: list[float] | None = None) -> str:
+    """A generalized median grown symbol by symbol: each time the symbol after which the strings can still come nearest.
+
+    Of all strings grown on the way, up to twice the longest and one more, the one with the least weighted sum of
+    distances is taken; of equal symbols the first in order.
+    """
+    weights = weights or [1.0] * len(strings)
+    rows = [list(range(len(s) + 1)) for s in strings]
+    symbols = sorted({c for s in strings for c in s})
+    grown, best, least = "", "", sum(w * len(s) for s, w in zip(strings, weights))
+    for _ in range(2 * max((len(s) for s in strings), default=0) + 1):
+        picked = None
+        for symbol in symbols:
+            after = [_row_after(r, symbol, s) for r, s in zip(rows, strings)]
+            nearest, total = sum(w * min(r) for r, w in zip(after, weights)), sum(w * r[-1] for r, w in zip(after, weights))
+            if picked is None or (nearest, total) < picked[:2]:
+                picked = (nearest, total, symbol, after)
+        if picked is None or picked[0] > least:
+            break
+        grown += picked[2]
+        rows = picked[3]
+        if picked[1] < least:
+            best, least = grown, picked[1]
+    return best
+
+
+def improve_median(start: str, strings: list[str], weights: list[float] | None = None) -> str:
+    """One pass over the places of a string: each is replaced, deleted or gets a symbol before it, where that brings the strings nearest."""
+    weights = weights or [1.0] * len(strings)
+    symbols = sorted({c for s in strings for c in s})
+
+    def total(x: str) -> float:
+        return sum(w * distance(x, s) for s, w in zip(strings, weights))
+
+    at, least = 0, total(start)
+    while at <= len(start):
+        options = [(start[:at] + c + start[at + 1 :], 1) for c in symbols if at < len(start)] + [(start[:at] + c + start[at:], 1) for c in symbols]
+        if at < len(start):
+            options.append((start[:at] + start[at + 1 :], 0))
+        best, step = min(((x, n) for x, n in options), key=lambda o: total(o[0]), default=(start, 1))
+        if total(best) < least:
+            start, least = best, total(best)
+            at += step
+        else:
+            at += 1
+    return start
+
+
+def opcodes(a: str, b: str) -> list[tuple[str, int, int, int, int]]:
+    """The edit script as blocks: (kind, from, to, from, to), 'equal' where nothing changes."""
+    out: list[tuple[str, int, int, int, int]] = []
+    i = j = 0
+    for op, s, d in [*edit_script(a, b), ("end", len(a), len(b))]:
+        if s > i:
+            out.append(("equal", i, s, j, d))
+        if op == "end":
+            break
+        i, j = s + (op != "insert"), d + (op != "delete")
+        last = out[-1] if out else None
+        if last and last[0] == op and last[2] == s and last[4] == d:
+            out[-1] = (op, last[1], i, last[3], j)
+        else:
+            out.append((op, s, i, d, j))
+    return out
+
+
+def subtract(ops: list, done: list) -> list[tuple[str, int, int]]:
+    """What is left of a script when some of its operations, in order, have been done: it starts from their result."""
+    out, shift, k = [], 0, 0
+    for op, s, d in ops:
+        if k < len(done) and tuple(done[k]) == (op, s, d):
+            shift += {"insert": 1, "delete": -1, "replace": 0}[op]
+            k += 1
+        else:
+            out.append((op, s + shift, d))
+    if k < len(done):
+        raise ValueError("the second script is not part of the first")
+    return out

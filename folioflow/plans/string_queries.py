@@ -114,3 +114,35 @@ def apply_edit(s, d):
     """Parts whose type comes out when the script from name to type is applied to the name: all of them."""
     f = X.column(lambda a, b: X.apply_script(X.edit_script(a, b), a, b), T.StringType())
     return table(s, d, "part").where(f("p_name", "p_type") == F.col("p_type")).select("p_partkey")
+
+
+@query("SELECT * FROM (VALUES ('Spam'), ('Levenshtein')) v(median)")
+def greedy_median(s, d):
+    return s.createDataFrame([(["SpSm", "mpamm", "Spam", "Spa", "Sua", "hSam"],), (SPELLINGS,)], "w array<string>").select(X.column(X.greedy_median, T.StringType())("w").alias("median"))
+
+
+@query("SELECT 'enhtein' AS once, 'Levenshtein' AS twice")
+def improve_median(s, d):
+    better = X.column(X.improve_median, T.StringType())
+    return s.createDataFrame([("spam", SPELLINGS)], "a string, w array<string>").withColumn("once", better("a", "w")).select("once", better("once", "w").alias("twice"))
+
+
+OPCODES = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("s_from", "s_to", "d_from", "d_to")]]))
+
+
+@query("SELECT * FROM (VALUES ('delete', 0, 1, 0, 0), ('equal', 1, 3, 0, 2), ('insert', 3, 3, 2, 3), ('replace', 3, 4, 3, 4)) v(op, s_from, s_to, d_from, d_to)")
+def edit_blocks(s, d):
+    return pairs(s).where("a = 'spam'").select(F.inline(X.column(X.opcodes, OPCODES)("a", "b")))
+
+
+@query("SELECT 'scoman' AS part, 'scotsman' AS whole")
+def subtract_edit(s, d):
+    def part(a: str, b: str) -> str:
+        return X.apply_script(X.edit_script(a, b)[:3], a, b)
+
+    def rest(a: str, b: str) -> str:
+        ops = X.edit_script(a, b)
+        return X.apply_script(X.subtract(ops, ops[:3]), part(a, b), b)
+
+    row = s.createDataFrame([("man", "scotsman")], "a string, b string")
+    return row.select(X.column(part, T.StringType())("a", "b").alias("part"), X.column(rest, T.StringType())("a", "b").alias("whole"))

@@ -20,7 +20,18 @@ def test_measures(a, b):
     assert X.ratio(a, b) <= X.quick_ratio_bound(a, b)
 
 
+@settings(max_examples=200, deadline=None)
+@given(word, word, st.integers(0, 9))
+def test_blocks_and_subtraction(a, b, n):
+    assert "".join(a[i:j] if op == "equal" else b[k:m] for op, i, j, k, m in X.opcodes(a, b)) == b
+    ops = X.edit_script(a, b)
+    middle = X.apply_script(ops[:n], a, b)
+    assert X.apply_script(X.subtract(ops, ops[:n]), middle, b) == b
+
+
 def test_published_values():
+    spellings = ["Levnhtein", "Leveshein", "Leenshten", "Leveshtei", "Lenshtein", "Lvenstein", "Levenhtin", "evenshtei"]
+    assert X.greedy_median(spellings) == "Levenshtein" and X.improve_median("spam", spellings) == "enhtein"
     assert X.edit_script("spam", "park") == [("delete", 0, 0), ("insert", 3, 2), ("replace", 3, 3)]
     assert X.matching_blocks("spam", "park") == [(1, 0, 2), (4, 4, 0)]
     assert round(X.jaro("Thorkel", "Thorgier"), 6) == 0.779762 and X.jaro_winkler("Thorkel", "Thorgier", 0.25) == 1.0
