@@ -36,22 +36,37 @@ def points(names: dict[str, str], any_case: bool = True) -> Rules:
 
 
 # What English texts spell short.
-ENGLISH: Rules = [
+MONEY: Rules = [
     (r"([0-9.,]+) ?bn\b", r"\1 billion"), (r"([0-9.,]+) ?mn\b", r"\1 million"), (r"\$([0-9.,]+[0-9])", r"\1 dollar"),
     (r"\bdollar billion\b", "billion dollar"), (r"\bdollar million\b", "million dollar"),
     (r"\bps ?([0-9.,]+[0-9])b\b", r"\1 billion pound sterling"), (r"\bps ?([0-9.,]+[0-9])m\b", r"\1 million pound sterling"), (r"\bps ?([0-9.,]+[0-9])", r"\1 pound sterling"),
+]
+TIMES: Rules = [
     (r"[0-9]{1,2} ?a\.?m\.?\b", "time_val time_am"), (r"[0-9]{1,2} ?p\.?m\.?\b", "time_val time_pm"),
     (r"[0-9]{1,2}:[0-9]{2} ?a\.?m\.?\b", "time_val time_am"), (r"[0-9]{1,2}:[0-9]{2} ?p\.?m\.?\b", "time_val time_pm"), (r"[0-9]{1,2}:[0-9]{2}", "time_val"),
+]
+SHORT_FORMS: Rules = [
     (r"(?i)\bit's\b", "it is"), (r"(?i)\bhe's\b", "he is"), (r"(?i)\bshe's\b", "she is"), (r"(?i)\bain't\b", "is not"), (r"(?i)\bisn't\b", "is not"), (r"(?i)\baren't\b", "are not"),
     (r"(?i)\blet's\b", "let us"), (r"(?i)\bwon't\b", "will not"), (r"(?i)\bcan't\b", "can not"), (r"(?i)n't", " not"), (r"(?i)\bcannot\b", "can not"),
     (r"([A-Za-z]+)'d", r"\1 had"), (r"(?i)([a-z]+)'ll", r"\1 will"), (r"(?i)([a-z]+)'m", r"\1 am"), (r"(?i)([a-z]+)'ve", r"\1 have"), (r"(?i)([a-z]+)'re", r"\1 are"),
     (r"(?i)\bbull's eye\b", "bullseye"), (r"(?i)\bno man's land\b", "nomansland"), (r"(?i)\bpandora's box\b", "pandoras box"), (r"(?i)\b([a-z]+)'s\b", r"\1"),
-    (r"""(?i)\btoo ?([.,:;)'"\]])""", r"also \1"), (r"(?i)\bun-", "not "), (r"(?i)-like", " xlike"), (r"(?i), well,", " xwell,"), (r"(?i)[\.]{2,} well", " xwell"), (r"(?i)\bWell,", "xwell,"),
+    (r"""(?i)\btoo ?([.,:;)'"\]])""", r"also \1"), (r"(?i)\bun-", "not "),
+]
+VALENCE: Rules = [
+    (r"(?i)-like", " xlike"), (r"(?i), well,", " xwell,"), (r"(?i)[\.]{2,} well", " xwell"), (r"(?i)\bWell,", "xwell,"),
     (r"\bOK\b", "okay"), (r"(?i), okay,", " xokay"), (r"(?i)[\.]{2,} okay", " xokay"), (r"(?i)\bOkay,", "xokay,"),
-    *points({"Que": "Quebec", "Ont": "Ontario", "Nfld": "Newfoundland", "Alta": "Alberta", "Man": "Manitoba", "Sask": "Saskatchewan", "Ala": "Alabama", "Calif": "California", "Mass": "Massachusetts"}, False),
-    *points({"vs": "versus", "St": "St", "Ste": "Ste", "i.e": "that is", "et al": "et alii", "mr": "Mr", "ms": "Ms", "mrs": "Mrs", "prof": "Prof"}),
-    (r"(?i)\ba\. ?m\. ", "am "), (r"(?i)\bp\. ?m\.", "pm "), *points({"dr": "Dr", "gen": "gen"}), (r"(?i)\be\. coli\b", "ecoli"), *points({"inc": "incorporated"}),
-    *points({"Jan": "January", "Feb": "February", "Mar": "March", "Apr": "April", "Jun": "June", "Jul": "July", "Aug": "August", "Sept": "September", "Oct": "October", "Nov": "November", "Dec": "December"}, False),
+]
+PROVINCES: Rules = points({"Que": "Quebec", "Ont": "Ontario", "Nfld": "Newfoundland", "Alta": "Alberta", "Man": "Manitoba", "Sask": "Saskatchewan"}, False)
+STATES: Rules = points({"Ala": "Alabama", "Calif": "California", "Mass": "Massachusetts"}, False)
+VERSUS: Rules = points({"vs": "versus"})
+ADDRESS: Rules = [
+    *points({"St": "St", "Ste": "Ste", "i.e": "that is", "et al": "et alii", "mr": "Mr", "ms": "Ms", "mrs": "Mrs", "prof": "Prof"}),
+    (r"(?i)\ba\. ?m\. ", "am "), (r"(?i)\bp\. ?m\.", "pm "), *points({"dr": "Dr", "gen": "gen"}), (r"(?i)\be\. coli\b", "ecoli"),
+]
+MONTH_NAMES: Rules = points({"Jan": "January", "Feb": "February", "Mar": "March", "Apr": "April", "Jun": "June", "Jul": "July", "Aug": "August", "Sept": "September", "Oct": "October", "Nov": "November", "Dec": "December"}, False)
+INCORPORATED: Rules = points({"inc": "incorporated"})
+ENGLISH: Rules = [
+    *MONEY, *TIMES, *SHORT_FORMS, *VALENCE, *PROVINCES, *STATES, *VERSUS, *ADDRESS, *INCORPORATED, *MONTH_NAMES,
     *fractions((" half ", " one third ", " two thirds ", " one fourth ", " three fourths ", " one fifth ")), *signs((" and ", " percent ", " plus ", " is equal to ", " or ", " number ")),
 ]
 # The same for other languages.
@@ -73,7 +88,14 @@ DUTCH: Rules = [
     *fractions((" de helft ", " een derde ", " twee derde ", " een vierde ", " drie vierde ", " een vijfde ")), *signs((" en ", " procent ", " plus ", " is gelijk aan ", " of ", " nummer ")),
 ]
 DANISH: Rules = [*fractions((" 1div2 ", " 1div3 ", " 2div3 ", " 1div4 ", " 3div4 ", " 1div5 ")), *signs((" og ", " prosent ", " plus ", " er ", " eller ", " nummer "))]
-PACKS = {"english": ENGLISH, "français": FRENCH, "deutsch": GERMAN, "espanol": SPANISH, "nederlands": DUTCH, "dansk": DANISH}
+ITALIAN: Rules = [
+    (r"(?i)\bSig\.", "Signore "), (r"(?i)\bSigg\.", "Signori "), (r"\bS\.", "Santo "), (r"\bSS\.", "Santi "),
+    (r"(?i)\b(bell|grand|sant|quest|quell|tutt|mezz|molt|cent|quant)'([aeiouyhAEIOUYH][A-Za-z0-9_]*?a\b)", r"\1a \2"), (r"(?i)\b(bell|grand|sant|quest|quell|tutt|mezz|molt|cent|quant)'([aeiouyhAEIOUYH])", r"\1o \2"),
+    (r"(?i)\b(buon)'([aeiouyhAEIOUYH])", r"\1a \2"), (r"(?i)\b(fors|dev|diss)'([aeiouyhAEIOUYH])", r"\1e \2"), (r"(?i)l'([aeiouyhAEIOUYH][A-Za-z0-9_]*?a\b)", r"la \1"), (r"(?i)l'([aeiouyhAEIOUYH])", r"lo \1"),
+    (r"(?i)un'([aeiouyhAEIOUYH])", r"una \1"), (r"(?i)d'ora", "da ora"), (r"(?i)d'allora", "da allora"), (r"(?i)(d|m|t|v|s)'([aeiouyhAEIOUYH])", r"\1i \2"), (r"(?i)(gl|c)'([eiEI])", r"\1i \2"), (r"(?i)(n)'([aeiouyhAEIOUYH])", r"\1e \2"),
+    *fractions((" la meta ", " un terzo ", " due terzi ", " un quarto ", " tre quarti ", " un quinto ")), *signs((" e ", " per cento ", " piu ", " e ", " o ", " numero ")),
+]
+PACKS = {"english": ENGLISH, "français": FRENCH, "deutsch": GERMAN, "espanol": SPANISH, "nederlands": DUTCH, "dansk": DANISH, "italiano": ITALIAN}
 
 # Punctuation of every language is reduced to points and commas.
 MARKS: Rules = [
@@ -84,6 +106,16 @@ MARKS: Rules = [
     (r"\.", " . "), (",", " , "), (_BLANK + "{2,}", " "), (",( ,)+", ","), (r"\.( \.)+", "."),
 ]
 
+# The older English chain, which leaves no commas.
+SINGLE_LETTER: Rules = [(r"( [a-zA-Z])\. ", r"\1 ")]
+ACRONYMS: Rules = [(r"(\.)([A-Z])(\.) ", r"\1\2 "), *[(r"([A-Z])(\.)([A-Z])", r"\1\3")] * 5, (r"([0-9])(\.)([0-9])", r"\1dot\3")]
+ENGLISH_NO_COMMAS: Rules = [
+    *ADDRESSES, (r"\[ps\]", ""), (r"\[es\]", ""), *MONEY, *TIMES, ("&", " and "), ("%", " percent"), (r"\+", " plus "), ("=", " is equal to "), ("/", " or "), ("I3 or 4", ""),
+    (r"([#*<>@\\^|~])", r" \1 "), *SHORT_FORMS, (r"(?i)\bba'ath", "baath"), ("!", "."), (r"\?", "."), (";", "."), (r"[\.]{2,}", "."), (":", ","),
+    ('"', ", "), ("'", ", "), ("--", ","), (" - ", ","), (r"\[", ","), (r"\]", ","), (r"\(", ","), (r"\)", ","), (r"\{", ","), (r"\}", ","), (r"\.,", ","), (",( ?,)+", ","), (r"\.( ?\.)+", "."), ("_", " "),
+    *VALENCE, (r"\b([Nn][or])(\. )([0-9]+)\b", r"#\3"), *SINGLE_LETTER, *PROVINCES, *ADDRESS, *VERSUS, *INCORPORATED, *MONTH_NAMES, *ACRONYMS, (r"\.", " . "), (",", " "), (" {2,}", " "), (r"\.( \.)+", "."),
+]
+
 # Word lists to strip, each with the blank behind it.
 STOP_BASIC: Rules = [(r"(?i)\b(a|an|the|and|or|that) ", "")]
 STOP_POSSESSIVE: Rules = [(r"(?i)\b(my|your|his|her|its|our|their) ", "")]

@@ -22,8 +22,9 @@ def _rules(name: str, rules: K.Rules, lang: str | None) -> None:
     ORACLES[name] = f"SELECT doc_id, {K.clean_sql('text', rules)} AS clean FROM documents" + (f" WHERE lang = '{lang}'" if lang else "")
 
 
-for _name, _language, _lang in (("clean_english", "english", "en"), ("clean_french", "français", "fr"), ("clean_german", "deutsch", "de"), ("clean_spanish", "espanol", "es"), ("clean_dutch", "nederlands", "en"), ("clean_danish", "dansk", "en")):
+for _name, _language, _lang in (("clean_english", "english", "en"), ("clean_french", "français", "fr"), ("clean_german", "deutsch", "de"), ("clean_spanish", "espanol", "es"), ("clean_dutch", "nederlands", "en"), ("clean_danish", "dansk", "en"), ("clean_italian", "italiano", "fr")):
     _rules(_name, K.chain(_language), _lang)
+_rules("clean_english_no_commas", K.ENGLISH_NO_COMMAS, "en")
 for _name, _table in (("stop_basic", K.STOP_BASIC), ("stop_possessives", K.STOP_POSSESSIVE), ("concat_not", K.NOT_TOGETHER), ("strip_commas", K.STRIP_COMMAS), ("strip_points", K.STRIP_POINTS), ("unwrap_asterisks", K.UNWRAP_STARS)):
     _rules(_name, _table, None)
 
