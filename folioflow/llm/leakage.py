@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from folioflow.llm import lookalike
+from folioflow.plans.lineage import spread
 
 ITEMS_AT_ONCE = 20_000
 _WORD = re.compile(r"[^\W_]+")
@@ -123,6 +124,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, run: int = 12, budget: int = 1
     """
     spark = docs.sparkSession
     src = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("d"), F.col(text).alias("t"))
+    src = spread(src)
     types = dict(src.dtypes)["d"], dict(items.dtypes)[item]
     out = spark.createDataFrame([], f"{item} {types[1]}, {doc} {types[0]}, longest_run int, changes int")
     block: list[tuple[int, str]] = []

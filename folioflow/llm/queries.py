@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.llm import leakage, lookalike, mixing, neardup, relevance, sentences, subjects, termfreq, truncation
+from folioflow.plans.lineage import settle, spread
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -77,9 +78,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drawn(spark: SparkSession, d: str) -> DataFrame:
-    from folioflow.plans.lineage import settle
-
-    texts = settle(mixing.memberships(mixing.count_tokens(_t(spark, d, "documents"))))
+    texts = settle(mixing.memberships(mixing.count_tokens(spread(_t(spark, d, "documents").select("doc_id", "source", "text")))))
     return mixing.draw(texts, _t(spark, d, "source_targets"))
 
 
@@ -92,12 +91,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").select("doc_id", "text")
+    docs = spread(_t(spark, d, "documents").select("doc_id", "text"))
     return lookalike.unify(docs, scores=lookalike.pair_scores(docs)).where(F.size("kinds") > 0).select("doc_id").distinct()
 
 
 def p10_unified(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").select("doc_id", "text")
+    docs = spread(_t(spark, d, "documents").select("doc_id", "text"))
     return lookalike.unify(docs, scores=lookalike.pair_scores(docs)).select("doc_id", "text_norm", F.array_join("kinds", ",").alias("kinds"))
 
 

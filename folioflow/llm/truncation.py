@@ -214,11 +214,11 @@ def find_cuts(df: DataFrame, key: str = "doc_number", source: str = "source", te
     An unsure ending is complete where sentences end behind it at a rate of ``usual`` or more; of ``strict`` at a
     significant length.  Unknown context: numbers, titles and letters are cuts, other abbreviations are not.
     """
-    from folioflow.plans.lineage import settle
+    from folioflow.plans.lineage import settle, spread
 
     src = df.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text"))
     kind = dict(src.dtypes)["_key"]
-    read = settle(src.mapInPandas(_read, f"kind int, key {kind}, source string, verdict string, keys array<string>, length int, n_chars int, context string, ends long, seen long").withColumn("kind", F.col("kind")))
+    read = settle(spread(src).mapInPandas(_read, f"kind int, key {kind}, source string, verdict string, keys array<string>, length int, n_chars int, context string, ends long, seen long"))
     ends = read.where("kind = 0").select("key", "source", "verdict", "keys", "length", "n_chars").dropDuplicates(["key", "source", "n_chars", "verdict", "length"])
     known = read.where("kind = 1").groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
     unsure = ends.where("verdict in ('context', 'quote', 'suffix')").select("key", "n_chars", "verdict", F.posexplode("keys").alias("rank", "context"))
