@@ -92,6 +92,7 @@ class RecordReader:
             self.at = close + 1
             if self.at >= self.end or self.text[self.at] == "," or (not self.whole and self.text[self.at] in "\r\n"):
                 return "".join(parts), None
+            self.at = opened + 1  # records may begin within what was taken for text
             return "".join(parts), close
 
     def bare(self) -> tuple[str, int | None]:

@@ -12,7 +12,7 @@ def reason(spark, *lines):
 
 def test_reasons_in_order(spark):
     lines = [
-        GOOD, GOOD.replace('"\nc"', ""), GOOD.replace("Sports", 'Sp"orts'), GOOD + ",more", "", GOOD.replace("1999", "19999"), GOOD.replace("1999", " 1999 "),
+        GOOD, GOOD.replace('c",', "c,"), GOOD.replace("Sports", 'Sp"orts'), GOOD + ",more", "", GOOD.replace("1999", "19999"), GOOD.replace("1999", " 1999 "),
         GOOD.replace("May", "Mai"), GOOD.replace("May", "mAY"), GOOD.replace(",11,", ",32,"), GOOD.replace("May,11", "February,29"), GOOD.replace("1999,May,11", "2000,February,29"),
         GOOD.replace("1999,May", "x,y"), GOOD.replace("1999", '"1999"'), GOOD.replace("1999", ""), GOOD + "\r\n", None, GOOD.replace('"a, ', '"a" '),
     ]
