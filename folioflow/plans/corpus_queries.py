@@ -243,7 +243,8 @@ def month_numbers(s, d):
 
 @query("SELECT count(*) FILTER (try_cast(year AS INTEGER) IS NULL) AS bad_year, count(*) FILTER (try_cast(num_day AS INTEGER) IS NULL) AS bad_day FROM (SELECT trim(year) AS year, trim(num_day) AS num_day FROM df WHERE NOT contains(year, '.'))")
 def bad_date_counts(s, d):
-    whole = table(s, d, "df").where("not contains(year, '.')").select(F.trim("year").try_cast("int").alias("y"), F.trim("num_day").try_cast("int").alias("n"))
+    """Years and days of all rows that are no whole number; null is none."""
+    whole = table(s, d, "df").select(F.trim("year").try_cast("int").alias("y"), F.trim("num_day").try_cast("int").alias("n"))
     return whole.agg(F.count_if(F.col("y").isNull()).alias("bad_year"), F.count_if(F.col("n").isNull()).alias("bad_day"))
 
 
@@ -254,7 +255,8 @@ def forward_fill_meta(s, d):
 
 @query("SELECT doc_id, split_part(trim(text), ' ', 1) AS first_word FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(10))")
 def length_first_word(s, d):
-    return table(s, d, "documents").where("text is not null and not contains(text, '\n')").select("doc_id", F.split(F.trim("text"), " ")[0].alias("first_word"))
+    """First word of every text, parted by any blank; empty where the text is blank."""
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.regexp_extract("text", r"[^\s\p{Z}\x{1C}-\x{1F}\x{85}]+", 0).alias("first_word"))
 
 
 @query(r"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[ \t\n\r.]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1 HAVING count(*) >= 20""")
