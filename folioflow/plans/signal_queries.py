@@ -15,6 +15,8 @@ LEXICON = [
     ("praised", 1, 0, 1), ("admired", 1, 0, 1), ("welcomed", 1, 0, 1), ("gentle", 1, 0, 0), ("bright", 1, 0, 1), ("pleasant", 1, 0, 1), ("generous", 1, 0, 0),
     ("ignored", 0, 1, 0), ("avoided", 0, 1, 0), ("bitter", 0, 1, 0), ("doubted", 0, 1, 0), ("sour", 0, 1, 0), ("weary", 0, 1, 0), ("hollow", 0, 1, 0), ("stubborn", 0, 1, 0),
 ]
+# Document numbers a part of a month's words may span, so that no string grows with the collection.
+PART_IDS = 4096
 FEELINGS = ["positive", "negative", "joy"]
 _LEX = "lex(term_str, positive, negative, joy) AS (VALUES " + ", ".join(str(r) for r in LEXICON) + ")"
 _W = "w AS (SELECT doc_id, sentence_num, token_num, min(term_id) AS term_id, min(term_str) AS term_str FROM token WHERE doc_id IS NOT NULL AND punc = 0 AND num = 0 GROUP BY ALL)"
@@ -83,9 +85,12 @@ def emotion_totals(s, d):
 
 @query(f"WITH {_W}, {_D} SELECT year(day)::INTEGER AS year, month(day)::INTEGER AS month, string_agg(term_str, ' ' ORDER BY doc_id, sentence_num, token_num) AS month_str FROM w JOIN d USING (doc_id) WHERE sentence_num = 0 GROUP BY 1, 2")
 def month_strings(s, d):
-    t = words(s, d).where("sentence_num = 0").join(docs(s, d), "doc_id")
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "sentence_num", "token_num", "term_str")))
-    return t.groupBy(F.year("day").alias("year"), F.month("day").alias("month")).agg(F.array_join(F.transform(ordered, lambda x: x["term_str"]), " ").alias("month_str"))
+    """All words of a month in order, in parts of PART_IDS document numbers: the parts joined by part_no are the month."""
+    ordered = F.array_sort(F.collect_list(F.struct("sentence_num", "token_num", "term_str")))
+    each = words(s, d, together=True).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["term_str"]), " ").alias("str"))
+    t = each.join(docs(s, d), "doc_id").groupBy(F.year("day").alias("year"), F.month("day").alias("month"), F.floor(F.col("doc_id") / PART_IDS).alias("part_no"))
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", "str")))
+    return t.agg(F.array_join(F.transform(F.filter(parts, lambda x: x["str"] != ""), lambda x: x["str"]), " ").alias("month_str"))
 
 
 _MONTHS = f"{_S}, m AS (SELECT year(day)::INTEGER * 12 + month(day)::INTEGER - 1 AS month, (sum(positive) - sum(negative))::BIGINT AS valence FROM s GROUP BY 1)"

@@ -27,9 +27,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def words(spark: SparkSession, d: str) -> DataFrame:
-    """Words of known articles, each place once."""
+def words(spark: SparkSession, d: str, together: bool = False) -> DataFrame:
+    """Words of known articles, each place once; together: shuffled once, by article, so that grouping by article needs no other."""
     t = table(spark, d, "token").where("doc_id is not null and punc = 0 and num = 0")
+    if together:
+        t = t.select("doc_id", "sentence_num", "token_num", "term_id", "term_str").repartition("doc_id")
     return t.groupBy("doc_id", "sentence_num", "token_num").agg(F.min(F.struct("term_id", "term_str")).alias("t")).select("doc_id", "sentence_num", "token_num", "t.term_id", "t.term_str")
 
 

@@ -1,6 +1,8 @@
 """Queries over all rows of small tables, held against plain Python."""
 
-from folioflow.plans import corpus_queries as CQ
+from folioflow.plans import corpus_queries as CQ, signal_queries as SQ
+
+TOKEN = "section string, doc_id long, sentence_num int, token_num int, token_str string, term_str string, term_id int, punc int, num int"
 
 
 def write(spark, d, name, rows, schema):
@@ -19,3 +21,19 @@ def test_bad_date_counts_null_and_points(spark, tmp_path):
     rows = [("2001", "3"), (" 2002", " 4 "), (None, "5"), ("2001.0", "6"), ("6,165", None), ("B7C", "x"), ("", "1.0"), ("99999999999", "7")]
     d = write(spark, tmp_path, "df", rows, "year string, num_day string")
     assert tuple(CQ.bad_date_counts(spark, d).first()) == (6, 3)
+
+
+def tokens(spark, d, articles, days):
+    """Tables token and doc; articles: doc_id to its sentences, days: doc_id to year, month and day."""
+    vocab = sorted({w for x in articles.values() for sent in x for w in sent.split()})
+    rows = [("A", i, j, k, w, w, vocab.index(w), 0, 0) for i, x in articles.items() for j, sent in enumerate(x) for k, w in enumerate(sent.split())]
+    write(spark, d, "token", rows + [("A", next(iter(articles)), 0, 99, ".", None, None, 1, 0)], TOKEN)
+    return write(spark, d, "doc", [(i, *days[i], "A") for i in articles], "doc_id long, year int, month int, day int, section string")
+
+
+def test_month_strings_hold_every_sentence(spark, tmp_path):
+    articles = {9: ["a b", "c d e"], 3: ["f", "g", "h i"], 2 * SQ.PART_IDS: ["j k"], 10: ["l", "m"]}
+    days = {9: (2001, 5, 1), 3: (2001, 5, 30), 2 * SQ.PART_IDS: (2001, 5, 2), 10: (2002, 1, 1)}
+    got = SQ.month_strings(spark, tokens(spark, tmp_path, articles, days)).orderBy("part_no").collect()
+    whole = {m: " ".join(r.month_str for r in got if (r.year, r.month) == m) for m in {(r.year, r.month) for r in got}}
+    assert whole == {(2001, 5): "f g h i a b c d e j k", (2002, 1): "l m"} and len(got) == 3
