@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def split_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, token_num (from 0), token_str: runs of letters or digits and single other marks."""
-    tokens = F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"), F.lit(0))
+    """key, token_num (from 0), token_str: runs of letters or digits and single other marks; blanks of any kind part tokens and are none."""
+    tokens = F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\p{Z}\x{1C}-\x{1F}\x{85}]"), F.lit(0))
     return df.select(key, F.posexplode(tokens).alias("token_num", "token_str"))
 
 

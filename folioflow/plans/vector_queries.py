@@ -54,9 +54,8 @@ def tfidf_top(s, d):
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\pL\pM\pN_]+|[^\pL\pM\pN_ \n]') AS w FROM documents WHERE NOT regexp_matches(text, '[^\x{0000}-\x{024F}]') AND NOT contains(text, chr(160)))
     SELECT doc_id, unnest(range(len(w)))::INTEGER AS token_num, unnest(w) AS token_str FROM t""")
 def token_table(s, d):
-    """Tokens of the texts in Latin letters."""
-    docs = table(s, d, "documents").where(~F.col("text").rlike(r"[^\x{0000}-\x{024F}]") & ~F.contains("text", F.lit(" ")))
-    return V.split_tokens(docs, "doc_id", "text")
+    """Tokens of all texts."""
+    return V.split_tokens(table(s, d, "documents"), "doc_id", "text")
 
 
 @query(r"""SELECT token_str, (NOT regexp_matches(token_str, '[\pL\pM\pN]'))::INTEGER AS punc, regexp_matches(token_str, '[0-9]')::INTEGER AS num,

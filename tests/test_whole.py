@@ -1,6 +1,8 @@
 """Queries over all rows of small tables, held against plain Python."""
 
-from folioflow.plans import corpus_queries as CQ, signal_queries as SQ
+import unicodedata
+
+from folioflow.plans import corpus_queries as CQ, signal_queries as SQ, vector_queries as VQ
 
 TOKEN = "section string, doc_id long, sentence_num int, token_num int, token_str string, term_str string, term_id int, punc int, num int"
 
@@ -37,3 +39,22 @@ def test_month_strings_hold_every_sentence(spark, tmp_path):
     got = SQ.month_strings(spark, tokens(spark, tmp_path, articles, days)).orderBy("part_no").collect()
     whole = {m: " ".join(r.month_str for r in got if (r.year, r.month) == m) for m in {(r.year, r.month) for r in got}}
     assert whole == {(2001, 5): "f g h i a b c d e j k", (2002, 1): "l m"} and len(got) == 3
+
+
+def plain_tokens(text):
+    out, run = [], ""
+    for c in text + " ":
+        if c == "_" or unicodedata.category(c)[0] in "LMN":
+            run += c
+            continue
+        out += [run] * bool(run) + [c] * (not c.isspace())
+        run = ""
+    return out
+
+
+def test_token_table_of_every_script(spark, tmp_path):
+    texts = ["plain words, here.", "typographic \u201cquotes\u201d \u2013 dashes\u2026", "no\u00a0break\u2009thin\u3000wide", "Größe: 3\u00a0km", "\u0939\u093f\u0928\u094d\u0926\u0940 \u092a\u093e\u0920\u0964",
+        "\u0440\u0443\u0441\u0441\u043a\u0438\u0439, \u0442\u0435\u043a\u0441\u0442", "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22", "\u4e2d\u6587\u3002\u6587\u672c", "\U0001d4d0 emoji \U0001f600", ""]
+    d = write(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in VQ.token_table(spark, d).collect())
+    assert got == [(i, k, w) for i, t in enumerate(texts) for k, w in enumerate(plain_tokens(t))]
