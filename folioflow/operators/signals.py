@@ -6,6 +6,9 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+# Blocks of curves that are compared pair by pair: each curve is sent so many times.
+BLOCKS = 6
+
 
 def score(tokens: DataFrame, lexicon: DataFrame, feelings: list[str], term: str = "term_str") -> DataFrame:
     """Tokens with one column a feeling, 0 where the lexicon lacks the term."""
@@ -70,19 +73,38 @@ def density(places: DataFrame, key: str, place: str, scale: float, width: float,
 def overlaps(curves: DataFrame, key: str, points: int = 1000) -> DataFrame:
     """x < y, overlap (area under both curves by trapezoids) and corr (Pearson, absent samples are 0) of every pair of curves.
 
-    Made for the curves of chosen terms: pairs are those of curves that share a sample.
+    Pairs are those of curves that share a sample.  Curves are dealt to BLOCKS blocks and each pair of blocks is one
+    group of matrices: joined by sample, every pair would cost as many rows as it has samples.
     """
-    a = curves.select(F.col(key).alias("x"), "sample", F.col("density").alias("dx"))
-    b = curves.select(F.col(key).alias("y"), "sample", F.col("density").alias("dy"))
-    pair = a.join(b, "sample").where("x < y")
-    edge = F.when(F.col("sample").isin(0, points - 1), 0.5).otherwise(1.0)
-    sums = pair.groupBy("x", "y").agg(F.sum(F.least("dx", "dy") * edge).alias("overlap"), F.sum(F.col("dx") * F.col("dy")).alias("xy"))
-    one = curves.groupBy(key).agg(F.sum("density").alias("s"), F.sum(F.col("density") * F.col("density")).alias("q"))
-    with_x = sums.join(one.select(F.col(key).alias("x"), F.col("s").alias("sx"), F.col("q").alias("qx")), "x")
-    both = with_x.join(one.select(F.col(key).alias("y"), F.col("s").alias("sy"), F.col("q").alias("qy")), "y")
-    cov = F.col("xy") - F.col("sx") * F.col("sy") / points
-    dev = F.sqrt(F.col("qx") - F.col("sx") * F.col("sx") / points) * F.sqrt(F.col("qy") - F.col("sy") * F.col("sy") / points)
-    return both.select("x", "y", "overlap", (cov / dev).alias("corr"))
+    kind = curves.schema[key].dataType.simpleString()
+    one = curves.groupBy(F.col(key).alias("k")).agg(F.collect_list(F.struct("sample", "density")).alias("c"))
+    own = one.select("k", F.col("c.sample").alias("at"), F.col("c.density").alias("v"), F.pmod(F.xxhash64("k"), F.lit(BLOCKS)).cast("int").alias("b"))
+    met = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumns({"bx": F.least("b", "o"), "by": F.greatest("b", "o")}).drop("o")
+
+    def pairs(rows):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pandas as pd
+
+        rows = rows.sort_values("k", ignore_index=True)
+        m = np.zeros((len(rows), points))
+        for i, (at, v) in enumerate(zip(rows["at"], rows["v"])):
+            m[i, at] = v
+        weight = np.ones(points)
+        weight[[0, -1]] = 0.5
+        s, q, names, block, out = m.sum(1), (m * m).sum(1), rows["k"].to_numpy(), rows["b"].to_numpy(), []
+        dev = np.sqrt(np.maximum(q - s * s / points, 0))
+        for i in range(len(rows)):
+            j = np.arange(i + 1, len(rows))
+            if rows["bx"].iat[0] != rows["by"].iat[0]:
+                j = j[block[j] != block[i]]
+            low = np.minimum(m[i], m[j])
+            keep = low.any(1)
+            j, low = j[keep], low[keep]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out.append(pd.DataFrame({"x": names[i], "y": names[j], "overlap": low @ weight, "corr": (m[j] @ m[i] - s[i] * s[j] / points) / (dev[i] * dev[j])}))
+        return pd.concat(out)
+
+    return met.groupBy("bx", "by").applyInPandas(pairs, f"x {kind}, y {kind}, overlap double, corr double")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

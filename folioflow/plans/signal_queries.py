@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from folioflow.operators import signals as G
-from folioflow.plans.vector_queries import table, words
+from folioflow.plans.vector_queries import table, vocab_quantile_filter, words
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -145,13 +145,20 @@ _KDE = """n AS (SELECT term_str, count(*) AS n FROM pl GROUP BY 1), g AS (SELECT
     WHERE abs(sample * 1500 / 199.0 - place) <= 480 GROUP BY 1, 2)"""
 
 
+# Samples of a curve, friends of a term and edges of the network, as in the reference.
+SAMPLES, FRIENDS, EDGES = 1000, 10, 1000
+# Places a part of a term's list may span.
+PART_DAYS = 100
+
+
 def places(s: SparkSession, d: str) -> DataFrame:
-    t = words(s, d).where(F.col("term_str").isin("bank", "judge", "teacher", "galaxy", "senator", "fund"))
+    """Places of the terms that the vocabulary's filter keeps."""
+    t = words(s, d, together=True).join(F.broadcast(vocab_quantile_filter(s, d).select("term_str")), "term_str", "left_semi")
     return t.join(docs(s, d), "doc_id").select("term_str", F.date_diff("day", F.lit("1999-01-01").cast("date")).alias("place"))
 
 
 def curves(s: SparkSession, d: str) -> DataFrame:
-    return G.density(places(s, d), "term_str", "place", 1500, 60, 200)
+    return G.density(places(s, d), "term_str", "place", 1500, 60, SAMPLES)
 
 
 @query(f"WITH {_PLACES}, {_KDE} SELECT term_str, sample, round(density, 9) AS density FROM k")
@@ -166,7 +173,8 @@ def peak_position(s, d):
 
 @query(f"WITH {_PLACES} SELECT term_str, list_sort(list(place)) AS places FROM pl GROUP BY 1")
 def term_offsets(s, d):
-    return places(s, d).groupBy("term_str").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    """Sorted places of a term, in parts of PART_DAYS days: the parts joined by part_no are its list."""
+    return places(s, d).groupBy("term_str", F.floor(F.col("place") / PART_DAYS).alias("part_no")).agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
 _PAIRS = f"""{_PLACES}, {_KDE}, t AS (SELECT DISTINCT term_str FROM k), full_k AS (SELECT term_str, g.sample::INTEGER AS sample, coalesce(density, 0) AS density FROM t CROSS JOIN g LEFT JOIN k USING (term_str, sample)),
@@ -175,23 +183,23 @@ _PAIRS = f"""{_PLACES}, {_KDE}, t AS (SELECT DISTINCT term_str FROM k), full_k A
 
 @query(f"WITH {_PAIRS} SELECT x, y, round(overlap, 6) AS overlap FROM pr WHERE overlap > 1e-9")
 def pair_overlap(s, d):
-    return G.overlaps(curves(s, d), "term_str", 200).select("x", "y", F.round("overlap", 6).alias("overlap")).where("overlap > 1e-9")
+    return G.overlaps(curves(s, d), "term_str", SAMPLES).select("x", "y", F.round("overlap", 6).alias("overlap")).where("overlap > 1e-9")
 
 
 @query(f"WITH {_PAIRS} SELECT x, y, round(corr, 6) AS corr FROM pr WHERE overlap > 1e-9")
 def pair_corr(s, d):
-    return G.overlaps(curves(s, d), "term_str", 200).where("overlap > 1e-9").select("x", "y", F.round("corr", 6).alias("corr"))
+    return G.overlaps(curves(s, d), "term_str", SAMPLES).where("overlap > 1e-9").select("x", "y", F.round("corr", 6).alias("corr"))
 
 
 @query(f"WITH {_PAIRS}, sy AS (SELECT x, y, round(overlap, 6) AS overlap FROM pr UNION ALL SELECT y, x, round(overlap, 6) FROM pr) SELECT x, y, overlap FROM sy QUALIFY row_number() OVER (PARTITION BY x ORDER BY overlap DESC, y) <= 3")
 def friends(s, d):
     from folioflow.operators.vectors import top_each
 
-    p = G.overlaps(curves(s, d), "term_str", 200).select("x", "y", F.round("overlap", 6).alias("overlap"))
+    p = G.overlaps(curves(s, d), "term_str", SAMPLES).select("x", "y", F.round("overlap", 6).alias("overlap"))
     both = p.unionByName(p.select(F.col("y").alias("x"), F.col("x").alias("y"), "overlap"))
-    return top_each(both, "x", "overlap", "y", 3).drop("place")
+    return top_each(both, "x", "overlap", "y", FRIENDS).drop("place")
 
 
 @query(f"WITH {_PAIRS} SELECT x, y, round(overlap, 6) AS overlap FROM pr ORDER BY round(overlap, 6) DESC, x, y LIMIT 10")
 def top_edges(s, d):
-    return G.overlaps(curves(s, d), "term_str", 200).select("x", "y", F.round("overlap", 6).alias("overlap")).orderBy(F.desc("overlap"), "x", "y").limit(10)
+    return G.overlaps(curves(s, d), "term_str", SAMPLES).select("x", "y", F.round("overlap", 6).alias("overlap")).orderBy(F.desc("overlap"), "x", "y").limit(EDGES)

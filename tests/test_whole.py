@@ -1,7 +1,9 @@
 """Queries over all rows of small tables, held against plain Python."""
 
+import datetime
 import unicodedata
 
+from folioflow.operators import signals as G
 from folioflow.plans import corpus_queries as CQ, signal_queries as SQ, vector_queries as VQ
 
 TOKEN = "section string, doc_id long, sentence_num int, token_num int, token_str string, term_str string, term_id int, punc int, num int"
@@ -58,3 +60,26 @@ def test_token_table_of_every_script(spark, tmp_path):
     d = write(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
     got = sorted(tuple(r) for r in VQ.token_table(spark, d).collect())
     assert got == [(i, k, w) for i, t in enumerate(texts) for k, w in enumerate(plain_tokens(t))]
+
+
+def test_networks_take_every_term_of_the_filtered_vocabulary(spark, tmp_path):
+    import numpy as np
+
+    names = [f"w{i:02}" for i in range(14)]
+    articles = {i: [" ".join(w for k, w in enumerate(names) if (i * 7 + k * 3) % 5 < 2)] for i in range(1, 30)}
+    days = {i: (1999 + i % 3, 1 + i % 12, 1 + i % 28) for i in articles}
+    tokens(spark, tmp_path, articles, days)
+    # 14 kept terms above 250 rare ones: the 0.94 quantile falls between
+    vocab = [(w, 100 + k, 0) for k, w in enumerate(names)] + [(f"rare{i}", 1, 0) for i in range(250)] + [("the", 999, 1)]
+    d = write(spark, tmp_path, "vocab", vocab, "term_str string, n long, stop int")
+    at = {w: sorted((datetime.date(*days[i]) - datetime.date(1999, 1, 1)).days for i in articles if w in articles[i][0].split()) for w in names}
+    parts = SQ.term_offsets(spark, d).orderBy("part_no").collect()
+    assert {w: [p for r in parts if r.term_str == w for p in r.places] for w in names} == at
+    x = np.linspace(0, 1500, 1000)
+    m = {w: sum(np.exp(-(((x - p) / 60) ** 2) / 2) for p in at[w]) / (len(at[w]) * 60 * np.sqrt(2 * np.pi)) * 1.5 for w in names}
+    got = {(r.x, r.y): (r.overlap, r.corr) for r in G.overlaps(SQ.curves(spark, d), "term_str", SQ.SAMPLES).collect()}
+    assert set(got) == {(a, b) for a in names for b in names if a < b}
+    for (a, b), pair in got.items():
+        assert np.allclose(pair, (np.trapezoid(np.minimum(m[a], m[b])), np.corrcoef(m[a], m[b])[0, 1]), atol=1e-6)
+    near = SQ.friends(spark, d).groupBy("x").count().collect()
+    assert {(r.x, r["count"]) for r in near} == {(w, 10) for w in names} and SQ.top_edges(spark, d).count() == 91
