@@ -2,18 +2,23 @@
 
 Documents and word n-grams form a sparse incidence matrix A; documents that share many n-grams
 are large entries of A A'.  The product is taken in blocks of n-gram columns (the partitions of a
-join on the n-gram), each block accumulates the overlaps of the pairs it sees, and bounds
+shuffle by n-gram), each block accumulates the overlaps of the pairs it sees, and bounds
 derived from the sizes leave most of the matrix out without losing a pair:
 
 * columns are in one order for all documents, rare ones first (by a counting sketch of fixed
-  size over all n-grams), and a pair that is similar enough shares one of the first columns of
-  both: n - ceil(2t/(1+t) n) + 1 of the smaller, n - ceil(t n) + 1 of the larger document;
+  size over all n-grams), and a pair whose overlap is at least o shares ``SHARED`` of the first
+  columns of both: the first n - o + SHARED, with o = ceil(2t/(1+t) n) for the smaller and
+  ceil(t n) for the larger document (all columns, and ``o`` of them, where o is less);
 * sizes must lie within the factor t;
-* the overlap so far plus what is left behind the last shared column must reach
-  t / (1 + t) of the sum of the sizes.
+* what stands before and behind a shared column must leave room for an overlap of
+  t / (1 + t) of the sum of the sizes;
+* a column whose counter is 1 belongs to one document and is left out (its place still counts).
 
-The pairs left are verified on their whole sets.  Documents with equal sets are one class; the
-product is taken over classes, and copies within one task are merged before any shuffle.
+A block writes, for each document, the 32-bit names of those it meets.  They are added up by
+document; names met ``SHARED`` times are candidates, and candidates are verified on whole sets.
+Documents with equal sets are one class (128 bits); the product is taken over classes, and copies
+within one task are merged before any shuffle.  A column that the sketch says more than ``HOT``
+documents have is a square of cells, each a block of its own.
 
 Defined cases: null or empty texts, and texts of fewer words than an n-gram, have no set and are
 in no pair; a null title counts as empty; a key that occurs with several contents is in the
@@ -22,7 +27,6 @@ class of each; a key is no pair with itself.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +35,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-SKETCH_BITS = 20
+SKETCH_BITS = 24
 FILTER_BITS = 23
-_BLOCK = 4096
+GRAM_BITS = 40
+PLACE_BITS = 22
+SHARED = 4
+HOT = 4096
+_BLOCK = 1 << 12
+_ROWS = 1 << 19
+_EVENTS = 1 << 21
 _SEED = np.uint64(0x9E3779B97F4A7C15)
+_OTHER = np.uint64(0xD1B54A32D192ED03)
+_FAR = (1 << PLACE_BITS) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,7 +58,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _ngrams(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, 32-bit n-gram) of every n-gram of every text, in order; words are runs of letters or digits in lower case."""
+    """(document, n-gram of GRAM_BITS) of every n-gram of every text, in order; words are runs of letters or digits in lower case."""
     words = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.large_string())), r"[^\p{L}\p{N}]+")
     lengths = np.diff(words.offsets.to_numpy())
     flat = words.flatten().dictionary_encode()
@@ -66,7 +78,7 @@ def _ngrams(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
         for i in range(1, width):
             out = _mix(out * np.uint64(3) + _SEED) ^ w[i : n + i]
     whole = docs[:n] == docs[width - 1 :]
-    return docs[:n][whole], _mix(out[whole]) >> np.uint64(32)
+    return docs[:n][whole], _mix(out[whole]) >> np.uint64(64 - GRAM_BITS)
 
 
 def _joined(batch: pa.RecordBatch, first: int) -> pa.Array:
@@ -74,77 +86,241 @@ def _joined(batch: pa.RecordBatch, first: int) -> pa.Array:
     return pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if len(parts) > 1 else parts[0]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most 2 ** 16 rows, so that a row's number, a rank and an n-gram fit 64 bits."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1 << 16):
+            yield batch.slice(at, 1 << 16)
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+
+
 def _sketch(width: int):  # noqa: ANN202
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for batch in batches:
-            _, grams = _ngrams(_joined(batch, 0), width)
-            counters += np.bincount((grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        blocks = counters.reshape(-1, _BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks.tolist(), pa.list_(pa.int64()))], names=["block", "counts"])
+        counters = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        for batch in _slices(batches):
+            _, grams, _ = _sets(*_ngrams(_joined(batch, 0), width), None)
+            slots, n = np.unique(_slot(grams), return_counts=True)
+            counters[slots] += n.astype(np.uint32)
+        used = np.flatnonzero(counters)
+        cut = np.searchsorted(used, np.arange(0, (1 << SKETCH_BITS) + 1, _BLOCK))
+        places, counts = (used % _BLOCK).astype(np.uint16), counters[used]
+        rows = [(i, places[a:z].tobytes(), counts[a:z].tobytes()) for i, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if z > a]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "at", "n"])
 
     return count
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale of one byte; 0 and 1 keep values of their own."""
+    return np.minimum(255, np.round(np.log2(counts + 1.0) * 8)).astype(np.uint8)
+
+
+_ONE = 8
+
+
 def _add(table: pa.Table) -> pa.Table:
-    sums = np.sum([np.array(x, dtype=np.int64) for x in table.column("counts").to_pylist()], axis=0)
-    return pa.table([pa.array([table.column("block")[0].as_py()], pa.int32()), pa.array([sums.tolist()], pa.list_(pa.int64()))], names=["block", "counts"])
+    sums = np.zeros(_BLOCK, dtype=np.int64)
+    for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
+        sums[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(n, dtype=np.uint32)
+    return pa.table([pa.array([table.column("block")[0].as_py()], pa.int32()), pa.array([_level(sums).tobytes()], pa.binary())], names=["block", "levels"])
 
 
 def gram_sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """Counters of all n-grams, 2 ** SKETCH_BITS of them whatever the size of the collection, on a logarithmic scale of one byte."""
-    rows = texts.mapInArrow(_sketch(width), "block int, counts array<long>").groupBy("block").applyInArrow(_add, "block int, counts array<long>").collect()
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    """In how many documents n-grams are: 2 ** SKETCH_BITS counters whatever the size of the collection, on a logarithmic scale of one byte."""
+    rows = texts.mapInArrow(_sketch(width), "block int, at binary, n binary").groupBy("block").applyInArrow(_add, "block int, levels binary").collect()
+    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     for r in rows:
-        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = r["counts"]
-    return np.minimum(255, np.log2(out + 1.0) * 8).astype(np.uint8)
+        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["levels"], dtype=np.uint8)
+    return out
 
 
 def _sets(docs: np.ndarray, grams: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, n-gram), ordered by document, then rank, then n-gram; where documents begin; and a 64-bit class of each."""
-    order = np.zeros(len(grams), dtype=np.uint64) if rank is None else rank[(grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
-    key = np.sort((docs.astype(np.uint64) << np.uint64(40)) | (order << np.uint64(32)) | grams)
+    """Distinct (document, n-gram), ordered by document, then rank, then n-gram; and where documents begin, with the two halves of their class."""
+    order = np.zeros(len(grams), dtype=np.uint64) if rank is None else rank[_slot(grams)].astype(np.uint64)
+    key = np.sort((docs.astype(np.uint64) << np.uint64(48)) | (order << np.uint64(GRAM_BITS)) | grams)
     key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-    owner = (key >> np.uint64(40)).astype(np.int64)
-    grams = key & np.uint64(0xFFFFFFFF)
-    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.array([], dtype=np.int64)
+    owner = (key >> np.uint64(48)).astype(np.int64)
+    grams = key & np.uint64((1 << GRAM_BITS) - 1)
+    if not len(owner):
+        return owner, grams, np.zeros((3, 0), dtype=np.int64)
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     with np.errstate(over="ignore"):
-        classes = _mix(np.add.reduceat(_mix(grams + _SEED), starts)) if len(starts) else np.array([], dtype=np.uint64)
-    return owner, grams, np.stack([starts.astype(np.int64), classes.view(np.int64)]) if len(starts) else np.zeros((2, 0), dtype=np.int64)
+        one = _mix(np.add.reduceat(_mix(grams + _SEED), starts))
+        two = _mix(np.add.reduceat(_mix(grams * _OTHER + _SEED), starts))
+    return owner, grams, np.stack([starts.astype(np.int64), one.view(np.int64), two.view(np.int64)])
+
+
+def _fresh(seen: set[tuple[int, int]], heads: np.ndarray) -> np.ndarray:
+    """Which classes this task has not met yet."""
+    return np.array([c not in seen and not seen.add(c) for c in zip(heads[1].tolist(), heads[2].tolist())], dtype=bool)
+
+
+def _names(classes: np.ndarray) -> np.ndarray:
+    """32-bit names of classes."""
+    return (_mix(classes.view(np.uint64) + _SEED) >> np.uint64(32)).astype(np.uint32)
 
 
 def _prefixes(width: int, rank: np.ndarray, threshold: float):  # noqa: ANN202
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
+        seen: set[tuple[int, int]] = set()
+        for batch in _slices(batches):
             owner, grams, heads = _sets(*_ngrams(_joined(batch, 0), width), rank)
-            starts, classes = heads
-            sizes = np.diff(np.r_[starts, len(owner)])
-            fresh = np.array([c not in seen and not seen.add(c) for c in classes.tolist()], dtype=bool)
-            starts, classes, sizes = starts[fresh], classes[fresh], sizes[fresh]
-            longest = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+            fresh = _fresh(seen, heads)
+            starts, classes, sizes = heads[0][fresh], heads[1][fresh], np.diff(np.r_[heads[0], len(owner)])[fresh]
+            longest = np.minimum(sizes, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + SHARED)
             place = np.arange(longest.sum()) - np.repeat(np.cumsum(longest) - longest, longest)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(((grams[np.repeat(starts, longest) + place] << np.uint64(32)) | place.astype(np.uint64)).view(np.int64)),
-                    pa.array(np.repeat(classes, longest)), pa.array(np.repeat(sizes, longest)),
-                ],
-                names=["g", "c", "n"],
-            )
+            grams = grams[np.repeat(starts, longest) + place]
+            level = rank[_slot(grams)]
+            some = level != _ONE
+            grams, place, level = grams[some], np.minimum(place[some], _FAR).astype(np.uint64), level[some]
+            classes, sizes = np.repeat(classes, longest)[some], np.repeat(sizes, longest)[some]
+            tag = np.zeros(len(grams), dtype=np.uint64)
+            if len(level) and level.max() > HOT_LEVEL:
+                grams, place, tag, classes, sizes = _cells(grams, place, level, classes, sizes)
+            key = (grams << np.uint64(PLACE_BITS + 2)) | (place << np.uint64(2)) | tag
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(classes), pa.array(sizes)], names=["g", "c", "n"])
 
     return emit
 
 
-def _slots(classes: np.ndarray) -> np.ndarray:
+HOT_LEVEL = int(_level(np.array([float(HOT)]))[0])
+
+
+def _cells(grams: np.ndarray, place: np.ndarray, level: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of hot columns, repeated for the cells they are in: a column of s strips has s (s + 1) / 2 cells, a strip is in s of them.
+
+    A cell is a column by another name; tag 0 meets all rows of its cell, 1 only those of tag 2.
+    """
+    strips = np.where(level > HOT_LEVEL, np.ceil(2.0 ** (level.astype(float) / 8) / HOT), 1).astype(np.int64)
+    own = (_mix(classes.view(np.uint64) + _OTHER) % strips.astype(np.uint64)).astype(np.int64)
+    row = np.repeat(np.arange(len(grams)), strips)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(strips) - strips, strips)
+    own, many = own[row], strips[row] > 1
+    low, high = np.minimum(own, other), np.maximum(own, other)
     with np.errstate(over="ignore"):
-        return (_mix(classes.view(np.uint64) + _SEED) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+        cell = _mix(grams[row] * _OTHER + low.astype(np.uint64) * _SEED + high.astype(np.uint64)) >> np.uint64(64 - GRAM_BITS)
+    tag = np.where(own < other, 1, np.where(own > other, 2, 0)).astype(np.uint64)
+    return np.where(many, cell, grams[row]), place[row], tag, classes[row], sizes[row]
+
+
+def _meet(g: np.ndarray, c: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(smaller, name of the larger) of the pairs that meet in a column within the bounds; whole columns only, in order.
+
+    Where less than SHARED columns must be shared, a meeting counts several times, so that SHARED meetings are needed of all.
+    """
+    column = g >> np.uint64(PLACE_BITS + 2)
+    order = np.lexsort((c, n, column))
+    g, c, n, column = g[order], c[order], n[order], column[order]
+    place, tag = ((g >> np.uint64(2)) & np.uint64(_FAR)).astype(np.int64), (g & np.uint64(3)).astype(np.int8)
+    share = threshold / (1 + threshold)
+    index = np.minimum(n, n - np.ceil(2 * share * n - 1e-9).astype(np.int64) + SHARED)
+    names = _names(c)
+    first = np.flatnonzero((place < index) | (place == _FAR))
+    step, kept, held = 1, [], 0
+    while len(first):
+        first = first[first + step < len(g)]
+        second = first + step
+        near = (column[first] == column[second]) & (n[first] >= threshold * n[second] - 1e-9)
+        first, second = first[near], second[near]
+        x, y, xp, yp = n[first], n[second], place[first], place[second]
+        least = np.ceil((x + y) * share - 1e-9).astype(np.int64)
+        room = np.minimum(xp, yp) + np.minimum(x - xp, y - yp) >= least
+        ok = (room | (np.maximum(xp, yp) == _FAR)) & (c[first] != c[second]) & ((tag[first] != tag[second]) | (tag[first] == 0))
+        times = np.maximum(1, -(-SHARED // np.maximum(1, least[ok])))
+        kept.append((np.repeat(c[first][ok], times), np.repeat(names[second][ok], times)))
+        held += len(kept[-1][0])
+        if held > _EVENTS:
+            yield np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+            kept, held = [], 0
+        step += 1
+    if held:
+        yield np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+
+
+def _lists(c: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    """One row for each class: the names of those it has met."""
+    order = np.argsort(c, kind="stable")
+    c, names = c[order], names[order]
+    starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+    ends = np.r_[starts[1:], len(c)]
+    data = pa.py_buffer(names.tobytes())
+    offsets = pa.py_buffer((np.r_[starts, len(c)] * 4).astype(np.int32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(c[starts]), pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, data])], names=["c", "met"])
+
+
+def _product(threshold: float):  # noqa: ANN202
+    """One block of the product; rows come ordered by column."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def whole(last: bool) -> tuple[np.ndarray, ...]:
+            nonlocal waiting, held
+            g, c, n = (np.concatenate([w[i] for w in waiting]) for i in range(3))
+            column = g >> np.uint64(PLACE_BITS + 2)
+            end = len(g) if last else int(np.searchsorted(column, column[-1]))
+            waiting, held = [(g[end:], c[end:], n[end:])], len(g) - end
+            return g[:end], c[:end], n[:end]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+            held += batch.num_rows
+            if held >= _ROWS:
+                for c, names in _meet(*whole(False), threshold):
+                    yield _lists(c, names)
+        if held:
+            for c, names in _meet(*whole(True), threshold):
+                yield _lists(c, names)
+
+    return multiply
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names met SHARED times, by class; rows come ordered by class."""
+    class_now, names, counts = None, np.array([], dtype=np.uint32), np.array([], dtype=np.int64)
+
+    def merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        new, n = np.unique(np.frombuffer(b"".join(parts), dtype=np.uint32), return_counts=True)
+        if not len(names):
+            return new, n
+        both, place = np.unique(np.concatenate([names, new]), return_inverse=True)
+        return both, np.bincount(place, weights=np.concatenate([counts, n])).astype(np.int64)
+
+    for batch in batches:
+        out_c: list[np.ndarray] = []
+        out_n: list[np.ndarray] = []
+        c, met = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]).tolist() if len(c) else []
+        for a, z in zip(starts, [*starts[1:], len(c)]):
+            if class_now is not None and c[a] != class_now:
+                some = names[counts >= SHARED]
+                out_c.append(np.full(len(some), class_now, dtype=np.int64))
+                out_n.append(some)
+                names, counts = np.array([], dtype=np.uint32), np.array([], dtype=np.int64)
+            class_now = c[a]
+            names, counts = merged(met[a:z])
+        if out_c:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_c)), pa.array(np.concatenate(out_n).view(np.int32))], names=["ca", "nb"])
+    if class_now is not None:
+        some = names[counts >= SHARED]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), class_now, dtype=np.int64)), pa.array(some.view(np.int32))], names=["ca", "nb"])
+
+
+def _slots(names: np.ndarray) -> np.ndarray:
+    return (names & np.uint32((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     for batch in batches:
-        for i in (0, 1):
-            bits[_slots(batch.column(i).to_numpy())] = True
+        bits[_slots(_names(batch.column(0).to_numpy()))] = True
+        bits[_slots(batch.column(1).to_numpy().view(np.uint32))] = True
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
 
@@ -158,26 +334,27 @@ def class_filter(pairs: DataFrame) -> np.ndarray:
 
 def _whole_sets(width: int, wanted: np.ndarray):  # noqa: ANN202
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
+        seen: set[tuple[int, int]] = set()
+        for batch in _slices(batches):
             owner, grams, heads = _sets(*_ngrams(_joined(batch, 0), width), None)
-            starts, classes = heads
-            ends = np.r_[starts[1:], len(owner)]
-            packed = grams.astype(np.uint32)
-            some = wanted[_slots(classes)] if len(classes) else np.array([], dtype=bool)
-            starts, ends, classes = starts[some], ends[some], classes[some]
-            rows = [(c, packed[a:z].tobytes()) for c, a, z in zip(classes.tolist(), starts.tolist(), ends.tolist()) if c not in seen and not seen.add(c)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["c", "grams"])
+            ends = np.r_[heads[0][1:], len(owner)]
+            names = _names(heads[1])
+            some = wanted[_slots(names)]
+            some[some] = _fresh(seen, heads[:, some])
+            packed = [grams[a:z].tobytes() for a, z in zip(heads[0][some].tolist(), ends[some].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(heads[1][some]), pa.array(heads[2][some]), pa.array(names[some].view(np.int32)), pa.array(packed, pa.binary())], names=["c", "d", "name", "grams"]
+            )
 
     return emit
 
 
 def _members(width: int):  # noqa: ANN202
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             owner, _, heads = _sets(*_ngrams(_joined(batch, 1), width), None)
             rows = owner[heads[0]] if len(owner) else np.array([], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(heads[1])], names=["key", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(heads[1]), pa.array(heads[2])], names=["key", "c", "d"])
 
     return emit
 
@@ -185,47 +362,41 @@ def _members(width: int):  # noqa: ANN202
 def _similar(threshold: float):  # noqa: ANN202
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             kept = []
             for i, (x, y) in enumerate(zip(a, b)):
-                x, y = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= threshold * (len(x) + len(y) - both) - 1e-9:
                     kept.append(i)
-            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+            yield batch.select([0, 1, 2, 3]).take(pa.array(kept, pa.int64()))
 
     return keep
 
 
 def similar_classes(texts: DataFrame, width: int = 3, threshold: float = 0.5) -> DataFrame:
-    """ca, cb of every pair of classes whose sets of n-grams have at least ``threshold`` of their union in common."""
+    """ca, cb (two halves of a class each) of every pair of classes whose sets of n-grams have at least ``threshold`` of their union in common."""
     from folioflow.plans.lineage import settle
 
     rank = gram_sketch(texts, width)
     prefix = texts.mapInArrow(_prefixes(width, rank, threshold), "g long, c long, n long")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    xn, yn = F.col("x.n"), F.col("y.n")
-    xp, yp = F.col("x.g").bitwiseAND(0xFFFFFFFF), F.col("y.g").bitwiseAND(0xFFFFFFFF)
-    # every condition is of both sides, so that none is filtered before it is shuffled: both sides are one and the same shuffle
-    smaller = (xn < yn) | ((xn == yn) & (F.col("x.c") < F.col("y.c")))
-    indexed = (xn - xp) * yn > (F.ceil(xn * (2 * threshold / (1 + threshold)) - 1e-9) - 1) * yn
-    close = xn >= yn * threshold - 1e-9
-    least = F.ceil((xn + yn) * (threshold / (1 + threshold)) - 1e-9)
-    behind = F.least(xn - xp, yn - yp) - 1
-    reaches = F.least(xp, yp) + 1 + behind >= least
-    product = x.join(y, (F.shiftright("x.g", 32) == F.shiftright("y.g", 32)) & smaller & close & indexed & reaches)
-    # the last shared column has the least behind it: overlap so far and what is behind must reach the least overlap
-    sums = product.groupBy(F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).agg(F.count(F.lit(1)).alias("n"), F.min((behind - least).cast("int")).alias("slack"))
-    candidates = settle(sums.where(F.col("n") + F.col("slack") >= 0).select("ca", "cb"))
-    sets = texts.mapInArrow(_whole_sets(width, class_filter(candidates)), "c long, grams binary").groupBy("c").agg(F.first("grams").alias("grams"))
-    paired = candidates.join(sets.select(F.col("c").alias("ca"), F.col("grams").alias("a")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("grams").alias("b")), "cb")
-    return paired.select("ca", "cb", "a", "b").mapInArrow(_similar(threshold), "ca long, cb long")
+    # ordered as unsigned numbers are, since the product cuts columns by their place in that order
+    blocks = prefix.repartition(F.shiftright("g", PLACE_BITS + 2)).sortWithinPartitions(F.shiftrightunsigned("g", PLACE_BITS + 2))
+    met = blocks.mapInArrow(_product(threshold), "c long, met binary")
+    candidates = settle(met.repartition("c").sortWithinPartitions("c").mapInArrow(_often, "ca long, nb int"))
+    sets = texts.mapInArrow(_whole_sets(width, class_filter(candidates)), "c long, d long, name int, grams binary")
+    sets = sets.groupBy("c", "d", "name").agg(F.first("grams").alias("grams"))
+    a = sets.select(F.col("c").alias("ca"), F.struct("c", "d").alias("a"), F.col("grams").alias("ga"))
+    b = sets.select(F.col("name").alias("nb"), F.struct("c", "d").alias("b"), F.col("grams").alias("gb"))
+    paired = candidates.join(a, "ca").join(b, "nb").where("a <> b")
+    verified = paired.select("a.c", "a.d", F.col("b.c").alias("bc"), F.col("b.d").alias("bd"), "ga", "gb").mapInArrow(_similar(threshold), "c long, d long, bc long, bd long")
+    return verified.select(F.struct("c", "d").alias("ca"), F.struct(F.col("bc").alias("c"), F.col("bd").alias("d")).alias("cb"))
 
 
 def members(df: DataFrame, key: str, columns: tuple[str, ...], width: int = 3) -> DataFrame:
-    """key, c: the class of every record that has a set."""
+    """key, c: the class (two halves) of every record that has a set."""
     src = df.where(F.col(columns[-1]).isNotNull()).select(F.col(key).alias("key"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    return src.mapInArrow(_members(width), f"key {dict(src.dtypes)['key']}, c long").distinct()
+    return src.mapInArrow(_members(width), f"key {dict(src.dtypes)['key']}, c long, d long").distinct().select("key", F.struct("c", "d").alias("c"))
 
 
 def _texts(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -273,8 +444,9 @@ def similar_groups(df: DataFrame, key: str = "doc_number", columns: tuple[str, .
     """key, class_id, n_links (to other classes), group_id of every record with a set."""
     from folioflow.plans.lineage import settle
 
-    links = settle(similar_classes(_texts(df, columns), width, threshold))
+    links = settle(similar_classes(_texts(df, columns), width, threshold).distinct())
     who = settle(members(df, key, columns, width))
     degree = links.select(F.col("ca").alias("c")).unionByName(links.select(F.col("cb").alias("c"))).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
     out = who.join(components(who, links), "c").join(degree, "c", "left")
-    return out.select(F.col("key").alias(key), F.col("c").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("root").alias("group_id"))
+    named = {c: F.concat(*[F.lpad(F.lower(F.hex(f"{c}.{half}")), 16, "0") for half in ("c", "d")]) for c in ("c", "root")}
+    return out.select(F.col("key").alias(key), named["c"].alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), named["root"].alias("group_id"))
