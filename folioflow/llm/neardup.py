@@ -5,11 +5,11 @@ are large entries of A A'.  The product is taken in blocks of n-gram columns (th
 shuffle by n-gram), each block accumulates the overlaps of the pairs it sees, and bounds
 derived from the sizes leave most of the matrix out without losing a pair:
 
-* columns are in one order for all documents, rare ones first (by a counting sketch of fixed
-  size over all n-grams), and a pair whose overlap is at least o shares ``SHARED`` of the first
-  columns of both: the first n - o + SHARED, with o = ceil(2t/(1+t) n) for the smaller and
-  ceil(t n) for the larger document (all columns, and ``o`` of them, where o is less);
 * sizes must lie within the factor t;
+* columns are in one order for all documents, rare ones first (by a counting sketch of fixed
+  size over all n-grams), and a pair whose overlap must be o = ceil(t/(1+t) (n + m)) or more shares
+  ``SHARED`` of the first n - o + SHARED columns of one and m - o + SHARED of the other (or o of
+  all, where o is less);
 * what stands before and behind a shared column must leave room for an overlap of
   t / (1 + t) of the sum of the sizes;
 * a column whose counter is 1 belongs to one document and is left out (its place still counts).
@@ -39,13 +39,14 @@ SKETCH_BITS = 24
 FILTER_BITS = 23
 GRAM_BITS = 40
 PLACE_BITS = 22
-SHARED = 4
+SHARED = 6
 HOT = 4096
 _BLOCK = 1 << 12
 _ROWS = 1 << 19
 _EVENTS = 1 << 21
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD1B54A32D192ED03)
+_BYTES = GRAM_BITS // 8
 _FAR = (1 << PLACE_BITS) - 1
 
 
@@ -106,13 +107,29 @@ def _sketch(width: int):  # noqa: ANN202
             counters[slots] += n.astype(np.uint32)
         used = np.flatnonzero(counters)
         cut = np.searchsorted(used, np.arange(0, (1 << SKETCH_BITS) + 1, _BLOCK))
-        places, counts = (used % _BLOCK).astype(np.uint16), counters[used]
-        rows = [(i, places[a:z].tobytes(), counts[a:z].tobytes()) for i, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if z > a]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "at", "n"])
+        rows = [(i, *_squeeze(used[a:z] - i * _BLOCK, counters[used[a:z]])) for i, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if z > a]
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["block", "bits", "low", "high"])
 
     return count
 
 
+def _squeeze(at: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Counters of a block: which are used as bits, their low bytes, and (place, rest) of those above 255."""
+    bits = np.zeros(_BLOCK, dtype=bool)
+    bits[at] = True
+    big = np.flatnonzero(n > 255)
+    return np.packbits(bits).tobytes(), (n & 255).astype(np.uint8).tobytes(), np.stack([at[big], n[big] >> 8]).astype(np.uint32).tobytes()
+
+
+def _unsqueeze(bits: bytes, low: bytes, high: bytes) -> np.ndarray:
+    out = np.zeros(_BLOCK, dtype=np.int64)
+    out[np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8)))] = np.frombuffer(low, dtype=np.uint8)
+    at, rest = np.frombuffer(high, dtype=np.uint32).reshape(2, -1).astype(np.int64)
+    out[at] += rest << 8
+    return out
+
+
 def _level(counts: np.ndarray) -> np.ndarray:
     """Counts on a logarithmic scale of one byte; 0 and 1 keep values of their own."""
     return np.minimum(255, np.round(np.log2(counts + 1.0) * 8)).astype(np.uint8)
@@ -123,14 +140,14 @@ _ONE = 8
 
 def _add(table: pa.Table) -> pa.Table:
     sums = np.zeros(_BLOCK, dtype=np.int64)
-    for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
-        sums[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(n, dtype=np.uint32)
+    for row in zip(*[table.column(c).to_pylist() for c in ("bits", "low", "high")]):
+        sums += _unsqueeze(*row)
     return pa.table([pa.array([table.column("block")[0].as_py()], pa.int32()), pa.array([_level(sums).tobytes()], pa.binary())], names=["block", "levels"])
 
 
 def gram_sketch(texts: DataFrame, width: int) -> np.ndarray:
     """In how many documents n-grams are: 2 ** SKETCH_BITS counters whatever the size of the collection, on a logarithmic scale of one byte."""
-    rows = texts.mapInArrow(_sketch(width), "block int, at binary, n binary").groupBy("block").applyInArrow(_add, "block int, levels binary").collect()
+    rows = texts.mapInArrow(_sketch(width), "block int, bits binary, low binary, high binary").groupBy("block").applyInArrow(_add, "block int, levels binary").collect()
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     for r in rows:
         out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["levels"], dtype=np.uint8)
@@ -169,19 +186,19 @@ def _prefixes(width: int, rank: np.ndarray, threshold: float):  # noqa: ANN202
         for batch in _slices(batches):
             owner, grams, heads = _sets(*_ngrams(_joined(batch, 0), width), rank)
             fresh = _fresh(seen, heads)
-            starts, classes, sizes = heads[0][fresh], heads[1][fresh], np.diff(np.r_[heads[0], len(owner)])[fresh]
+            starts, names, sizes = heads[0][fresh], _names(heads[1][fresh]), np.diff(np.r_[heads[0], len(owner)])[fresh]
             longest = np.minimum(sizes, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + SHARED)
             place = np.arange(longest.sum()) - np.repeat(np.cumsum(longest) - longest, longest)
             grams = grams[np.repeat(starts, longest) + place]
             level = rank[_slot(grams)]
             some = level != _ONE
             grams, place, level = grams[some], np.minimum(place[some], _FAR).astype(np.uint64), level[some]
-            classes, sizes = np.repeat(classes, longest)[some], np.repeat(sizes, longest)[some]
+            who = np.repeat((names.astype(np.uint64) << np.uint64(32)) | sizes.astype(np.uint64), longest)[some]
             tag = np.zeros(len(grams), dtype=np.uint64)
             if len(level) and level.max() > HOT_LEVEL:
-                grams, place, tag, classes, sizes = _cells(grams, place, level, classes, sizes)
+                grams, place, tag, who = _cells(grams, place, level, who)
             key = (grams << np.uint64(PLACE_BITS + 2)) | (place << np.uint64(2)) | tag
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(classes), pa.array(sizes)], names=["g", "c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who.view(np.int64))], names=["g", "w"])
 
     return emit
 
@@ -189,13 +206,13 @@ def _prefixes(width: int, rank: np.ndarray, threshold: float):  # noqa: ANN202
 HOT_LEVEL = int(_level(np.array([float(HOT)]))[0])
 
 
-def _cells(grams: np.ndarray, place: np.ndarray, level: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+def _cells(grams: np.ndarray, place: np.ndarray, level: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, ...]:
     """Rows of hot columns, repeated for the cells they are in: a column of s strips has s (s + 1) / 2 cells, a strip is in s of them.
 
     A cell is a column by another name; tag 0 meets all rows of its cell, 1 only those of tag 2.
     """
     strips = np.where(level > HOT_LEVEL, np.ceil(2.0 ** (level.astype(float) / 8) / HOT), 1).astype(np.int64)
-    own = (_mix(classes.view(np.uint64) + _OTHER) % strips.astype(np.uint64)).astype(np.int64)
+    own = (_mix(who + _OTHER) % strips.astype(np.uint64)).astype(np.int64)
     row = np.repeat(np.arange(len(grams)), strips)
     other = np.arange(len(row)) - np.repeat(np.cumsum(strips) - strips, strips)
     own, many = own[row], strips[row] > 1
@@ -203,23 +220,27 @@ def _cells(grams: np.ndarray, place: np.ndarray, level: np.ndarray, classes: np.
     with np.errstate(over="ignore"):
         cell = _mix(grams[row] * _OTHER + low.astype(np.uint64) * _SEED + high.astype(np.uint64)) >> np.uint64(64 - GRAM_BITS)
     tag = np.where(own < other, 1, np.where(own > other, 2, 0)).astype(np.uint64)
-    return np.where(many, cell, grams[row]), place[row], tag, classes[row], sizes[row]
+    return np.where(many, cell, grams[row]), place[row], tag, who[row]
 
 
-def _meet(g: np.ndarray, c: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(smaller, name of the larger) of the pairs that meet in a column within the bounds; whole columns only, in order.
+def _meet(g: np.ndarray, w: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(name of the smaller, of the larger) of the pairs that meet in a column within the bounds; whole columns only, in order.
 
     Where less than SHARED columns must be shared, a meeting counts several times, so that SHARED meetings are needed of all.
+    Rows of one name and size are one (copies from several tasks); they meet themselves once, in case they are not copies.
     """
     column = g >> np.uint64(PLACE_BITS + 2)
-    order = np.lexsort((c, n, column))
-    g, c, n, column = g[order], c[order], n[order], column[order]
+    n, names = (w & np.uint64(0xFFFFFFFF)).astype(np.int64), (w >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((g, names, n, column))
+    g, n, names, column = g[order], n[order], names[order], column[order]
+    same = np.zeros(len(g), dtype=bool)
+    same[1:] = (g[1:] == g[:-1]) & (n[1:] == n[:-1]) & (names[1:] == names[:-1])
+    twins = names[same & ~np.r_[same[1:], False]]
+    kept, held = [(np.repeat(twins, SHARED), np.repeat(twins, SHARED))], len(twins) * SHARED
+    g, n, names, column = g[~same], n[~same], names[~same], column[~same]
     place, tag = ((g >> np.uint64(2)) & np.uint64(_FAR)).astype(np.int64), (g & np.uint64(3)).astype(np.int8)
     share = threshold / (1 + threshold)
-    index = np.minimum(n, n - np.ceil(2 * share * n - 1e-9).astype(np.int64) + SHARED)
-    names = _names(c)
-    first = np.flatnonzero((place < index) | (place == _FAR))
-    step, kept, held = 1, [], 0
+    first, step = np.arange(len(g)), 1
     while len(first):
         first = first[first + step < len(g)]
         second = first + step
@@ -227,10 +248,10 @@ def _meet(g: np.ndarray, c: np.ndarray, n: np.ndarray, threshold: float) -> Iter
         first, second = first[near], second[near]
         x, y, xp, yp = n[first], n[second], place[first], place[second]
         least = np.ceil((x + y) * share - 1e-9).astype(np.int64)
-        room = np.minimum(xp, yp) + np.minimum(x - xp, y - yp) >= least
-        ok = (room | (np.maximum(xp, yp) == _FAR)) & (c[first] != c[second]) & ((tag[first] != tag[second]) | (tag[first] == 0))
+        room = (np.minimum(xp, yp) + np.minimum(x - xp, y - yp) >= least) & (xp < x - least + SHARED) & (yp < y - least + SHARED)
+        ok = (room | (np.maximum(xp, yp) == _FAR)) & ((tag[first] != tag[second]) | (tag[first] == 0))
         times = np.maximum(1, -(-SHARED // np.maximum(1, least[ok])))
-        kept.append((np.repeat(c[first][ok], times), np.repeat(names[second][ok], times)))
+        kept.append((np.repeat(names[first][ok], times), np.repeat(names[second][ok], times)))
         held += len(kept[-1][0])
         if held > _EVENTS:
             yield np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
@@ -240,15 +261,13 @@ def _meet(g: np.ndarray, c: np.ndarray, n: np.ndarray, threshold: float) -> Iter
         yield np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
 
 
-def _lists(c: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
-    """One row for each class: the names of those it has met."""
-    order = np.argsort(c, kind="stable")
-    c, names = c[order], names[order]
-    starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-    ends = np.r_[starts[1:], len(c)]
-    data = pa.py_buffer(names.tobytes())
-    offsets = pa.py_buffer((np.r_[starts, len(c)] * 4).astype(np.int32).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(c[starts]), pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, data])], names=["c", "met"])
+def _lists(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """One row for each name: the names it has met."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    offsets = pa.py_buffer((np.r_[starts, len(a)] * 4).astype(np.int32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(a[starts].view(np.int32)), pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(b.tobytes())])], names=["na", "met"])
 
 
 def _product(threshold: float):  # noqa: ANN202
@@ -260,30 +279,30 @@ def _product(threshold: float):  # noqa: ANN202
 
         def whole(last: bool) -> tuple[np.ndarray, ...]:
             nonlocal waiting, held
-            g, c, n = (np.concatenate([w[i] for w in waiting]) for i in range(3))
+            g, w = (np.concatenate([x[i] for x in waiting]) for i in range(2))
             column = g >> np.uint64(PLACE_BITS + 2)
             end = len(g) if last else int(np.searchsorted(column, column[-1]))
-            waiting, held = [(g[end:], c[end:], n[end:])], len(g) - end
-            return g[:end], c[:end], n[:end]
+            waiting, held = [(g[end:], w[end:])], len(g) - end
+            return g[:end], w[:end]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            waiting.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+            waiting.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64)))
             held += batch.num_rows
             if held >= _ROWS:
-                for c, names in _meet(*whole(False), threshold):
-                    yield _lists(c, names)
+                for a, b in _meet(*whole(False), threshold):
+                    yield _lists(a, b)
         if held:
-            for c, names in _meet(*whole(True), threshold):
-                yield _lists(c, names)
+            for a, b in _meet(*whole(True), threshold):
+                yield _lists(a, b)
 
     return multiply
 
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names met SHARED times, by class; rows come ordered by class."""
-    class_now, names, counts = None, np.array([], dtype=np.uint32), np.array([], dtype=np.int64)
+    """Names met SHARED times, by name; rows come ordered by name."""
+    now, names, counts = None, np.array([], dtype=np.uint32), np.array([], dtype=np.int64)
 
     def merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         new, n = np.unique(np.frombuffer(b"".join(parts), dtype=np.uint32), return_counts=True)
@@ -292,24 +311,24 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, place = np.unique(np.concatenate([names, new]), return_inverse=True)
         return both, np.bincount(place, weights=np.concatenate([counts, n])).astype(np.int64)
 
+    def rows(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        a = np.repeat(np.array([f[0] for f in found], dtype=np.int32), [len(f[1]) for f in found])
+        b = np.concatenate([f[1] for f in found]).view(np.int32) if found else np.array([], dtype=np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["na", "nb"])
+
     for batch in batches:
-        out_c: list[np.ndarray] = []
-        out_n: list[np.ndarray] = []
-        c, met = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]).tolist() if len(c) else []
-        for a, z in zip(starts, [*starts[1:], len(c)]):
-            if class_now is not None and c[a] != class_now:
-                some = names[counts >= SHARED]
-                out_c.append(np.full(len(some), class_now, dtype=np.int64))
-                out_n.append(some)
+        found = []
+        a, met = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]).tolist() if len(a) else []
+        for at, end in zip(starts, [*starts[1:], len(a)]):
+            if now is not None and a[at] != now:
+                found.append((now, names[counts >= SHARED]))
                 names, counts = np.array([], dtype=np.uint32), np.array([], dtype=np.int64)
-            class_now = c[a]
-            names, counts = merged(met[a:z])
-        if out_c:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_c)), pa.array(np.concatenate(out_n).view(np.int32))], names=["ca", "nb"])
-    if class_now is not None:
-        some = names[counts >= SHARED]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), class_now, dtype=np.int64)), pa.array(some.view(np.int32))], names=["ca", "nb"])
+            now = a[at]
+            names, counts = merged(met[at:end])
+        yield rows(found)
+    if now is not None:
+        yield rows([(now, names[counts >= SHARED])])
 
 
 def _slots(names: np.ndarray) -> np.ndarray:
@@ -319,8 +338,8 @@ def _slots(names: np.ndarray) -> np.ndarray:
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     for batch in batches:
-        bits[_slots(_names(batch.column(0).to_numpy()))] = True
-        bits[_slots(batch.column(1).to_numpy().view(np.uint32))] = True
+        for i in (0, 1):
+            bits[_slots(batch.column(i).to_numpy().view(np.uint32))] = True
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
 
@@ -341,7 +360,8 @@ def _whole_sets(width: int, wanted: np.ndarray):  # noqa: ANN202
             names = _names(heads[1])
             some = wanted[_slots(names)]
             some[some] = _fresh(seen, heads[:, some])
-            packed = [grams[a:z].tobytes() for a, z in zip(heads[0][some].tolist(), ends[some].tolist())]
+            narrow = np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :_BYTES])
+            packed = [narrow[a:z].tobytes() for a, z in zip(heads[0][some].tolist(), ends[some].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(heads[1][some]), pa.array(heads[2][some]), pa.array(names[some].view(np.int32)), pa.array(packed, pa.binary())], names=["c", "d", "name", "grams"]
             )
@@ -359,14 +379,21 @@ def _members(width: int):  # noqa: ANN202
     return emit
 
 
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _BYTES, 8), dtype=np.uint8)
+    out[:, :_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, _BYTES)
+    return out.view(np.uint64).ravel()
+
+
 def _similar(threshold: float):  # noqa: ANN202
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             kept = []
             for i, (x, y) in enumerate(zip(a, b)):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = _unpacked(x), _unpacked(y)
+                together = np.sort(np.concatenate([x, y]))
+                both = int((together[1:] == together[:-1]).sum())
                 if both >= threshold * (len(x) + len(y) - both) - 1e-9:
                     kept.append(i)
             yield batch.select([0, 1, 2, 3]).take(pa.array(kept, pa.int64()))
@@ -379,24 +406,26 @@ def similar_classes(texts: DataFrame, width: int = 3, threshold: float = 0.5) ->
     from folioflow.plans.lineage import settle
 
     rank = gram_sketch(texts, width)
-    prefix = texts.mapInArrow(_prefixes(width, rank, threshold), "g long, c long, n long")
+    prefix = texts.mapInArrow(_prefixes(width, rank, threshold), "g long, w long")
+    # rows are about twice the texts' bytes: two blocks for each split of the texts keep blocks at the splits' size at any scale
     # ordered as unsigned numbers are, since the product cuts columns by their place in that order
-    blocks = prefix.repartition(F.shiftright("g", PLACE_BITS + 2)).sortWithinPartitions(F.shiftrightunsigned("g", PLACE_BITS + 2))
-    met = blocks.mapInArrow(_product(threshold), "c long, met binary")
-    candidates = settle(met.repartition("c").sortWithinPartitions("c").mapInArrow(_often, "ca long, nb int"))
+    parts = max(2 * texts.rdd.getNumPartitions(), texts.sparkSession.sparkContext.defaultParallelism)
+    blocks = prefix.repartition(parts, F.shiftright("g", PLACE_BITS + 2)).sortWithinPartitions(F.shiftrightunsigned("g", PLACE_BITS + 2))
+    met = blocks.mapInArrow(_product(threshold), "na int, met binary")
+    candidates = settle(met.repartition("na").sortWithinPartitions("na").mapInArrow(_often, "na int, nb int"))
     sets = texts.mapInArrow(_whole_sets(width, class_filter(candidates)), "c long, d long, name int, grams binary")
-    sets = sets.groupBy("c", "d", "name").agg(F.first("grams").alias("grams"))
-    a = sets.select(F.col("c").alias("ca"), F.struct("c", "d").alias("a"), F.col("grams").alias("ga"))
+    sets = sets.groupBy("name", "c", "d").agg(F.first("grams").alias("grams"))
+    a = sets.select(F.col("name").alias("na"), F.struct("c", "d").alias("a"), F.col("grams").alias("ga"))
     b = sets.select(F.col("name").alias("nb"), F.struct("c", "d").alias("b"), F.col("grams").alias("gb"))
-    paired = candidates.join(a, "ca").join(b, "nb").where("a <> b")
+    paired = candidates.join(a, "na").join(b, "nb").where("(na <> nb and a <> b) or a < b")
     verified = paired.select("a.c", "a.d", F.col("b.c").alias("bc"), F.col("b.d").alias("bd"), "ga", "gb").mapInArrow(_similar(threshold), "c long, d long, bc long, bd long")
     return verified.select(F.struct("c", "d").alias("ca"), F.struct(F.col("bc").alias("c"), F.col("bd").alias("d")).alias("cb"))
 
 
 def members(df: DataFrame, key: str, columns: tuple[str, ...], width: int = 3) -> DataFrame:
-    """key, c: the class (two halves) of every record that has a set."""
+    """key, c: the class (two halves) of every record that has a set; repeated records give repeated rows."""
     src = df.where(F.col(columns[-1]).isNotNull()).select(F.col(key).alias("key"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    return src.mapInArrow(_members(width), f"key {dict(src.dtypes)['key']}, c long, d long").distinct().select("key", F.struct("c", "d").alias("c"))
+    return src.mapInArrow(_members(width), f"key {dict(src.dtypes)['key']}, c long, d long").select("key", F.struct("c", "d").alias("c"))
 
 
 def _texts(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -445,7 +474,7 @@ def similar_groups(df: DataFrame, key: str = "doc_number", columns: tuple[str, .
     from folioflow.plans.lineage import settle
 
     links = settle(similar_classes(_texts(df, columns), width, threshold).distinct())
-    who = settle(members(df, key, columns, width))
+    who = settle(members(df, key, columns, width).distinct())
     degree = links.select(F.col("ca").alias("c")).unionByName(links.select(F.col("cb").alias("c"))).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
     out = who.join(components(who, links), "c").join(degree, "c", "left")
     named = {c: F.concat(*[F.lpad(F.lower(F.hex(f"{c}.{half}")), 16, "0") for half in ("c", "d")]) for c in ("c", "root")}
