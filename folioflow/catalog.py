@@ -17,7 +17,8 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    lines = records.parse_records(_t(spark, d, "raw_rows"), "line_text").where("reason is not null").select(F.lit("raw_rows").alias("table_name"), F.col("row_no").alias("row_key"), "reason")
+    """The reason of a line is that of its first record; records found behind a broken one do not mend the line."""
+    lines = records.parse_records(_t(spark, d, "raw_rows"), "line_text").where("record_no = 0 and reason is not null").select(F.lit("raw_rows").alias("table_name"), F.col("row_no").alias("row_key"), "reason")
     dates = records.split_dates(_t(spark, d, "df").select("doc_number", "year", "month", "num_day")).where("reason is not null").select(F.lit("df").alias("table_name"), F.col("doc_number").alias("row_key"), "reason")
     return lines.unionByName(dates).distinct()
 
@@ -27,8 +28,16 @@ def p7_valid(spark: SparkSession, d: str) -> DataFrame:
     return records.parse_records(_t(spark, d, "raw_rows"), "line_text").where("reason is null").select("row_no", "file_name", "record.*")
 
 
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    """Records of every file by their reason (null: valid), the lines of a file read as one text, a thousand row numbers at a time."""
+    lines = _t(spark, d, "raw_rows").where("line_text is not null").withColumn("block", F.floor(F.col("row_no") / 1000))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line_text"))), lambda r: r["line_text"])
+    files = lines.groupBy("file_name", "block").agg(F.array_join(ordered, "\n").alias("text"))
+    return records.parse_records(files, "text", whole=False).groupBy("file_name", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found, "p7_valid": p7_valid} | {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+    return {"p7_found": p7_found, "p7_valid": p7_valid, "p7_files": p7_files} | {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 
 
 _FIELD = '("(?:[^"]|"")*"|[^",]*)'

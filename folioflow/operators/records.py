@@ -9,8 +9,11 @@ Grammar::
     bare    := (any but ',' '"' line_break)*
 
 A broken quotation leaves no way to tell where its record ends.  The reader then resumes at the
-next record-start anchor: a line break followed by what ``anchor`` matches.  Every record comes
-out with its fields or with the located first error; nothing is dropped.
+next record-start anchor: a line break behind which a whole record of the wanted number of fields
+parses.  Every record comes out with its fields or with the located first error; nothing is dropped.
+
+A line as received (``whole``) ends where its text ends, and line breaks in it are text; but behind
+a broken quotation it, too, is searched for anchors, so that records glued to a broken one are read.
 """
 
 from __future__ import annotations
@@ -22,9 +25,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# The fields of a line, the anchor of a record, and the English months with their longest day.
+# The fields of a line, and the English months with their longest day.
 FIELDS = ("docid", "year", "month", "num_day", "weekday", "title", "text", "section")
-ANCHOR = r'"?kx\d{8,}[0-9a-z]*"?\s*,'
 MONTH_DAYS = {
     "january": 31, "february": 29, "march": 31, "april": 30, "may": 31, "june": 30,
     "july": 31, "august": 31, "september": 30, "october": 31, "november": 30, "december": 31,
@@ -33,6 +35,9 @@ FIRST_YEAR, LAST_YEAR = 1999, 2002
 BLANKS = r"[\s\x{00A0}\x{3000}\x{2000}-\x{200B}\x{202F}\x{FEFF}]*"
 
 
+_LINE_BREAK = re.compile("\r\n|\n|\r")
+
+
 @dataclass
 class Record:
     """One record: its fields, or the first error with its place in the text."""
@@ -45,18 +50,17 @@ class Record:
 
 
 class RecordReader:
-    """Recursive descent over one text; ``whole`` reads it as a single record, whose line ends where the text ends."""
+    """Recursive descent over one text; ``whole`` reads it as a line, whose record ends where the text ends."""
 
-    def __init__(self, text: str, anchor: str = ANCHOR, whole: bool = False) -> None:
-        self.text, self.at, self.whole = text, 0, whole
+    def __init__(self, text: str, n_fields: int = len(FIELDS), whole: bool = False) -> None:
+        self.text, self.at, self.n_fields, self.whole = text, 0, n_fields, whole
         self.end = len(text.rstrip("\r\n")) if whole else len(text)
-        self.restart = re.compile(r"\r?\n(?=" + anchor + ")")
 
     def records(self) -> Iterator[Record]:
-        while self.at < self.end or (self.whole and self.at == 0):
+        if self.whole:
+            yield self.record()
+        while self.at < self.end:
             yield self.record()
-            if self.whole:
-                return
 
     def record(self) -> Record:
         out = Record(self.at)
@@ -103,8 +107,24 @@ class RecordReader:
         return self.text[start : self.at], None
 
     def recover(self) -> None:
-        found = None if self.whole else self.restart.search(self.text, self.at)
-        self.at = found.start() if found else self.end
+        """To the line break before the next validated anchor, or to the end."""
+        for m in _LINE_BREAK.finditer(self.text, self.at, self.end):
+            if self.anchored(m.end()):
+                self.at, self.whole = m.start(), False
+                return
+        self.at = self.end
+
+    def anchored(self, at: int) -> bool:
+        """Whether a record with all its fields starts at ``at``."""
+        trial = RecordReader(self.text, self.n_fields)
+        trial.at, trial.end = at, self.end
+        for n in range(1, self.n_fields + 1):
+            if trial.field()[1] is not None:
+                return False
+            if trial.at >= trial.end or trial.text[trial.at] != ",":
+                return n == self.n_fields
+            trial.at += 1
+        return False
 
     def line_break(self) -> None:
         for mark in ("\r\n", "\n", "\r"):
@@ -133,7 +153,7 @@ _PARSED = T.StructType([
 ])
 
 
-def _parser(anchor: str, whole: bool):  # noqa: ANN202
+def _parser(n_fields: int, whole: bool):  # noqa: ANN202
     @F.pandas_udf(T.ArrayType(_PARSED))
     def parse(texts: pd.Series) -> pd.Series:
         out = []
@@ -141,23 +161,25 @@ def _parser(anchor: str, whole: bool):  # noqa: ANN202
             if text is None:
                 out.append([(None, "column_count", 0, 0, 0)] if whole else [])
             else:
-                out.append([(r.fields, r.error, r.error_at, r.start, r.end) for r in RecordReader(text, anchor, whole).records()])
+                out.append([(r.fields, r.error, r.error_at, r.start, r.end) for r in RecordReader(text, n_fields, whole).records()])
         return pd.Series(out, dtype=object)
 
     return parse
 
 
-def parse_records(df: DataFrame, text: str, columns: tuple[str, ...] = FIELDS, anchor: str = ANCHOR, whole: bool = True) -> DataFrame:
-    """The rows of ``df``, one for each record of ``text``, with record (a struct of ``columns``), reason, reason_at and n_fields.
+def parse_records(df: DataFrame, text: str, columns: tuple[str, ...] = FIELDS, whole: bool = True) -> DataFrame:
+    """The rows of ``df``, one for each record of ``text``, with record_no (from 0), record (a struct
+    of ``columns``), reason, reason_at and n_fields.
 
-    ``whole``: each text is one record, as received; otherwise a text holds many, found by line breaks and anchors.
+    ``whole``: each text is a line as received, one record and those found at anchors behind a broken quotation; otherwise a
+    text is a file of many, parted by line breaks, with the same recovery.
     A record is null where a reason stands and the other way round.  Reasons, the first that applies: quoting,
     column_count, year, month, day.  A null text is one reject ('column_count') as a line, no record as a file; an empty
     line is a reject, too.  Columns of ``df`` named as the new ones are replaced.
     """
-    new = ("record", "reason", "reason_at", "n_fields")
+    new = ("record_no", "record", "reason", "reason_at", "n_fields")
     kept = [c for c in df.columns if c not in new]
-    out = df.select(*[F.col(f"`{c}`") for c in kept], F.explode(_parser(anchor, whole)(F.col(text))).alias("_p"))
+    out = df.select(*[F.col(f"`{c}`") for c in kept], F.posexplode(_parser(len(columns), whole)(F.col(text))).alias("record_no", "_p"))
     part = {c: F.get(F.col("_p.fields"), F.lit(i)) for i, c in enumerate(columns)}
     n = F.coalesce(F.size("_p.fields"), F.lit(0))
     dated = {"year", "month", "num_day"} <= set(columns)
@@ -165,7 +187,7 @@ def parse_records(df: DataFrame, text: str, columns: tuple[str, ...] = FIELDS, a
     out = out.withColumn("reason", reason)
     record = F.struct(*[v.alias(c) for c, v in part.items()])
     return out.select(
-        *[F.col(f"`{c}`") for c in kept], F.when(F.col("reason").isNull(), record).alias("record"), "reason",
+        *[F.col(f"`{c}`") for c in kept], "record_no", F.when(F.col("reason").isNull(), record).alias("record"), "reason",
         F.when(F.col("reason").isNotNull(), F.coalesce(F.col("_p.error_at"), F.col("_p.start"))).alias("reason_at"), n.alias("n_fields"),
     )
 

@@ -48,3 +48,15 @@ def test_round_trip(fields):
     line = ",".join('"' + f.replace('"', '""') + '"' for f in fields)
     (record,) = RecordReader(line, whole=True).records()
     assert record.fields == fields and record.error is None
+
+
+def test_records_glued_to_a_broken_line(spark):
+    broken = 'kx000000013,1999,May,12,Wed,"open, text'
+    df = spark.createDataFrame([(1, broken + "\n" + GOOD), (2, broken + "\nno record, this"), (3, broken + "\r\n" + GOOD + "\n" + GOOD)], "row_no int, line_text string")
+    rows = parse_records(df, "line_text").collect()
+    assert [(r.row_no, r.record_no, r.reason) for r in rows] == [(1, 0, "quoting"), (1, 1, None), (2, 0, "quoting"), (3, 0, "quoting"), (3, 1, None), (3, 2, None)]
+
+
+def test_an_anchor_is_a_whole_record():
+    reader = RecordReader("a,b\n" + GOOD + "\nc,d,e,f,g,h,i,j", whole=False)
+    assert not reader.anchored(0) and reader.anchored(4) and reader.anchored(len(GOOD) + 5)
