@@ -351,30 +351,24 @@ def class_filter(pairs: DataFrame) -> np.ndarray:
     return bits
 
 
-def _whole_sets(width: int, wanted: np.ndarray):  # noqa: ANN202
+def _records(width: int, wanted: np.ndarray):  # noqa: ANN202
+    """Every record that has a set, with its class; and the set, once a task, where the class is wanted."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in _slices(batches):
-            owner, grams, heads = _sets(*_ngrams(_joined(batch, 0), width), None)
+            owner, grams, heads = _sets(*_ngrams(_joined(batch, 1), width), None)
             ends = np.r_[heads[0][1:], len(owner)]
             names = _names(heads[1])
             some = wanted[_slots(names)]
             some[some] = _fresh(seen, heads[:, some])
             narrow = np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :_BYTES])
-            packed = [narrow[a:z].tobytes() for a, z in zip(heads[0][some].tolist(), ends[some].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(heads[1][some]), pa.array(heads[2][some]), pa.array(names[some].view(np.int32)), pa.array(packed, pa.binary())], names=["c", "d", "name", "grams"]
-            )
-
-    return emit
-
-
-def _members(width: int):  # noqa: ANN202
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            owner, _, heads = _sets(*_ngrams(_joined(batch, 1), width), None)
+            packed = [narrow[a:z].tobytes() if s else None for a, z, s in zip(heads[0].tolist(), ends.tolist(), some.tolist())]
             rows = owner[heads[0]] if len(owner) else np.array([], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(heads[1]), pa.array(heads[2])], names=["key", "c", "d"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows)), pa.array(heads[1]), pa.array(heads[2]), pa.array(names.view(np.int32)), pa.array(packed, pa.binary())],
+                names=["key", "c", "d", "name", "grams"],
+            )
 
     return emit
 
@@ -401,10 +395,13 @@ def _similar(threshold: float):  # noqa: ANN202
     return keep
 
 
-def similar_classes(texts: DataFrame, width: int = 3, threshold: float = 0.5) -> DataFrame:
-    """ca, cb (two halves of a class each) of every pair of classes whose sets of n-grams have at least ``threshold`` of their union in common."""
+def similar_classes(df: DataFrame, key: str, columns: tuple[str, ...], width: int = 3, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(ca, cb) of every pair of classes whose sets of n-grams have at least ``threshold`` of their union in common, and (key, c) of
+    every record that has a set; a class is a struct of two halves, repeated records give repeated rows."""
     from folioflow.plans.lineage import settle
 
+    src = df.where(F.col(columns[-1]).isNotNull()).select(F.col(key).alias("key"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    texts = src.drop("key")
     rank = gram_sketch(texts, width)
     prefix = texts.mapInArrow(_prefixes(width, rank, threshold), "g long, w long")
     # rows are about twice the texts' bytes: two blocks for each split of the texts keep blocks at the splits' size at any scale
@@ -413,29 +410,20 @@ def similar_classes(texts: DataFrame, width: int = 3, threshold: float = 0.5) ->
     blocks = prefix.repartition(parts, F.shiftright("g", PLACE_BITS + 2)).sortWithinPartitions(F.shiftrightunsigned("g", PLACE_BITS + 2))
     met = blocks.mapInArrow(_product(threshold), "na int, met binary")
     candidates = settle(met.repartition("na").sortWithinPartitions("na").mapInArrow(_often, "na int, nb int"))
-    sets = texts.mapInArrow(_whole_sets(width, class_filter(candidates)), "c long, d long, name int, grams binary")
-    sets = sets.groupBy("name", "c", "d").agg(F.first("grams").alias("grams"))
+    kind = dict(src.dtypes)["key"]
+    records = settle(src.mapInArrow(_records(width, class_filter(candidates)), f"key {kind}, c long, d long, name int, grams binary"))
+    sets = records.where("grams is not null").groupBy("name", "c", "d").agg(F.first("grams").alias("grams"))
     a = sets.select(F.col("name").alias("na"), F.struct("c", "d").alias("a"), F.col("grams").alias("ga"))
     b = sets.select(F.col("name").alias("nb"), F.struct("c", "d").alias("b"), F.col("grams").alias("gb"))
     paired = candidates.join(a, "na").join(b, "nb").where("(na <> nb and a <> b) or a < b")
     verified = paired.select("a.c", "a.d", F.col("b.c").alias("bc"), F.col("b.d").alias("bd"), "ga", "gb").mapInArrow(_similar(threshold), "c long, d long, bc long, bd long")
-    return verified.select(F.struct("c", "d").alias("ca"), F.struct(F.col("bc").alias("c"), F.col("bd").alias("d")).alias("cb"))
-
-
-def members(df: DataFrame, key: str, columns: tuple[str, ...], width: int = 3) -> DataFrame:
-    """key, c: the class (two halves) of every record that has a set; repeated records give repeated rows."""
-    src = df.where(F.col(columns[-1]).isNotNull()).select(F.col(key).alias("key"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    return src.mapInArrow(_members(width), f"key {dict(src.dtypes)['key']}, c long, d long").select("key", F.struct("c", "d").alias("c"))
-
-
-def _texts(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    return df.where(F.col(columns[-1]).isNotNull()).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    links = verified.select(F.struct("c", "d").alias("ca"), F.struct(F.col("bc").alias("c"), F.col("bd").alias("d")).alias("cb"))
+    return links, records.select("key", F.struct("c", "d").alias("c"))
 
 
 def similar_pairs(df: DataFrame, key: str = "doc_number", columns: tuple[str, ...] = ("title", "text"), width: int = 3, threshold: float = 0.5) -> DataFrame:
     """key_a < key_b of every pair of similar records, copies included."""
-    links = similar_classes(_texts(df, columns), width, threshold)
-    who = members(df, key, columns, width)
+    links, who = similar_classes(df, key, columns, width, threshold)
     a, b = who.select(F.col("key").alias("ka"), F.col("c").alias("ca")), who.select(F.col("key").alias("kb"), F.col("c").alias("cb"))
     across = links.join(a, "ca").join(b, "cb").select("ka", "kb")
     within = a.join(b, (F.col("ca") == F.col("cb")) & (F.col("ka") < F.col("kb"))).select("ka", "kb")
@@ -473,8 +461,8 @@ def similar_groups(df: DataFrame, key: str = "doc_number", columns: tuple[str, .
     """key, class_id, n_links (to other classes), group_id of every record with a set."""
     from folioflow.plans.lineage import settle
 
-    links = settle(similar_classes(_texts(df, columns), width, threshold).distinct())
-    who = settle(members(df, key, columns, width).distinct())
+    links, who = similar_classes(df, key, columns, width, threshold)
+    links, who = settle(links.distinct()), settle(who.distinct())
     degree = links.select(F.col("ca").alias("c")).unionByName(links.select(F.col("cb").alias("c"))).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
     out = who.join(components(who, links), "c").join(degree, "c", "left")
     named = {c: F.concat(*[F.lpad(F.lower(F.hex(f"{c}.{half}")), 16, "0") for half in ("c", "d")]) for c in ("c", "root")}
