@@ -6,6 +6,9 @@ word that mixes scripts becomes a lattice with, for each letter, the letters tha
 and a Viterbi search finds the path whose characters keep to one script and follow each other
 as in the clean words of the collection (character pairs counted over all of them).
 
+The differences a text holds are told by what this did to it: what was deleted, what got another form,
+what was composed, and which words a best path had to mend (or could not, so that they still mix).
+
 Defined cases: null stays null, an empty text stays empty; words wholly in one script,
 typographic quotes and Chinese punctuation are left as they are.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata as U
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,23 +77,26 @@ def _alternatives() -> dict[str, str]:
 ALTERNATIVES = _alternatives()
 
 
-def resolve(word: str, scores: dict[str, float]) -> str:
-    """The best path through the lattice of look-alikes of a word that mixes scripts."""
-    best: dict[str, tuple[float, str]] = {"": (0.0, "")}
+def resolve(word: str, scores: dict[str, float]) -> tuple[str, bool]:
+    """The best path through the lattice of look-alikes of a word; and whether the word as it stands is a case: the path
+    changes it, or it changes scripts on every path."""
+    best: dict[str, tuple[float, int, str]] = {"": (0.0, 0, "")}
     for c in word:
-        layer: dict[str, tuple[float, str]] = {}
+        layer: dict[str, tuple[float, int, str]] = {}
         for x in ALTERNATIVES.get(c, c):
             own = script(x)
-            top, path = -math.inf, ""
-            for prev, (score, so_far) in best.items():
+            top = (-math.inf, 0, "")
+            for prev, (score, turns, so_far) in best.items():
                 was = script(prev) if prev else own
-                s = score - (SWITCH if own and was and own != was else 0.0) - (CHANGE if x != c else 0.0)
+                turn = bool(own and was and own != was)
+                s = score - SWITCH * turn - (CHANGE if x != c else 0.0)
                 s += scores.get((prev + x).lower(), FLOOR) if prev else 0.0
-                if s > top:
-                    top, path = s, so_far + x
-            layer[x] = (top, path)
+                if s > top[0]:
+                    top = (s, turns + turn, so_far + x)
+            layer[x] = top
         best = layer
-    return max(best.values())[1]
+    _, turns, path = max(best.values())
+    return path, turns > 0 or path != word
 
 
 def mixes(word: str) -> bool:
@@ -98,47 +105,83 @@ def mixes(word: str) -> bool:
     return len({s for s in map(script, word) if s}) > 1
 
 
-def kinds_of(text: str) -> list[str]:
-    """Which of the differences a text holds."""
+_PLAIN, _GONE, _BLANK, _OTHER_FORM, _MARK = range(5)
+
+
+@lru_cache(maxsize=1 << 16)
+def treatment(c: str) -> tuple[int, str, str]:
+    """What is done to a character wherever it stands: (kind, what becomes of it, name of the difference or "")."""
+    if _IGNORABLE.match(c):
+        return _GONE, "", "invisible"
+    if _SPACE.match(c):
+        return _BLANK, " ", "space"
+    to = compatible(c)
+    if to != c:
+        kind = U.decomposition(c).split(" ")[0]
+        wide = kind in ("<wide>", "<narrow>") and c.isalnum()
+        joined = "LIGATURE" in U.name(c, "") and kind == "<compat>"
+        return _OTHER_FORM, to, "full_width" if wide else "ligature" if joined else ""
+    return (_MARK if U.combining(c) or U.category(c) == "Mn" else _PLAIN), c, ""
+
+
+@lru_cache(maxsize=1 << 14)
+def _scripts(c: str) -> str:
+    return script(U.normalize("NFC", compatible(c))[0]) if not _IGNORABLE.match(c) else ""
+
+
+def unified(text: str, scores: dict[str, float] | None = None) -> tuple[str, list[str]]:
+    """The one form of a text, and the differences that were found on the way."""
     if text.isascii() and not _SPACE.search(text) and not _IGNORABLE.search(text):
-        return []
-    found = []
-    if any(U.decomposition(c)[:6] in ("<wide>", "<narro") and c.isalnum() for c in set(text) if c > "⿿"):
-        found.append("full_width")
-    if any(U.decomposition(c)[:8] == "<compat>" and "LIGATURE" in U.name(c, "") for c in set(text) if c > "ÿ") or any("ﬀ" <= c <= "ﬆ" for c in text):
-        found.append("ligature")
-    marks = {c for c in set(text) if U.combining(c) or U.category(c) == "Mn"}
-    if marks and any(b in marks and a.isalpha() and len(U.normalize("NFC", a + b)) == 1 for a, b in zip(text, text[1:])):
-        found.append("accent")
-    if _IGNORABLE.search(text):
-        found.append("invisible")
-    if _SPACE.search(text):
-        found.append("space")
-    plain = U.normalize("NFC", _IGNORABLE.sub("", text))
-    if any(mixes(m.group()) for m in _RUN.finditer(plain)):
-        found.append("mixed_script")
-    return found
+        return text, []
+    letters = set(text)
+    done = [treatment(c) for c in letters]
+    found = {name for _, _, name in done if name}
+    if any(kind in (_GONE, _BLANK, _OTHER_FORM) for kind, _, _ in done):
+        table = {ord(c): to for c, (kind, to, _) in zip(letters, done) if kind in (_GONE, _BLANK, _OTHER_FORM)}
+        text = text.translate(table)
+    if any(kind == _MARK for kind, _, _ in done):
+        composed = U.normalize("NFC", text)
+        if composed != text and any(a.isalpha() and treatment(b)[0] == _MARK and len(U.normalize("NFC", a + b)) == 1 for a, b in zip(text, text[1:])):
+            found.add("accent")
+        text = composed
+    else:
+        text = U.normalize("NFC", text)
+    if len({x for x in map(_scripts, letters) if x}) > 1:
+        table = scores or {}
+
+        def mend(m: re.Match) -> str:
+            word = m.group()
+            if not mixes(word):
+                return word
+            path, case = resolve(word, table)
+            if case:
+                found.add("mixed_script")
+            return path
+
+        text = _RUN.sub(mend, text)
+    return text, [k for k in KINDS if k in found]
+
+
+# The differences, in the order in which they are given.
+KINDS = ("full_width", "ligature", "accent", "invisible", "space", "mixed_script")
 
 
 def canonical(text: str, scores: dict[str, float] | None = None) -> str:
     """The one form of a text."""
-    if text.isascii():
-        return _SPACE.sub(" ", _IGNORABLE.sub("", text)) if _SPACE.search(text) or _IGNORABLE.search(text) else text
-    text = U.normalize("NFC", "".join(map(compatible, _IGNORABLE.sub("", text))))
-    text = _SPACE.sub(" ", text)
-    return _WORD.sub(lambda m: resolve(m.group(), scores or {}) if mixes(m.group()) else m.group(), text)
+    return unified(text, scores)[0]
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from collections import Counter
-
     for pdf in batches:
-        pairs: Counter[str] = Counter()
+        words: Counter[str] = Counter()
         for text in pdf["_text"]:
-            words = Counter(w.lower() for w in _WORD.findall(text))
-            for w, n in words.items():
-                if len(w) < 2 or script(w[0]) not in ("LATIN", "CYRILLIC", "GREEK") or mixes(w):
-                    continue
+            words.update(_WORD.findall(text))
+        low: Counter[str] = Counter()
+        for w, n in words.items():
+            low[w.lower()] += n
+        pairs: Counter[str] = Counter()
+        for w, n in low.items():
+            if len(w) > 1 and script(w[0]) in ("LATIN", "CYRILLIC", "GREEK") and not mixes(w):
                 for a, b in zip(w, w[1:]):
                     pairs[a + b] += n
         yield pd.DataFrame({"pair": list(pairs), "n": list(pairs.values())}, columns=["pair", "n"])
@@ -163,9 +206,8 @@ def unify(df: DataFrame, text: str = "text", scores: dict[str, float] | None = N
 
     @F.pandas_udf("text_norm string, kinds array<string>")
     def apply(texts: pd.Series) -> pd.DataFrame:
-        kinds = [None if t is None else kinds_of(t) for t in texts]
-        norm = [None if t is None else canonical(t, table) for t in texts]
-        return pd.DataFrame({"text_norm": norm, "kinds": kinds})
+        rows = [(None, None) if t is None else unified(t, table) for t in texts]
+        return pd.DataFrame({"text_norm": [r[0] for r in rows], "kinds": [r[1] for r in rows]})
 
     out = df.withColumn("_unified", apply(F.col(text)))
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("text_norm", "kinds")], "_unified.text_norm", "_unified.kinds")

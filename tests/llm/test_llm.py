@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+import pyarrow as pa
 from folioflow.llm import leakage, lookalike, mixing, neardup, relevance, sentences, subjects, termfreq, truncation
 
 
@@ -59,8 +60,8 @@ def test_canonical():
     assert c("ｓａｉｄ ﬁne café a​b x y") == "said fine café ab x y"
     assert c("gеnоme рart tοday") == "genome part today"
     assert c("Москва “quoted” 你好，世界") == "Москва “quoted” 你好，世界" and c("") == ""
-    assert lookalike.kinds_of("Москва “q” 你好，世界 naïve น้ำ") == []
-    assert lookalike.kinds_of("ａ1 ﬁ é ­ 　 gеn") == ["full_width", "ligature", "accent", "invisible", "space", "mixed_script"]
+    assert lookalike.unified("Москва “q” 你好，世界 naïve น้ำ")[1] == []
+    assert lookalike.unified("ａ1 ﬁ é ­ 　 gеn")[1] == ["full_width", "ligature", "accent", "invisible", "space", "mixed_script"]
 
 
 @settings(max_examples=100, deadline=None)
@@ -70,6 +71,12 @@ def test_canonical_settles(text):
     assert lookalike.canonical(once) == once or unicodedata.normalize("NFC", lookalike.canonical(once)) == lookalike.canonical(once)
 
 
+def test_mixed_words_come_from_the_lattice(monkeypatch):
+    assert lookalike.unified("gеn")[1] == ["mixed_script"] and lookalike.unified("абвwqz")[1] == ["mixed_script"]
+    monkeypatch.setattr(lookalike, "resolve", lambda word, scores: (word, False))
+    assert lookalike.unified("gеn")[1] == []
+
+
 def test_unify_nulls(spark):
     df = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (3, "аb", "k")], "doc_id int, text string, kinds string")
     assert [(r.text_norm, r.kinds) for r in lookalike.unify(df).orderBy("doc_id").collect()] == [(None, None), ("", []), ("ab", ["mixed_script"])]
@@ -157,10 +164,35 @@ def test_leaks(spark):
     ]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame([(7, item), (8, "too short"), (9, None)], "item_id long, text string")
-    assert {(r.item_id, r.doc_id, r.longest_run >= 12, r.changes) for r in leakage.find_leaks(d, i).collect()} == {(7, 1, True, 0), (7, 6, True, 0), (7, 2, False, 1)}
+    assert {(r.item_id, r.doc_id, r.changes) for r in leakage.find_leaks(d, i).collect()} == {(7, 1, 0), (7, 6, 0), (7, 2, 1)}
+    assert {(r.item_id, r.doc_id) for r in leakage.find_leaks(d, i, budget=0).collect()} == {(7, 1), (7, 6)}
     assert leakage.find_leaks(d, i.limit(0)).count() == 0 and leakage.find_leaks(d.limit(0), i).count() == 0
 
 
+def test_leaks_come_from_the_distance(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(20))
+    d, i = spark.createDataFrame([(1, "before " + text + " behind")], "doc_id long, text string"), spark.createDataFrame([(7, text)], "item_id long, text string")
+    assert leakage.find_leaks(d, i, budget=0).count() == 1
+    words = list(range(20))
+    assert leakage.least_changes(words[:18], 6, [90, *words, 91], 7, 12, 6, 0) == 0
+    monkeypatch.setattr(leakage, "myers", lambda pattern, text: 9)
+    assert leakage.least_changes(words[:18], 6, [90, *words, 91], 7, 12, 6, 0) == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=12, max_size=24), st.lists(st.sampled_from("abcde"), max_size=40), st.integers(0, 1))
+def test_leaks_by_brute_force(item, doc, budget):
+    run, width = 6, 7 // (budget + 2)
+    kind = {"item": pa.array([7]), "t": pa.array([" ".join(item)])}
+    pieces = next(leakage._pieces(run, width)(iter([pa.RecordBatch.from_pydict(kind)])))
+    bits = next(leakage._marked(iter([pieces]))).column(0)[0].as_py()
+    hits = next(leakage._hits(run, width, budget, bits)(iter([pa.RecordBatch.from_pydict({"doc": pa.array([1]), "t": pa.array([" ".join(doc)])})])))
+    found = any(
+        x["h"] == y["h"] and leakage.least_changes(y["words"], y["off"], x["near"], x["place"], run, width, budget) <= budget for x in hits.to_pylist() for y in pieces.to_pylist()
+    )
+    assert found == any(leakage.myers(item[a : a + run], doc) <= budget for a in range(len(item) - run + 1))
+
+
 def test_flow():
     flow, missing = mixing.allot({("a",): 10.0, ("b",): 5.0, ("a", "b"): 4.0}, {"a": 12.0, "b": 20.0, "c": 1.0}, {"a": 2, "b": 3, "c": 2})
     assert missing["a"] == 0 and missing["c"] == 1 and missing["b"] == 0
