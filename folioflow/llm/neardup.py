@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 SKETCH_BITS = 24
 FILTER_BITS = 23
 GRAM_BITS = 40
-PLACE_BITS = 22
+PLACE_BITS = 14
 SHARED = 6
 HOT = 4096
 _BLOCK = 1 << 12
@@ -412,7 +412,8 @@ def similar_classes(df: DataFrame, key: str, columns: tuple[str, ...], width: in
     candidates = settle(met.repartition("na").sortWithinPartitions("na").mapInArrow(_often, "na int, nb int"))
     kind = dict(src.dtypes)["key"]
     records = settle(src.mapInArrow(_records(width, class_filter(candidates)), f"key {kind}, c long, d long, name int, grams binary"))
-    sets = records.where("grams is not null").groupBy("name", "c", "d").agg(F.first("grams").alias("grams"))
+    # by name only, so that both joins below go without another shuffle of the sets
+    sets = records.where("grams is not null").select("name", "c", "d", "grams").repartition("name").groupBy("name", "c", "d").agg(F.first("grams").alias("grams"))
     a = sets.select(F.col("name").alias("na"), F.struct("c", "d").alias("a"), F.col("grams").alias("ga"))
     b = sets.select(F.col("name").alias("nb"), F.struct("c", "d").alias("b"), F.col("grams").alias("gb"))
     paired = candidates.join(a, "na").join(b, "nb").where("(na <> nb and a <> b) or a < b")

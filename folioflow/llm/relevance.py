@@ -2,8 +2,9 @@
 
 score = ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length))
 
-Tokens are counted per record and term with partial aggregation before the shuffle, so a term or
-record with a third of all tokens is small by then; everything else works on these counts.
+Tokens are shuffled once by place, so that repeats meet however many tokens a record has, and counted
+by record and term before their second shuffle; all else works on these counts, which are shuffled
+once for all uses (the sums over them read one and the same exchange).
 
 Defined cases: tokens without record or term do not count, repeated rows of one place count
 once (with the least term); a collection of one record gives scores, an empty one no rows.
@@ -20,7 +21,8 @@ def relevance(df: DataFrame, term: str = "term_id", record: str = "doc_id", plac
     once = src.groupBy("_d", *[f"_p{i}" for i in range(len(place))]).agg(F.min("_t").alias("_t"))
     tf = once.groupBy("_d", "_t").agg(F.count(F.lit(1)).alias("tf"))
     length = tf.groupBy("_d").agg(F.sum("tf").alias("length"))
-    spread = tf.groupBy("_t").agg(F.count(F.lit(1)).alias("df"))
+    # counts tf, not rows: a plan without tf would be another exchange
+    spread = tf.groupBy("_t").agg(F.count("tf").alias("df"))
     n, mean = length.agg(F.count(F.lit(1)).alias("n")).scalar(), length.agg(F.avg("length").alias("mean")).scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))

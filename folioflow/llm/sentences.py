@@ -4,10 +4,12 @@ The boundary rules are compiled into a finite transducer.  Its alphabet is the s
 of places that matter (end marks, quotes, brackets, line breaks, spaces between letters of
 scripts without end marks), each classified by a bounded look at its neighbourhood; its
 state says which quotation and how many brackets are open, whether they began the sentence,
-and whether anything but blanks has been seen since the last boundary.  Every text of up to
-``CHUNK`` characters is one run.  A longer text is cut into chunks; each chunk is a function
-from the state before it to the state after it, the functions are composed by a parallel
-prefix scan, and the chunks are then run from their true states.
+whether anything but blanks has been seen since the last boundary, and whether closing marks of a
+sentence that has ended are still being passed.  Every text of up to ``CHUNK`` characters is one
+run.  A longer text is cut into chunks; each chunk is a function from the state before it to the
+state after it, the functions are composed by a parallel prefix scan, and the chunks are then run
+from their true states, with the same result as one run.  What is gathered of one text are a few
+numbers for each chunk and sentence.
 
 Defined cases: a null, empty or blank text has no sentences; a text without any end mark is
 one sentence per line; spans never hold blanks at either end; a piece without any letter or
@@ -25,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 CHUNK = 1 << 16
-CONTEXT = 256
+CONTEXT = 512
+LOOK = 200
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]))
 
@@ -74,13 +77,14 @@ _BLANK = re.compile(r"\S")
 _OPEN_BRACKET = frozenset("([{（【〔《")
 
 # Symbols of the transducer's input.
-LINE, END, STRAIGHT, OPEN_CURLY, CLOSE_CURLY, LOW, OPEN_GUIL, CLOSE_GUIL, OPEN_CORNER, CLOSE_CORNER, OPEN_BR, CLOSE_BR, GAP = range(13)
+LINE, END, STRAIGHT, OPEN_CURLY, CLOSE_CURLY, LOW, OPEN_GUIL, CLOSE_GUIL, OPEN_CORNER, CLOSE_CORNER, OPEN_BR, CLOSE_BR, GAP, EDGE = range(14)
 _QUOTE_SYMBOL = {
     '"': STRAIGHT, "“": OPEN_CURLY, "”": CLOSE_CURLY, "‟": OPEN_CURLY, "„": LOW, "«": OPEN_GUIL, "»": CLOSE_GUIL,
     "‹": OPEN_GUIL, "›": CLOSE_GUIL, "「": OPEN_CORNER, "『": OPEN_CORNER, "」": CLOSE_CORNER, "』": CLOSE_CORNER,
 }
 
-# State: quotation (6) x it began the sentence (2) x brackets (4) x the outermost began it (2) x nothing seen yet (2).
+# State: quotation (6) x it began the sentence (2) x brackets (4) x the outermost began it (2) x nothing seen yet (2);
+# between chunks also: within the closing marks of a sentence that has ended (2).
 NO_QUOTE, Q_STRAIGHT, Q_CURLY, Q_LOW, Q_GUIL, Q_CORNER = range(6)
 STATES = 6 * 2 * 4 * 2 * 2
 
@@ -101,24 +105,30 @@ START = pack(NO_QUOTE, 0, 0, 0, 1)
 
 
 def _next(text: str, at: int) -> tuple[str, int]:
-    """The next character on the line that is no blank, and its place; "" at the line's end."""
+    """The next character on the line that is no blank, and its place; "" at the line's end and behind LOOK blanks."""
     c = text[at : at + 1]
     if c and not c.isspace():
         return c, at
     if c == " " and not text[at + 1 : at + 2].isspace():
         return text[at + 1 : at + 2], at + 1
-    m = _BLANK.search(text, at)
+    m = _BLANK.search(text, at, at + LOOK)
     if not m or any(c in LINE_MARKS for c in text[at : m.start()]):
         return "", at
     return m.group(), m.start()
 
 
+def _behind_closers(text: str, at: int) -> int:
+    """The place behind closing marks, of which at most LOOK / 4 are looked at."""
+    end = min(len(text), at + LOOK // 4)
+    while at < end and text[at] in _CLOSERS:
+        at += 1
+    return at
+
+
 def _stop_ends(text: str, start: int, end: int) -> bool:
     """Whether the end marks text[start:end] can end a sentence, by what stands around them."""
     marks = text[start:end]
-    follow = end
-    while follow < len(text) and text[follow] in _CLOSERS:
-        follow += 1
+    follow = _behind_closers(text, end)
     nxt, at = _next(text, follow)
     if not nxt:
         return True
@@ -174,13 +184,11 @@ def _stop_ends(text: str, start: int, end: int) -> bool:
 def _quote_ends(text: str, at: int, first: bool) -> bool:
     """Whether a sentence ends behind the closing quote or bracket text[at], given an end mark just before it."""
     i = at - 1
-    while i >= 0 and text[i] in " \u00a0\u202f\u2009":
+    while i >= max(0, at - LOOK) and text[i] in " \u00a0\u202f\u2009":
         i -= 1
-    if i < 0 or not (text[i] in _STRONG or text[i] in ".…"):
+    if i < max(0, at - LOOK) or not (text[i] in _STRONG or text[i] in ".…"):
         return False
-    follow = at + 1
-    while follow < len(text) and text[follow] in _CLOSERS:
-        follow += 1
+    follow = _behind_closers(text, at + 1)
     nxt, place = _next(text, follow)
     if not nxt:
         return True
@@ -210,16 +218,26 @@ def _quote_ends(text: str, at: int, first: bool) -> bool:
     return True
 
 
+def _behind_run(text: str, low: int) -> int:
+    """The place behind the end marks at ``low`` that belong to a run which began before."""
+    while 0 < low < len(text) and text[low] in _END_MARKS and text[low - 1] in _END_MARKS:
+        low += 1
+    return low
+
+
 def events(text: str, low: int = 0, high: int | None = None) -> Iterator[tuple[int, int, int, int]]:
-    """Input symbols of text[low:high]: (start, end, symbol, whether anything but blanks stands before it since the last one)."""
+    """Input symbols of text[low:high]: (start, end, symbol, whether anything but blanks stands before it since the last one).
+
+    Where text goes on behind ``high``, what stands before the edge is told by a last symbol, EDGE.
+    """
     high = len(text) if high is None else high
-    seen = low
+    seen = low = _behind_run(text, low)
     size = len(text)
     pattern = _EVENT if text.isascii() or not _GAP_SCRIPT.search(text) else _EVENT_GAPS
     for m in pattern.finditer(text, low):
         start, end = m.span()
         if start >= high:
-            return
+            break
         mark = text[start]
         if mark == "." and end - start == 1 and end < size:
             # a point between letters or digits, or before a small letter, neither ends a sentence nor changes the state
@@ -229,6 +247,8 @@ def events(text: str, low: int = 0, high: int | None = None) -> Iterator[tuple[i
         between = 1 if start > seen and not text[seen:start].isspace() else 0
         seen = end
         yield start, end, _SYMBOL.get(mark, END), between
+    if seen < high < size and not text[seen:high].isspace():
+        yield high, high, EDGE, 1
 
 
 def decide(text: str, start: int, end: int, symbol: int, first: int) -> int:
@@ -247,6 +267,8 @@ def _step(state: int, symbol: int, between: int, ends: int) -> tuple[int, bool]:
         fresh = 0
     if symbol == LINE:
         return START, True
+    if symbol == EDGE:
+        return pack(quote, quote_first, depth, bracket_first, fresh), False
     if symbol in (END, GAP):
         if ends and quote == NO_QUOTE and depth == 0:
             return START, True
@@ -295,7 +317,7 @@ def _compile() -> tuple[list[list[int]], list[list[int]]]:
 
 
 CUT = 1 << 10
-SYMBOLS = 13
+SYMBOLS = 14
 _SYMBOL = _QUOTE_SYMBOL | dict.fromkeys(LINE_MARKS, LINE) | dict.fromkeys(" \u00a0", GAP) | dict.fromkeys("([{（【〔《", OPEN_BR) | dict.fromkeys(")]}）】〕》", CLOSE_BR)
 TABLE, ASKS = _compile()
 
@@ -314,12 +336,19 @@ def _closing(text: str, at: int, symbol: int) -> int:
 
 
 def cuts(text: str, state: int, low: int = 0, high: int | None = None) -> tuple[list[int], int]:
-    """Places in text[low:high] where sentences end, and the state behind it."""
+    """Places in text[low:high] where sentences end, and the state behind it; a state of STATES or more is within closing marks."""
     places: list[int] = []
-    skip = -1
+    high = len(text) if high is None else high
+    skip, reached = -1, False
+    if state >= STATES:
+        state -= STATES
+        skip, reached = _closing(text, _behind_run(text, low), END), True
     for start, end, symbol, between in events(text, low, high):
-        if start < skip:
+        if start < skip and symbol != EDGE:
             continue
+        if reached and symbol != EDGE:
+            places.append(skip)
+            reached = False
         ask = ASKS[state][symbol]
         ends = decide(text, start, end, symbol, ask == 2) if ask else 0
         state = TABLE[state][symbol * 4 + between * 2 + ends]
@@ -329,9 +358,11 @@ def cuts(text: str, state: int, low: int = 0, high: int | None = None) -> tuple[
                 places.append(start)
                 places.append(end)
             else:
-                skip = _closing(text, end if symbol != GAP else start, symbol)
-                places.append(skip)
-    return places, state
+                skip, reached = _closing(text, end if symbol != GAP else start, symbol), True
+    if reached and (skip <= high or high == len(text)):
+        places.append(skip)
+        reached = False
+    return places, state + STATES * reached
 
 
 def spans_between(text: str, places: list[int]) -> list[tuple[int, int]]:
@@ -361,16 +392,14 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
 
 
 def transition(text: str, low: int, high: int) -> np.ndarray:
-    """The chunk text[low:high] as a function: for every state before it, the state behind it.
-
-    Symbols swallowed as closers of a sentence that has just ended are told by their place, so that a state carries it along.
-    """
-    at = [(s, -1) for s in range(STATES)]
+    """The chunk text[low:high] as a function: for every state before it, the state behind it."""
+    passing = _closing(text, _behind_run(text, low), END)
+    at = [(s, -1) for s in range(STATES)] + [(s, passing) for s in range(STATES)]
     for start, end, symbol, between in events(text, low, high):
         after: dict[tuple[int, int], tuple[int, int]] = {}
         for now in set(at):
             state, skip = now
-            if start < skip:
+            if start < skip and symbol != EDGE:
                 after[now] = now
                 continue
             ask = ASKS[state][symbol]
@@ -380,7 +409,7 @@ def transition(text: str, low: int, high: int) -> np.ndarray:
             else:
                 after[now] = (to - CUT, skip if symbol == LINE else _closing(text, start if symbol == GAP else end, symbol))
         at = [after[x] for x in at]
-    return np.array([s for s, _ in at], dtype=np.int16)
+    return np.array([s + STATES * (skip > high and high < len(text)) for s, skip in at], dtype=np.int16)
 
 
 def prefix_states(functions: np.ndarray, start: int = START) -> np.ndarray:
@@ -404,6 +433,15 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*keys, pa.array(places[:, 0]), pa.array(places[:, 1])], names=[*batch.schema.names[:-1], "start_char", "end_char"])
 
 
+def _split(batches: Iterator[pd.DataFrame], chunk: int) -> Iterator[pd.DataFrame]:
+    """Texts to chunks, each with what stands around it."""
+    for pdf in batches:
+        for row, text in zip(pdf["_row"], pdf["_text"]):
+            for k, low in enumerate(range(0, len(text), chunk)):
+                lead = min(CONTEXT, low)
+                yield pd.DataFrame({"_row": [row], "_k": [k], "_lead": [lead], "_n": [min(chunk, len(text) - low)], "_piece": [text[low - lead : low + chunk + CONTEXT]]})
+
+
 def _chunk_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pd.DataFrame({
@@ -418,25 +456,79 @@ def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_row": pdf["_row"], "_k": pdf["_k"], "_state": states.astype("int32")})
 
 
-def _chunk_cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parts(text: str, places: list[int], low: int, high: int, shift: int) -> list[tuple[int, int, bool, bool, bool, bool]]:
+    """The stretches of text[low:high] between the places: (first place that is no blank, end of the last, letters or digits, a
+    line break before, a line break behind, ends at a place); of a blank stretch both places are -1."""
+    out = []
+    last = low
+    for i, place in enumerate([*places, high]):
+        if place < last:
+            continue
+        piece = text[last:place]
+        bare = piece.strip()
+        if bare:
+            start = last + len(piece) - len(piece.lstrip())
+            end = start + len(bare)
+            before, behind = text[last:start], text[end:place]
+            some = any(c.isalnum() for c in bare)
+            out.append((start + shift, end + shift, some, "\n" in before or "\r" in before, "\n" in behind or "\r" in behind, i < len(places)))
+        elif piece or i < len(places):
+            line = "\n" in piece or "\r" in piece
+            out.append((-1, -1, False, line, line, i < len(places)))
+        last = place
+    return out
+
+
+def joined(stretches: list[tuple[int, int, bool, bool, bool, bool]]) -> list[tuple[int, int]]:
+    """Spans of the sentences from the stretches of all chunks in order, as ``spans_between`` has them from the text."""
+    out: list[tuple[int, int]] = []
+    line = False
+    start = end = -1
+    some = before = behind = False
+    for a, z, letters, line_before, line_behind, ends in [*stretches, (-1, -1, False, False, False, True)]:
+        if a >= 0:
+            if start < 0:
+                start, before = a, behind or line_before
+            end, behind = z, line_behind
+            some = some or letters
+        else:
+            behind = behind or line_before
+        if not ends:
+            continue
+        if start >= 0:
+            line = line or before
+            if some:
+                out.append((start, end))
+                line = False
+            elif out and not line:
+                out[-1] = (out[-1][0], end)
+        line = line or behind
+        start, end, some, before, behind = -1, -1, False, False, False
+    return out
+
+
+def _chunk_parts(batches: Iterator[pd.DataFrame], chunk: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for piece, lead, n, state, k, size in zip(pdf["_piece"], pdf["_lead"], pdf["_n"], pdf["_state"], pdf["_k"], pdf["_size"], strict=True):
+        for piece, lead, n, state, k in zip(pdf["_piece"], pdf["_lead"], pdf["_n"], pdf["_state"], pdf["_k"], strict=True):
             places, _ = cuts(piece, int(state), lead, lead + n)
-            out.append([int(k) * int(size) + p - lead for p in places])
-        yield pd.DataFrame({"_row": pdf["_row"], "_k": pdf["_k"], "_cuts": out})
+            out.append(parts(piece, places, lead, lead + n, int(k) * chunk - lead))
+        yield pd.DataFrame({"_row": pdf["_row"], "_k": pdf["_k"], "_parts": out})
+
+
+PARTS = "array<struct<a:long,z:long,letters:boolean,before:boolean,behind:boolean,ends:boolean>>"
 
 
-@F.pandas_udf(SPANS)
-def _spans_at(texts: pd.Series, places: pd.Series) -> pd.Series:
-    return pd.Series([spans_between(t, sorted(int(x) for x in (p if p is not None else []))) for t, p in zip(texts, places, strict=True)])
+def _together(pdf: pd.DataFrame) -> pd.DataFrame:
+    spans = joined([tuple(p.values()) if isinstance(p, dict) else tuple(p) for ps in pdf.sort_values("_k")["_parts"] for p in ps])
+    return pd.DataFrame({"_row": pdf["_row"].iloc[0], "start_char": [a for a, _ in spans], "end_char": [z for _, z in spans]})
 
 
 def sentences(df: DataFrame, keys: list[str], text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``keys``, start_char, end_char of every sentence of every row; offsets in characters, end exclusive.
 
-    Rows of up to ``chunk`` characters take one pass without a shuffle.  Longer ones are split, composed and
-    joined again, so that one text is never the work of a single task.  Equal rows give equal, repeated rows.
+    Rows of up to ``chunk`` characters take one pass without a shuffle.  Longer ones, each distinct one once, are split,
+    composed and joined again; equal rows give equal, repeated rows.
     """
     src = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     kept = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
@@ -444,18 +536,12 @@ def sentences(df: DataFrame, keys: list[str], text: str = "text", chunk: int = C
     short = src.where(size <= chunk).select(*kept, "_text")
     schema = T.StructType([*short.schema.fields[:-1], *SPANS.elementType.fields])
     spans = short.mapInArrow(_short, schema)
-    long = src.where(size > chunk).withColumn("_row", F.xxhash64(*[f"_k{i}" for i in range(len(keys))], "_text"))
-    at = F.col("_k").cast("long") * chunk
-    pieces = long.select("_row", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("_k"), "_text").distinct()
-    pieces = pieces.select(
-        "_row", "_k", F.least(F.lit(CONTEXT), at).cast("int").alias("_lead"),
-        F.least(F.lit(chunk), F.length("_text") - at).cast("int").alias("_n"),
-        F.expr(f"substring(_text, cast(greatest(0, _k * {chunk}L - {CONTEXT}) + 1 as int), {chunk + 2 * CONTEXT})").alias("_piece"),
-        F.lit(chunk).alias("_size"),
-    )
+    long = src.where(size > chunk).withColumn("_row", F.xxhash64("_text"))
+    once = long.groupBy("_row", "_text").agg(F.lit(1)).select("_row", "_text")
+    pieces = once.mapInPandas(lambda b: _split(b, chunk), "_row long, _k int, _lead int, _n int, _piece string").repartition("_row", "_k")
     functions = pieces.mapInPandas(_chunk_functions, "_row long, _k int, _f array<int>")
     states = functions.groupBy("_row").applyInPandas(_compose, "_row long, _k int, _state int")
-    places = pieces.join(states, ["_row", "_k"]).mapInPandas(_chunk_cuts, "_row long, _k int, _cuts array<long>")
-    whole = places.groupBy("_row").agg(F.flatten(F.collect_list("_cuts")).alias("_cuts"))
-    split = long.join(whole, "_row").select(*kept, F.inline(_spans_at("_text", "_cuts")))
+    stretches = pieces.join(states, ["_row", "_k"]).mapInPandas(lambda b: _chunk_parts(b, chunk), f"_row long, _k int, _parts {PARTS}")
+    found = stretches.groupBy("_row").applyInPandas(_together, "_row long, start_char int, end_char int")
+    split = long.drop("_text").join(found, "_row").select(*kept, "start_char", "end_char")
     return spans.unionByName(split)

@@ -75,13 +75,16 @@ def _last_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_counts(df: DataFrame, term: str = "term_str", record: str = "doc_id", sentence: str = "sentence_num", token: str = "token_num") -> DataFrame:
     """term, occurrences, records of every distinct term; the row with a null term holds all tokens and records."""
+    from folioflow.plans.lineage import settle
+
     src = df.where(F.col(record).isNotNull()).select(
         F.col(record).cast("long").alias("d"), F.coalesce(F.col(sentence).cast("int"), F.lit(-1)).alias("s"), F.coalesce(F.col(token).cast("int"), F.lit(-1)).alias("t"),
         F.col(term).cast("string").alias("w"),
     )
     # copies of one place may fill many partitions, in order: the partition they come from breaks the tie
     place = src.withColumn("p", F.spark_partition_id()).repartitionByRange("d", "s", "t", "w", "p").sortWithinPartitions("d", "s", "t", "w").drop("p")
-    counters = place.mapInArrow(_last_seen, _COUNTERS)
+    # one counter a term and partition, used for the terms and for the total: kept, so that the tokens are read once
+    counters = settle(place.mapInArrow(_last_seen, _COUNTERS))
     w = Window.partitionBy("term").orderBy("part")
     same_record = F.coalesce(F.lag("d1").over(w) == F.col("d0"), F.lit(False))
     same_place = same_record & (F.lag("s1").over(w) == F.col("s0")) & (F.lag("t1").over(w) == F.col("t0"))

@@ -32,19 +32,28 @@ def test_sentences(text, want):
     assert cut(text) == want
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet='aB. "!?\n()“”。1', max_size=120), st.integers(5, 40))
-def test_chunks_compose(text, size):
-    whole, _ = sentences.cuts(text, sentences.START)
-    starts = range(0, len(text), size)
-    states = sentences.prefix_states(np.array([sentences.transition(text, i, min(len(text), i + size)) for i in starts]).reshape(-1, sentences.STATES))
-    state = sentences.START
-    for i, s in zip(starts, states):
-        assert state == s
-        state = int(sentences.transition(text, i, min(len(text), i + size))[state])
-    spans = sentences.spans_between(text, whole)
-    assert all(a < b and not text[a].isspace() and not text[b - 1].isspace() for a, b in spans)
-    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+PIECES = ["Hello", "x", "Mr.", "U.S.", '"', "“", "”", "(", ")", ".", "!", "?", "...", " ", "  ", "\n", "«", "»", "的。", "ไทย", "12", "said", "„", "』", "'", "He", "—", "#"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=50), st.lists(st.booleans(), min_size=50, max_size=50), st.sampled_from([1, 2, 3, 5, 8, 13, 40]))
+def test_chunks_give_what_one_run_gives(pieces, blanks, size):
+    text = "".join(p + " " * b for p, b in zip(pieces, blanks))
+    cuts = [(text[max(0, k - sentences.CONTEXT) : k + size + sentences.CONTEXT], min(sentences.CONTEXT, k), min(size, len(text) - k)) for k in range(0, len(text), size)]
+    states = sentences.prefix_states(np.array([sentences.transition(p, a, a + n) for p, a, n in cuts]).reshape(-1, 2 * sentences.STATES))
+    stretches = []
+    for k, ((piece, lead, n), state) in enumerate(zip(cuts, states)):
+        places, _ = sentences.cuts(piece, int(state), lead, lead + n)
+        stretches += sentences.parts(piece, places, lead, lead + n, k * size - lead)
+    assert sentences.joined(stretches) == sentences.sentence_spans(text)
+
+
+def test_long_texts_edge(spark):
+    head = ("word " * 20000)[: sentences.CHUNK - 15] + ". x. Hello "
+    text = head + '"Yes." Bob he said it was. Next one.'
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_number long, text string")
+    got = [tuple(r)[1:] for r in sentences.sentences(df, ["doc_number"]).orderBy("start_char", "end_char").collect()]
+    assert got == sorted(2 * sentences.sentence_spans(text))
 
 
 def test_long_texts(spark):
