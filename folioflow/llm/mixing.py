@@ -2,7 +2,7 @@
 
 Documents are aggregated by membership pattern (the set of sources that hold them).  The
 patterns, a handful of rows, and the sources' quotas form a network: start -> pattern, one arc
-for every repetition of the pattern's documents, each dearer than the one before; pattern ->
+that opens by one repetition of the pattern's documents at a time, each dearer than the one before; pattern ->
 source, as far as the source allows repetition; source -> end, its quota.  A min-cost flow
 fills the quotas with as little repetition as possible.  The flow of a pattern is then laid out
 on a line of laps over its documents in seeded order: a document at x in [0, 1) gets a copy at
@@ -15,30 +15,32 @@ without a target are not drawn from.
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published split pattern of this tokenizer.
 TOKEN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MAX_PATTERNS = 100_000
 BUCKETS = 4096
+EPSILON = 1e-6
 
 
 def count_tokens(df: DataFrame, text: str = "text", path: str = TOKENIZER, pattern: str = TOKEN_PATTERN) -> DataFrame:
     """``df`` with n_tokens, the length of ``text`` in tokens of the public tokenizer at ``path``; null for null."""
 
+    with open(path, "rb") as f:
+        vocabulary = f.read()  # sent along: executors need no such file
+
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for texts in batches:
             yield texts.map(lambda t: None if t is None else len(encoding.encode_ordinary(t))).astype("Int64")
@@ -47,82 +49,100 @@ def count_tokens(df: DataFrame, text: str = "text", path: str = TOKENIZER, patte
 
 
 class Network:
-    """A flow network; ``solve`` sends as much as possible at the least cost, along shortest paths one after another."""
+    """A flow network whose flow grows to a maximum by blocking flows over shortest levels."""
 
     def __init__(self, nodes: int) -> None:
         self.out: list[list[int]] = [[] for _ in range(nodes)]
         self.to: list[int] = []
         self.room: list[float] = []
-        self.cost: list[float] = []
 
-    def arc(self, a: int, b: int, room: float, cost: float = 0.0) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0.0, -cost)):
+    def arc(self, a: int, b: int, room: float) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0.0)):
             self.out[x].append(len(self.to))
             self.to.append(y)
             self.room.append(r)
-            self.cost.append(c)
         return len(self.to) - 2
 
-    def solve(self, start: int, end: int) -> None:
-        n = len(self.out)
-        height = [0.0] * n
-        while True:
-            far, via = [float("inf")] * n, [-1] * n
-            far[start] = 0.0
-            heap = [(0.0, start)]
-            while heap:
-                d, x = heapq.heappop(heap)
-                if d > far[x]:
+    def levels(self, start: int) -> list[int]:
+        level = [-1] * len(self.out)
+        level[start], queue = 0, deque([start])
+        while queue:
+            x = queue.popleft()
+            for e in self.out[x]:
+                if self.room[e] > EPSILON and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[x] + 1
+                    queue.append(self.to[e])
+        return level
+
+    def fill(self, start: int, end: int) -> None:
+        """As much as possible on top of what flows already."""
+        while (level := self.levels(start))[end] >= 0:
+            turn = [0] * len(self.out)
+            path: list[int] = []
+            x = start
+            while True:
+                if x == end:
+                    amount = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= amount
+                        self.room[e ^ 1] += amount
+                    path, x = [], start
+                    continue
+                while turn[x] < len(self.out[x]):
+                    e = self.out[x][turn[x]]
+                    if self.room[e] > EPSILON and level[self.to[e]] == level[x] + 1:
+                        break
+                    turn[x] += 1
+                else:
+                    if x == start:
+                        break
+                    level[x] = -1
+                    x = self.to[path.pop() ^ 1]
                     continue
-                for e in self.out[x]:
-                    if self.room[e] > 0:
-                        y = self.to[e]
-                        nd = d + self.cost[e] + height[x] - height[y]
-                        if nd < far[y] - 1e-12:
-                            far[y], via[y] = nd, e
-                            heapq.heappush(heap, (nd, y))
-            if via[end] < 0:
-                return
-            for i in range(n):
-                if far[i] < float("inf"):
-                    height[i] += far[i]
-            path, x = [], end
-            while x != start:
-                path.append(via[x])
-                x = self.to[via[x] ^ 1]
-            amount = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= amount
-                self.room[e ^ 1] += amount
+                path.append(e)
+                x = self.to[e]
 
 
 def allot(patterns: dict[tuple[str, ...], float], quotas: dict[str, float], repeats: dict[str, int]) -> tuple[dict[tuple[tuple[str, ...], str], float], dict[str, float]]:
-    """Flow of every (pattern, source), and what is missing of every source's quota."""
+    """Flow of every (pattern, source), and what is missing of every source's quota.
+
+    Each repetition of a pattern's documents costs more than the one before, and nothing else costs anything.  So the flow of
+    least cost is found lap by lap: the room of one more repetition is opened for all patterns, and the flow is filled up
+    before the next, dearer one (what patterns can take together is a polymatroid, on which this greedy order is exact).
+    """
     sources, kinds = sorted(quotas), sorted(patterns)
     place = {s: 2 + i for i, s in enumerate(sources)}
     net = Network(2 + len(sources) + len(kinds))
     arcs, ends = {}, {s: net.arc(place[s], 1, quotas[s]) for s in sources}
+    taken = {}
     for k, pattern in enumerate(kinds):
         node = 2 + len(sources) + k
-        for lap in range(max((repeats[s] for s in pattern if s in place), default=0)):
-            net.arc(0, node, patterns[pattern], float(lap))
+        taken[pattern] = net.arc(0, node, 0.0)
         for s in pattern:
             if s in place and repeats[s] > 0:
                 arcs[pattern, s] = net.arc(node, place[s], patterns[pattern] * repeats[s])
-    net.solve(0, 1)
-    flow = {key: net.room[e ^ 1] for key, e in arcs.items() if net.room[e ^ 1] > 0}
-    return flow, {s: net.room[e] for s, e in ends.items()}
+    most = {p: max((repeats[s] for s in p if s in place), default=0) for p in kinds}
+    for lap in range(max(most.values(), default=0)):
+        for p in kinds:
+            if most[p] > lap:
+                net.room[taken[p]] += patterns[p]
+        net.fill(0, 1)
+    flow = {key: net.room[e ^ 1] for key, e in arcs.items() if net.room[e ^ 1] > EPSILON}
+    return flow, {s: net.room[e] if net.room[e] > EPSILON else 0.0 for s, e in ends.items()}
+
+
+def pattern_name(members: Column) -> Column:
+    return F.coalesce(F.concat_ws("\x1f", F.array_sort(members)), F.lit("")).alias("p")
 
 
 def plan_mixture(docs: DataFrame, targets: DataFrame, members: str, size: str, total: float | None = None) -> tuple[dict, dict, dict, float]:
     """(flow by pattern and source, missing by source, quota by source, total size); ``members`` holds each row's sources.
 
-    Only patterns are gathered on the driver, at most ``MAX_PATTERNS`` of them (more is an error).
+    Only patterns of sources with a target are gathered on the driver: at most 2 to the power of their number.
     """
     rows = targets.where(F.col("source").isNotNull() & F.col("target_share").isNotNull()).groupBy("source").agg(F.max("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("repeats")).collect()
-    sums = docs.groupBy(F.coalesce(F.concat_ws("\x1f", F.array_sort(members)), F.lit("")).alias("p")).agg(F.sum(size).alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    wanted = F.array(*[F.lit(r["source"]) for r in rows]).cast("array<string>")
+    sums = docs.groupBy(pattern_name(F.array_intersect(members, wanted))).agg(F.sum(size).alias("n")).collect()
     everything = float(sum(r["n"] or 0 for r in sums)) if total is None else float(total)
     patterns = {tuple(r["p"].split("\x1f")): float(r["n"]) for r in sums if r["p"] and r["n"]}
     quotas = {r["source"]: r["share"] * everything for r in rows}
@@ -144,11 +164,11 @@ def memberships(docs: DataFrame, text: str = "text", source: str = "source") ->
 
 def draw(texts: DataFrame, targets: DataFrame, seed: int = 1, total: float | None = None) -> DataFrame:
     """doc_id, source, copies, n_tokens: what to take of every distinct text, on account of which source."""
-    flow, _, _, _ = plan_mixture(texts, targets, "members", "n_tokens", total)
+    flow, _, quotas, _ = plan_mixture(texts, targets, "members", "n_tokens", total)
     spark = texts.sparkSession
     sizes: dict[str, float] = {}
     stretches = []
-    keyed = texts.where(F.col("n_tokens") > 0).withColumn("p", F.concat_ws("\x1f", "members")).withColumn("u", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("u", F.lit(BUCKETS)).cast("int"))
+    keyed = texts.where(F.col("n_tokens") > 0).withColumn("p", pattern_name(F.array_intersect("members", F.array(*[F.lit(s) for s in sorted(quotas)]).cast("array<string>")))).withColumn("u", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("u", F.lit(BUCKETS)).cast("int"))
     for (pattern, source), amount in sorted(flow.items()):
         p = "\x1f".join(pattern)
         stretches.append((p, source, sizes.get(p, 0.0), sizes.get(p, 0.0) + amount))
@@ -162,7 +182,7 @@ def draw(texts: DataFrame, targets: DataFrame, seed: int = 1, total: float | Non
     at = F.col("before") + F.col("inside")
     # copies whose start lies in [low, high): laps k with low <= at + k * lap < high
     copies = F.ceil((F.col("high") - at) / F.col("lap")) - F.greatest(F.lit(0), F.ceil((F.col("low") - at) / F.col("lap")))
-    out = placed.join(F.broadcast(lines), "p").withColumn("copies", copies.cast("int")).where(F.col("copies") > 0)
+    out = placed.join(lines, "p").withColumn("copies", copies.cast("int")).where(F.col("copies") > 0)
     return out.select("doc_id", "source", "copies", "n_tokens")
 
 

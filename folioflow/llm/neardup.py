@@ -14,8 +14,8 @@ derived from the sizes leave most of the matrix out without losing a pair:
   t / (1 + t) of the sum of the sizes;
 * a column whose counter is 1 belongs to one document and is left out (its place still counts).
 
-A block writes, for each document, the 32-bit names of those it meets.  They are added up by
-document; names met ``SHARED`` times are candidates, and candidates are verified on whole sets.
+A block writes, by document, the 32-bit names of those it meets.  They are added up by
+document; pairs met ``SHARED`` times are candidates, and candidates are verified on whole sets.
 Documents with equal sets are one class (128 bits); the product is taken over classes, and copies
 within one task are merged before any shuffle.  A column that the sketch says more than ``HOT``
 documents have is a square of cells, each a block of its own.
@@ -261,16 +261,29 @@ def _meet(g: np.ndarray, w: np.ndarray, threshold: float) -> Iterator[tuple[np.n
         yield np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
 
 
-def _lists(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """One row for each name: the names it has met."""
+def _lists(a: np.ndarray, b: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Pairs of names by bucket of the first: which first names, how often each, and the second names."""
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
     starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-    offsets = pa.py_buffer((np.r_[starts, len(a)] * 4).astype(np.int32).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(a[starts].view(np.int32)), pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(b.tobytes())])], names=["na", "met"])
+    names, counts = a[starts], np.diff(np.r_[starts, len(a)]).astype(np.uint32)
+    bucket = (names.astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    rows = []
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(names)]):
+        low, high = starts[i], starts[j] if j < len(names) else len(a)
+        rows.append((int(bucket[i]), np.array([j - i], dtype=np.uint32).tobytes() + names[i:j].tobytes() + counts[i:j].tobytes() + b[low:high].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "met"])
 
 
-def _product(threshold: float):  # noqa: ANN202
+def _unlisted(met: bytes) -> np.ndarray:
+    """The pairs of a row, as one number each."""
+    x = np.frombuffer(met, dtype=np.uint32).astype(np.uint64)
+    n = int(x[0])
+    return (np.repeat(x[1 : n + 1], x[n + 1 : 2 * n + 1].astype(np.int64)) << np.uint64(32)) | x[2 * n + 1 :]
+
+
+def _product(threshold: float, buckets: int):  # noqa: ANN202
     """One block of the product; rows come ordered by column."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,43 +305,39 @@ def _product(threshold: float):  # noqa: ANN202
             held += batch.num_rows
             if held >= _ROWS:
                 for a, b in _meet(*whole(False), threshold):
-                    yield _lists(a, b)
+                    yield _lists(a, b, buckets)
         if held:
             for a, b in _meet(*whole(True), threshold):
-                yield _lists(a, b)
+                yield _lists(a, b, buckets)
 
     return multiply
 
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names met SHARED times, by name; rows come ordered by name."""
-    now, names, counts = None, np.array([], dtype=np.uint32), np.array([], dtype=np.int64)
-
-    def merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        new, n = np.unique(np.frombuffer(b"".join(parts), dtype=np.uint32), return_counts=True)
-        if not len(names):
-            return new, n
-        both, place = np.unique(np.concatenate([names, new]), return_inverse=True)
-        return both, np.bincount(place, weights=np.concatenate([counts, n])).astype(np.int64)
+    """Pairs of names that met SHARED times; rows come ordered by bucket."""
+    now: int | None = None
+    pairs, counts = np.array([], dtype=np.uint64), np.array([], dtype=np.int64)
 
-    def rows(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        a = np.repeat(np.array([f[0] for f in found], dtype=np.int32), [len(f[1]) for f in found])
-        b = np.concatenate([f[1] for f in found]).view(np.int32) if found else np.array([], dtype=np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["na", "nb"])
+    def found() -> pa.RecordBatch:
+        kept = pairs[counts >= SHARED]
+        a, b = (kept >> np.uint64(32)).astype(np.uint32), (kept & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int32)), pa.array(b.view(np.int32))], names=["na", "nb"])
 
     for batch in batches:
-        found = []
-        a, met = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]).tolist() if len(a) else []
-        for at, end in zip(starts, [*starts[1:], len(a)]):
-            if now is not None and a[at] != now:
-                found.append((now, names[counts >= SHARED]))
-                names, counts = np.array([], dtype=np.uint32), np.array([], dtype=np.int64)
-            now = a[at]
-            names, counts = merged(met[at:end])
-        yield rows(found)
+        bucket, met = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() if len(bucket) else []
+        for at, end in zip(starts, [*starts[1:], len(bucket)]):
+            if now is not None and bucket[at] != now:
+                yield found()
+                pairs, counts = np.array([], dtype=np.uint64), np.array([], dtype=np.int64)
+            now = int(bucket[at])
+            new, n = np.unique(np.concatenate([_unlisted(m) for m in met[at:end]]), return_counts=True)
+            if len(pairs):
+                both, place = np.unique(np.concatenate([pairs, new]), return_inverse=True)
+                new, n = both, np.bincount(place, weights=np.concatenate([counts, n])).astype(np.int64)
+            pairs, counts = new, n
     if now is not None:
-        yield rows([(now, names[counts >= SHARED])])
+        yield found()
 
 
 def _slots(names: np.ndarray) -> np.ndarray:
@@ -408,8 +417,8 @@ def similar_classes(df: DataFrame, key: str, columns: tuple[str, ...], width: in
     # ordered as unsigned numbers are, since the product cuts columns by their place in that order
     parts = max(2 * texts.rdd.getNumPartitions(), texts.sparkSession.sparkContext.defaultParallelism)
     blocks = prefix.repartition(parts, F.shiftright("g", PLACE_BITS + 2)).sortWithinPartitions(F.shiftrightunsigned("g", PLACE_BITS + 2))
-    met = blocks.mapInArrow(_product(threshold), "na int, met binary")
-    candidates = settle(met.repartition("na").sortWithinPartitions("na").mapInArrow(_often, "na int, nb int"))
+    met = blocks.mapInArrow(_product(threshold, 16 * parts), "bucket int, met binary")
+    candidates = settle(met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_often, "na int, nb int"))
     kind = dict(src.dtypes)["key"]
     records = settle(src.mapInArrow(_records(width, class_filter(candidates)), f"key {kind}, c long, d long, name int, grams binary"))
     # by name only, so that both joins below go without another shuffle of the sets

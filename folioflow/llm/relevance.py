@@ -21,8 +21,8 @@ def relevance(df: DataFrame, term: str = "term_id", record: str = "doc_id", plac
     once = src.groupBy("_d", *[f"_p{i}" for i in range(len(place))]).agg(F.min("_t").alias("_t"))
     tf = once.groupBy("_d", "_t").agg(F.count(F.lit(1)).alias("tf"))
     length = tf.groupBy("_d").agg(F.sum("tf").alias("length"))
-    # counts tf, not rows: a plan without tf would be another exchange
-    spread = tf.groupBy("_t").agg(F.count("tf").alias("df"))
+    # reads tf, too: a plan without it would be another exchange
+    spread = tf.groupBy("_t").agg(F.count_if(F.col("tf") > 0).alias("df"))
     n, mean = length.agg(F.count(F.lit(1)).alias("n")).scalar(), length.agg(F.avg("length").alias("mean")).scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))

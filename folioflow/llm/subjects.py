@@ -7,10 +7,10 @@ non-negative multiplicative rule for the Kullback-Leibler divergence.  Words of
 key words get their weights through the rated documents and through words in common.
 
 Terms are words; runs of Chinese letters give their pairs, of Thai and the like their
-four-letter pieces.  Terms in more than MAX_SHARE of the documents of the language they
-are most at home in say nothing of subjects.  A term counts once a document, and counts for W by how unevenly it is spread
-over the subjects.  With the factors, every sentence is given the subject its terms speak for
-(the document's own mixture tells apart words of several subjects), or none.
+four-letter pieces.  Terms are hashed to 2 ** TERM_BITS columns of X, whatever the size of the vocabulary, so that none
+is left out for being rare or frequent and H has a fixed size.  A term counts once a document, and counts for W by how
+unevenly it is spread over the subjects.  Then every sentence is a document of its own: its mixture follows from H by the
+same updates, begun at the mixture of the document it stands in, and its subject is the greatest component, or none.
 
 Defined cases: null, empty and blank texts have no sentences and no subject; a text without
 telling terms has none; a document with several texts has the subjects of each.
@@ -28,18 +28,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioflow.llm.sentences import sentence_spans
 
-MIN_DOCUMENTS = 10
-MIN_SHARE = 0.0002
-MAX_SHARE = 0.2
+TERM_BITS = 19
 SMOOTH = 8.0
 FIRST_SMOOTH = 2.0
 TELLING = 0.35
 ROUNDS = 6
-MAX_TERMS = 2_000_000
+PRIOR = 0.05
+ANCHOR = 0.05
 
 
 def _hash(words: list[str]) -> np.ndarray:
-    return (pd.util.hash_array(np.array(words, dtype=object), categorize=False) & np.uint64(0x7FFFFFFF)).astype(np.int32) if words else np.array([], dtype=np.int32)
+    """Columns of terms."""
+    return (pd.util.hash_array(np.array(words, dtype=object), categorize=False) >> np.uint64(64 - TERM_BITS)).astype(np.int32) if words else np.array([], dtype=np.int32)
 
 
 def pieces(word: str) -> list[str]:
@@ -84,11 +84,13 @@ def _groups(terms: np.ndarray, owner: np.ndarray, texts: list[str]) -> np.ndarra
     for i, text in enumerate(texts):
         if text.isascii():
             continue
-        letters = [c for c in text[:400] if c > "\u024f" and c.isalpha()]
-        if len(letters) > 40:
-            out[i] = 100 + (ord(sorted(letters)[len(letters) // 2]) >> 7)
-        if len(letters) > 40 and out[i] >= 100 + (0x3000 >> 7):
-            out[i] = 100 + (0x4E00 >> 7)
+        # blocks of 128 characters beyond the Latin ones, over the whole text
+        blocks = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        blocks = np.bincount(np.minimum(blocks[blocks > 0x24F] >> 7, 1 << 14))
+        blocks[0x2000 >> 7 : 0x2100 >> 7] = 0
+        if blocks.sum() > max(40, 0.1 * len(text)):
+            top = int(blocks.argmax())
+            out[i] = 100 + (0x4E00 >> 7 if top >= 0x3000 >> 7 else top)
     return out
 
 
@@ -127,31 +129,22 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Factors:
-    """The kept terms (sorted hashes) and their weights, one column a subject."""
+    """Weights of all columns of terms, one for each subject, and the language each column is most at home in."""
 
-    def __init__(self, terms: np.ndarray, weights: np.ndarray, home: np.ndarray, smooth: float = SMOOTH) -> None:
-        self.terms, self.weights, self.smooth = terms, weights, smooth
-        self.home = np.unique(home, return_inverse=True)[1] if len(home) else home
-
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """Index of each term, -1 for those not kept."""
-        if not len(self.terms):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, at, -1)
+    def __init__(self, weights: np.ndarray, home: np.ndarray, smooth: float = SMOOTH) -> None:
+        self.weights, self.home, self.smooth = weights.astype(np.float32), home.astype(np.int32), smooth
 
     def relative(self) -> np.ndarray:
         """What a term says of the subjects: weights over the subjects' sizes, as shares, few documents drawn to the even share."""
         k = self.weights.shape[1]
-        if not len(self.terms):
-            return np.zeros((0, k))
         # the size of a subject is taken by language, so that no subject grows by swallowing a whole language
         mass = np.zeros((self.home.max() + 1, k))
-        np.add.at(mass, self.home, self.weights)
+        for j in range(k):
+            mass[:, j] = np.bincount(self.home, self.weights[:, j], len(mass))
         mass += 0.02 * mass.sum(axis=1, keepdims=True) / k + 1e-9
         even = mass / mass.sum(axis=1, keepdims=True)
         w = (self.weights + self.smooth * even[self.home]) / mass[self.home]
-        return w / w.sum(axis=1, keepdims=True)
+        return (w / w.sum(axis=1, keepdims=True)).astype(np.float32)
 
     @staticmethod
     def telling(share: np.ndarray) -> np.ndarray:
@@ -186,21 +179,31 @@ def _mixtures(rows: np.ndarray, at: np.ndarray, n: int, share: np.ndarray, q: np
     return w, known / (known + 1.0)
 
 
-def _presence(shared):  # noqa: ANN001, ANN202
-    """Of every document the kept terms it holds, once each and in order, as indices."""
+def _sentence_mixtures(rows: np.ndarray, at: np.ndarray, first: np.ndarray, share: np.ndarray, q: np.ndarray, steps: int = 2) -> np.ndarray:
+    """W of each sentence from its first values, by multiplicative updates with H fixed; ``rows`` are in order."""
+    w = first / first.sum(axis=1, keepdims=True)
+    if not len(rows):
+        return w
+    s, qt = share[at], q[at]
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    here = rows[starts]
+    for _ in range(steps):
+        owed = w[rows] * s
+        owed *= (qt / owed.sum(axis=1))[:, None]
+        sums = np.add.reduceat(owed, starts, axis=0) + ANCHOR * first[here]
+        w[here] = sums / sums.sum(axis=1, keepdims=True)
+    return w
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors: Factors = shared.value
-        for batch in batches:
-            rows, terms = _flat(batch.column(1))
-            rows, terms = np.r_[rows, np.arange(batch.num_rows)], np.r_[terms, batch.column(2).to_numpy()]
-            at = factors.lookup(terms)
-            key = np.unique((rows[at >= 0].astype(np.int64) << 32) | at[at >= 0])
-            ends = np.r_[0, np.cumsum(np.bincount(key >> 32, minlength=batch.num_rows))]
-            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key & 0xFFFFFFFF, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["key", "held"])
 
-    return emit
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every document the terms it holds, once each and in order."""
+    for batch in batches:
+        rows, terms = _flat(batch.column(1))
+        rows, terms = np.r_[rows, np.arange(batch.num_rows)], np.r_[terms, batch.column(2).to_numpy()]
+        key = np.unique((rows.astype(np.int64) << 32) | terms)
+        ends = np.r_[0, np.cumsum(np.bincount(key >> 32, minlength=batch.num_rows))]
+        held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key & 0xFFFFFFFF, pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["key", "held"])
 
 
 def _update(shared, k: int):  # noqa: ANN001, ANN202
@@ -208,7 +211,7 @@ def _update(shared, k: int):  # noqa: ANN001, ANN202
         factors: Factors = shared.value
         share = factors.relative()
         q = factors.telling(share)
-        total = np.zeros((len(factors.terms), k))
+        total = np.zeros((1 << TERM_BITS, k))
         for batch in batches:
             rows, at = _flat(batch.column(0))
             given = np.zeros((batch.num_rows, k))
@@ -235,18 +238,13 @@ def _decide(shared, subjects: list[str], least: float):  # noqa: ANN001, ANN202
         for batch in batches:
             owner, lengths = _flat(batch.column(1))
             sentence = np.repeat(np.arange(len(owner)), lengths)
-            place = factors.lookup(batch.column(2).flatten().to_numpy(zero_copy_only=False))
-            mark = factors.lookup(batch.column(3).to_numpy())
-            held = np.r_[(owner[sentence][place >= 0].astype(np.int64) << 32) | place[place >= 0], (np.flatnonzero(mark >= 0) << 32) | mark[mark >= 0]]
-            held = np.unique(held)
+            place = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            held = np.unique(np.r_[(owner[sentence].astype(np.int64) << 32) | place, (np.arange(batch.num_rows) << 32) | batch.column(3).to_numpy()])
             w, _ = _mixtures(held >> 32, held & 0xFFFFFFFF, batch.num_rows, share, q)
-            kept = place >= 0
-            kept[kept] = q[place[kept]] > 0
-            sentence, place = sentence[kept], place[kept]
-            says = (w[owner[sentence]] + 0.05) * share[place] ** 2
-            says = says / np.maximum(says.sum(axis=1, keepdims=True), 1e-12) * q[place][:, None]
-            score = np.stack([np.bincount(sentence, says[:, j], len(owner)) for j in range(k)], axis=1) if len(owner) else np.zeros((0, k))
-            about = np.where(score.max(axis=1) > 0, score.argmax(axis=1), -1) if len(owner) else np.array([], dtype=np.int64)
+            # every sentence is a document that begins at the mixture of the one it stands in
+            told = q[place] > 0
+            mixed = _sentence_mixtures(sentence[told], place[told], w[owner] + PRIOR, share, q)
+            about = np.where(np.bincount(sentence[told], minlength=len(owner)) > 0, mixed.argmax(axis=1), -1) if len(owner) else np.array([], dtype=np.int64)
             n = np.bincount(owner, minlength=batch.num_rows)
             out_row, out_subject, out_share = [], [], []
             for j in range(k):
@@ -267,8 +265,7 @@ def subject_shares(df: DataFrame, keys: DataFrame, labels: DataFrame, key: str =
     count once and only a document's most frequent subjects are used.  ``mark`` is a column of unreliable marks (sections):
     each value is one more term of the document, for its mixture only; it says as much as it is found to say.
 
-    Terms in fewer documents than MIN_DOCUMENTS or MIN_SHARE of all are left out, so that at most (terms a document) /
-    MIN_SHARE are kept; these, a row of weights each, are what the driver holds and sends to the executors.
+    The driver holds and sends one row of weights for each of the 2 ** TERM_BITS columns, whatever the size of ``df``.
     """
     from folioflow.plans.lineage import settle, spread
 
@@ -280,39 +277,28 @@ def subject_shares(df: DataFrame, keys: DataFrame, labels: DataFrame, key: str =
     kind = dict(src.dtypes)["key"]
     read = settle(spread(src).mapInArrow(_read, f"key {kind}, tongue int, lengths array<int>, terms array<int>, mark int"))
     by_tongue = read.select("tongue", "terms", "mark").mapInArrow(_spread, "tongue long, term long, n long").groupBy("tongue", "term").agg(F.sum("n").alias("n"))
-    sizes = by_tongue.where("term = -1").select(F.col("tongue").alias("_g"), F.col("n").alias("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    home = by_tongue.where("term >= 0").groupBy("term").agg(F.sum("n").alias("n"), F.max(F.struct("n", "tongue")).alias("m"))
-    enough = (F.col("n") >= MIN_DOCUMENTS) & (F.col("n") >= MIN_SHARE * total)
-    usual = home.where(enough).join(sizes, F.col("m.tongue") == F.col("_g")).where(F.col("m.n") <= F.greatest(F.lit(MIN_DOCUMENTS), MAX_SHARE * F.col("_n")))
-    kept = usual.select("term", "n", "m.tongue").limit(MAX_TERMS + 1).toPandas()
-    if len(kept) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms")
-    kept = kept.sort_values("term")
-    terms, n_docs = kept["term"].to_numpy(np.int32), kept["n"].to_numpy(float)
-    home = kept["tongue"].to_numpy(int)
-    factors = Factors(terms, np.zeros((len(terms), max(1, k))), home)
+    home, n_docs = np.zeros(1 << TERM_BITS, dtype=np.int32), np.zeros(1 << TERM_BITS)
+    top = by_tongue.where("term >= 0").groupBy("term").agg(F.sum("n").alias("n"), F.max(F.struct("n", "tongue")).alias("m")).select("term", "n", "m.tongue").toPandas()
+    home[top["term"].to_numpy(int)], n_docs[top["term"].to_numpy(int)] = np.unique(top["tongue"].to_numpy(int), return_inverse=True)[1], top["n"].to_numpy(float)
+    factors = Factors(np.zeros((1 << TERM_BITS, max(1, k))), home)
     # seeds: what part of the topics that name a word belong to each subject
     for r in topics:
-        at = factors.lookup(_hash([w.lower() for w in r["words"].split()]))
-        factors.weights[at[at >= 0], subjects.index(r["subject"])] += 1.0
+        factors.weights[_hash([w.lower() for w in r["words"].split()]), subjects.index(r["subject"])] += 1.0
     named = factors.weights.sum(axis=1, keepdims=True)
     factors.weights = np.where(named > 0, factors.weights / np.maximum(named, 1) * n_docs[:, None], factors.weights)
     votes = labels.where(F.col("subject").isin(subjects)).select(F.col(key).alias("key"), "subject", "rater").distinct().groupBy("key", "subject").count()
     best = votes.groupBy("key").agg(F.max("count").alias("most"))
     top = votes.join(best, "key").where("count = most").groupBy("key").agg(F.collect_set("subject").alias("s"))
     code = F.transform("s", lambda x: (F.array_position(F.array(*[F.lit(s) for s in subjects]), x) - 1).cast("int"))
-    shared = spark.sparkContext.broadcast(factors)
-    held = read.select("key", "terms", "mark").mapInArrow(_presence(shared), f"key {kind}, held array<int>")
+    held = read.select("key", "terms", "mark").mapInArrow(_presence, f"key {kind}, held array<int>")
     rated = settle(held.join(top.select("key", code.alias("given")), "key", "left").select("held", F.coalesce("given", F.array().cast("array<int>")).alias("given")))
-    shared.destroy()
     for turn in range(rounds if k else 0):
         shared = spark.sparkContext.broadcast(factors)
         rows = rated.mapInArrow(_update(shared, k), "at int, w array<double>")
         sums = rows.groupBy("at").agg(*[F.sum(F.col("w")[j]).alias(f"w{j}") for j in range(k)]).toPandas()
-        weights = np.zeros((len(terms), k))
+        weights = np.zeros((1 << TERM_BITS, k))
         weights[sums["at"].to_numpy(int)] = sums[[f"w{j}" for j in range(k)]].to_numpy(float)
-        factors = Factors(terms, weights, home, FIRST_SMOOTH if turn < rounds // 2 else SMOOTH)
+        factors = Factors(weights, home, FIRST_SMOOTH if turn < rounds // 2 else SMOOTH)
         shared.destroy()
     shared = spark.sparkContext.broadcast(factors)
     if not k:

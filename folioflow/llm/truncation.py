@@ -74,7 +74,7 @@ def _quote_key(text: str, close: int) -> str | None:
     """Key of the quotation that closes at ``close``: its first words and its end."""
     mark = text[close]
     opener = {'"': '"', "”": "“", "“": "„", "»": "«"}.get(mark, mark)
-    opened = text.rfind(opener, max(0, close - 400), close)
+    opened = text.rfind(opener, 0, close)
     if opened < 0:
         return None
     words = [shape(w) for w in re.findall(r"[^\W_]+", text[opened + 1 : close])[:2]]

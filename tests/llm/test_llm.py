@@ -208,6 +208,58 @@ def test_flow():
     assert sum(v for (p, _), v in flow.items() if p == ("a", "b")) <= 3 * 4
 
 
+def least_cost(patterns, quotas, repeats):
+    """(most flow, least cost) by cheapest paths, one unit at a time."""
+    arcs = {}
+
+    def arc(a, b, room, cost):
+        arcs[a, b, cost] = [room, cost]
+        arcs.setdefault((b, a, -cost), [0, -cost])
+
+    for p, size in patterns.items():
+        for lap in range(max((repeats[s] for s in p if s in quotas), default=0)):
+            arc("start", ("lap", p, lap), size, lap)
+            arc(("lap", p, lap), p, size, 0)
+        for s in p:
+            if s in quotas and repeats[s]:
+                arc(p, s, size * repeats[s], 0)
+    for s, q in quotas.items():
+        arc(s, "end", q, 0)
+    flow = cost = 0
+    while True:
+        far, via = {"start": 0}, {}
+        for _ in range(len(arcs)):
+            changed = False
+            for (a, b, c), (room, _) in arcs.items():
+                if room > 0 and a in far and far[a] + c < far.get(b, 10**9):
+                    far[b], via[b], changed = far[a] + c, (a, b, c), True
+            if not changed:
+                break
+        if "end" not in far:
+            return flow, cost
+        x = "end"
+        while x != "start":
+            a, b, c = via[x]
+            arcs[a, b, c][0] -= 1
+            arcs[b, a, -c][0] += 1
+            x = a
+        flow, cost = flow + 1, cost + far["end"]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.sets(st.sampled_from("abcd"), min_size=1).map(lambda x: tuple(sorted(x))), st.integers(1, 4), max_size=4), st.lists(st.integers(0, 9), min_size=3, max_size=3), st.lists(st.integers(0, 3), min_size=3, max_size=3))
+def test_laps_give_the_least_cost(patterns, quotas, repeats):
+    quotas, repeats = dict(zip("abc", quotas)), dict(zip("abc", repeats))
+    flow, missing = mixing.allot({p: float(n) for p, n in patterns.items()}, {s: float(q) for s, q in quotas.items()}, repeats)
+    taken = {}
+    for (p, _), amount in flow.items():
+        taken[p] = taken.get(p, 0.0) + amount
+    cost = sum(sum(lap * min(patterns[p], max(0.0, n - lap * patterns[p])) for lap in range(4)) for p, n in taken.items())
+    most, least = least_cost(patterns, quotas, repeats)
+    assert abs(sum(flow.values()) - most) < 1e-6 and abs(cost - least) < 1e-6
+    assert abs(sum(missing.values()) - (sum(quotas.values()) - most)) < 1e-6
+
+
 def test_draw(spark):
     rng = random.Random(2)
     docs = [(i, f"text number {i} " + "word " * rng.randrange(30), rng.choice(["a", "a", "a", "b", None])) for i in range(400)] + [(900, None, "a"), (901, "", "b")]

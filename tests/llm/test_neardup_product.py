@@ -20,11 +20,11 @@ def pairs_met(texts, threshold):
     order = np.argsort(rows[0].view(np.uint64) >> np.uint64(neardup.PLACE_BITS + 2), kind="stable")
     cut = np.array_split(order, 7)
     blocks = [pa.RecordBatch.from_arrays([pa.array(r[i]) for r in rows], names=["g", "w"]) for i in cut]
-    lists = list(neardup._product(threshold)(iter(blocks)))
+    lists = list(neardup._product(threshold, 8)(iter(blocks)))
     c = np.concatenate([x.column(0).to_numpy() for x in lists])
     met = [m for x in lists for m in x.column(1).to_pylist()]
     order = np.argsort(c, kind="stable").tolist()
-    table = pa.RecordBatch.from_arrays([pa.array(c[order]), pa.array([met[i] for i in order], pa.binary())], names=["na", "met"])
+    table = pa.RecordBatch.from_arrays([pa.array(c[order]), pa.array([met[i] for i in order], pa.binary())], names=["bucket", "met"])
     out = list(neardup._often(iter([table.slice(0, 5), table.slice(5)])))
     return {(a & 0xFFFFFFFF, b & 0xFFFFFFFF) for x in out for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
 
