@@ -27,6 +27,7 @@ class of each; a key is no pair with itself.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,8 +181,18 @@ def _names(classes: np.ndarray) -> np.ndarray:
     return (_mix(classes.view(np.uint64) + _SEED) >> np.uint64(32)).astype(np.uint32)
 
 
-def _prefixes(width: int, rank: np.ndarray, threshold: float):  # noqa: ANN202
+def _sent(values: np.ndarray) -> bytes:
+    """Bytes for the executors: every one of them keeps a copy."""
+    return zlib.compress(values.tobytes(), 1)
+
+
+def _got(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.uint8)
+
+
+def _prefixes(width: int, levels: bytes, threshold: float):  # noqa: ANN202
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = _got(levels)
         seen: set[tuple[int, int]] = set()
         for batch in _slices(batches):
             owner, grams, heads = _sets(*_ngrams(_joined(batch, 0), width), rank)
@@ -360,10 +371,11 @@ def class_filter(pairs: DataFrame) -> np.ndarray:
     return bits
 
 
-def _records(width: int, wanted: np.ndarray):  # noqa: ANN202
+def _records(width: int, classes: bytes):  # noqa: ANN202
     """Every record that has a set, with its class; and the set, once a task, where the class is wanted."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(_got(classes)).astype(bool)
         seen: set[tuple[int, int]] = set()
         for batch in _slices(batches):
             owner, grams, heads = _sets(*_ngrams(_joined(batch, 1), width), None)
@@ -412,7 +424,7 @@ def similar_classes(df: DataFrame, key: str, columns: tuple[str, ...], width: in
     src = df.where(F.col(columns[-1]).isNotNull()).select(F.col(key).alias("key"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
     texts = src.drop("key")
     rank = gram_sketch(texts, width)
-    prefix = texts.mapInArrow(_prefixes(width, rank, threshold), "g long, w long")
+    prefix = texts.mapInArrow(_prefixes(width, _sent(rank), threshold), "g long, w long")
     # rows are about twice the texts' bytes: two blocks for each split of the texts keep blocks at the splits' size at any scale
     # ordered as unsigned numbers are, since the product cuts columns by their place in that order
     parts = max(2 * texts.rdd.getNumPartitions(), texts.sparkSession.sparkContext.defaultParallelism)
@@ -420,7 +432,7 @@ def similar_classes(df: DataFrame, key: str, columns: tuple[str, ...], width: in
     met = blocks.mapInArrow(_product(threshold, 16 * parts), "bucket int, met binary")
     candidates = settle(met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_often, "na int, nb int"))
     kind = dict(src.dtypes)["key"]
-    records = settle(src.mapInArrow(_records(width, class_filter(candidates)), f"key {kind}, c long, d long, name int, grams binary"))
+    records = settle(src.mapInArrow(_records(width, _sent(np.packbits(class_filter(candidates)))), f"key {kind}, c long, d long, name int, grams binary"))
     # by name only, so that both joins below go without another shuffle of the sets
     sets = records.where("grams is not null").select("name", "c", "d", "grams").repartition("name").groupBy("name", "c", "d").agg(F.first("grams").alias("grams"))
     a = sets.select(F.col("name").alias("na"), F.struct("c", "d").alias("a"), F.col("grams").alias("ga"))

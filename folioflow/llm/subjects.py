@@ -7,9 +7,10 @@ non-negative multiplicative rule for the Kullback-Leibler divergence.  Words of
 key words get their weights through the rated documents and through words in common.
 
 Terms are words; runs of Chinese letters give their pairs, of Thai and the like their
-four-letter pieces.  Terms are hashed to 2 ** TERM_BITS columns of X, whatever the size of the vocabulary, so that none
-is left out for being rare or frequent and H has a fixed size.  A term counts once a document, and counts for W by how
-unevenly it is spread over the subjects.  Then every sentence is a document of its own: its mixture follows from H by the
+four-letter pieces.  Terms are hashed to 2 ** TERM_BITS columns of X, whatever the size of the vocabulary, so that H has a
+fixed size and no term is left out for being frequent; a column of fewer than MIN_DOCUMENTS documents, a number that does
+not grow, cannot be told from chance.  A term counts once a document, and counts for W by how unevenly it is spread over the
+subjects; columns spread evenly by the middle of the rounds stay as they are.  Then every sentence is a document of its own: its mixture follows from H by the
 same updates, begun at the mixture of the document it stands in, and its subject is the greatest component, or none.
 
 Defined cases: null, empty and blank texts have no sentences and no subject; a text without
@@ -19,6 +20,7 @@ telling terms has none; a document with several texts has the subjects of each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from folioflow.llm.sentences import sentence_spans
 
 TERM_BITS = 19
+MIN_DOCUMENTS = 10
 SMOOTH = 8.0
 FIRST_SMOOTH = 2.0
 TELLING = 0.35
@@ -129,29 +132,48 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Factors:
-    """Weights of all columns of terms, one for each subject, and the language each column is most at home in."""
+    """The columns of H (their numbers, in order), a row of weights for each, and the language each is most at home in."""
 
-    def __init__(self, weights: np.ndarray, home: np.ndarray, smooth: float = SMOOTH) -> None:
-        self.weights, self.home, self.smooth = weights.astype(np.float32), home.astype(np.int32), smooth
+    def __init__(self, columns: np.ndarray, weights: np.ndarray, home: np.ndarray) -> None:
+        self.columns, self.weights, self.home = columns, weights, home
 
-    def relative(self) -> np.ndarray:
+    def relative(self, smooth: float) -> np.ndarray:
         """What a term says of the subjects: weights over the subjects' sizes, as shares, few documents drawn to the even share."""
         k = self.weights.shape[1]
+        if not len(self.columns):
+            return np.zeros((0, k))
         # the size of a subject is taken by language, so that no subject grows by swallowing a whole language
         mass = np.zeros((self.home.max() + 1, k))
-        for j in range(k):
-            mass[:, j] = np.bincount(self.home, self.weights[:, j], len(mass))
+        np.add.at(mass, self.home, self.weights)
         mass += 0.02 * mass.sum(axis=1, keepdims=True) / k + 1e-9
         even = mass / mass.sum(axis=1, keepdims=True)
-        w = (self.weights + self.smooth * even[self.home]) / mass[self.home]
-        return (w / w.sum(axis=1, keepdims=True)).astype(np.float32)
+        w = (self.weights + smooth * even[self.home]) / mass[self.home]
+        return w / w.sum(axis=1, keepdims=True)
+
+    def told(self, smooth: float, least: float = -1.0) -> Told:
+        """For the executors, the columns more uneven than ``least``."""
+        share = self.relative(smooth)
+        uneven = self.unevenness(share)
+        some = np.flatnonzero(uneven > least)
+        place = np.full(1 << TERM_BITS, -1, dtype=np.int32)
+        place[self.columns[some]] = np.arange(len(some))
+        return Told(place, some, share[some], np.where(uneven[some] >= TELLING, uneven[some], 0.0))
 
     @staticmethod
-    def telling(share: np.ndarray) -> np.ndarray:
-        """How unevenly a term is spread, from 0 to 1; 0 below ``TELLING``."""
+    def unevenness(share: np.ndarray) -> np.ndarray:
+        """How unevenly a term is spread, from 0 to 1."""
         k = share.shape[1]
-        q = (share.max(axis=1) - 1 / k) / max(1e-9, 1 - 1 / k) if len(share) else np.zeros(0)
-        return np.where(q >= TELLING, q, 0.0)
+        return (share.max(axis=1) - 1 / k) / max(1e-9, 1 - 1 / k) if len(share) else np.zeros(0)
+
+
+@dataclass
+class Told:
+    """What executors know of H: the place of each column (-1: none), the columns' places in Factors, shares, and weights (0 below TELLING)."""
+
+    place: np.ndarray
+    rows: np.ndarray
+    share: np.ndarray
+    q: np.ndarray
 
 
 def _mixtures(rows: np.ndarray, at: np.ndarray, n: int, share: np.ndarray, q: np.ndarray, given: np.ndarray | None = None, steps: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -195,25 +217,32 @@ def _sentence_mixtures(rows: np.ndarray, at: np.ndarray, first: np.ndarray, shar
     return w
 
 
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every document the terms it holds, once each and in order."""
-    for batch in batches:
-        rows, terms = _flat(batch.column(1))
-        rows, terms = np.r_[rows, np.arange(batch.num_rows)], np.r_[terms, batch.column(2).to_numpy()]
-        key = np.unique((rows.astype(np.int64) << 32) | terms)
-        ends = np.r_[0, np.cumsum(np.bincount(key >> 32, minlength=batch.num_rows))]
-        held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key & 0xFFFFFFFF, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["key", "held"])
+def _presence(shared):  # noqa: ANN001, ANN202
+    """Of every document the columns of H it holds, once each and in order."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = shared.value.place
+        for batch in batches:
+            rows, terms = _flat(batch.column(1))
+            rows, terms = np.r_[rows, np.arange(batch.num_rows)], np.r_[terms, batch.column(2).to_numpy()]
+            some = place[terms] >= 0
+            key = np.unique((rows[some].astype(np.int64) << 32) | terms[some])
+            ends = np.r_[0, np.cumsum(np.bincount(key >> 32, minlength=batch.num_rows))]
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key & 0xFFFFFFFF, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["key", "held"])
+
+    return emit
 
 
 def _update(shared, k: int):  # noqa: ANN001, ANN202
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors: Factors = shared.value
-        share = factors.relative()
-        q = factors.telling(share)
-        total = np.zeros((1 << TERM_BITS, k))
+        told: Told = shared.value
+        share, q = told.share, told.q
+        total = np.zeros((len(q), k))
         for batch in batches:
             rows, at = _flat(batch.column(0))
+            at = told.place[at]
+            rows, at = rows[at >= 0], at[at >= 0]
             given = np.zeros((batch.num_rows, k))
             r, v = _flat(batch.column(1))
             given[r, v] = 1.0
@@ -224,27 +253,28 @@ def _update(shared, k: int):  # noqa: ANN001, ANN202
             for j in range(k):
                 total[:, j] += np.bincount(at, owed[:, j], len(total))
         some = np.flatnonzero(total.sum(axis=1) > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some].tolist(), pa.list_(pa.float64()))], names=["at", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array(told.rows[some], pa.int32()), pa.array(total[some].tolist(), pa.list_(pa.float64()))], names=["at", "w"])
 
     return sums
 
 
 def _decide(shared, subjects: list[str], least: float):  # noqa: ANN001, ANN202
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors: Factors = shared.value
-        share = factors.relative()
-        q = factors.telling(share)
+        told: Told = shared.value
+        share, q = told.share, told.q
         k = len(subjects)
         for batch in batches:
             owner, lengths = _flat(batch.column(1))
             sentence = np.repeat(np.arange(len(owner)), lengths)
-            place = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            held = np.unique(np.r_[(owner[sentence].astype(np.int64) << 32) | place, (np.arange(batch.num_rows) << 32) | batch.column(3).to_numpy()])
+            place = told.place[batch.column(2).flatten().to_numpy(zero_copy_only=False)]
+            sentence, place = sentence[place >= 0], place[place >= 0]
+            mark = told.place[batch.column(3).to_numpy()]
+            held = np.unique(np.r_[(owner[sentence].astype(np.int64) << 32) | place, (np.flatnonzero(mark >= 0) << 32) | mark[mark >= 0]])
             w, _ = _mixtures(held >> 32, held & 0xFFFFFFFF, batch.num_rows, share, q)
             # every sentence is a document that begins at the mixture of the one it stands in
-            told = q[place] > 0
-            mixed = _sentence_mixtures(sentence[told], place[told], w[owner] + PRIOR, share, q)
-            about = np.where(np.bincount(sentence[told], minlength=len(owner)) > 0, mixed.argmax(axis=1), -1) if len(owner) else np.array([], dtype=np.int64)
+            heard = q[place] > 0
+            mixed = _sentence_mixtures(sentence[heard], place[heard], w[owner] + PRIOR, share, q)
+            about = np.where(np.bincount(sentence[heard], minlength=len(owner)) > 0, mixed.argmax(axis=1), -1) if len(owner) else np.array([], dtype=np.int64)
             n = np.bincount(owner, minlength=batch.num_rows)
             out_row, out_subject, out_share = [], [], []
             for j in range(k):
@@ -265,7 +295,7 @@ def subject_shares(df: DataFrame, keys: DataFrame, labels: DataFrame, key: str =
     count once and only a document's most frequent subjects are used.  ``mark`` is a column of unreliable marks (sections):
     each value is one more term of the document, for its mixture only; it says as much as it is found to say.
 
-    The driver holds and sends one row of weights for each of the 2 ** TERM_BITS columns, whatever the size of ``df``.
+    The driver holds one row of weights for each column, at most 2 ** TERM_BITS whatever the size of ``df``.
     """
     from folioflow.plans.lineage import settle, spread
 
@@ -277,30 +307,35 @@ def subject_shares(df: DataFrame, keys: DataFrame, labels: DataFrame, key: str =
     kind = dict(src.dtypes)["key"]
     read = settle(spread(src).mapInArrow(_read, f"key {kind}, tongue int, lengths array<int>, terms array<int>, mark int"))
     by_tongue = read.select("tongue", "terms", "mark").mapInArrow(_spread, "tongue long, term long, n long").groupBy("tongue", "term").agg(F.sum("n").alias("n"))
-    home, n_docs = np.zeros(1 << TERM_BITS, dtype=np.int32), np.zeros(1 << TERM_BITS)
-    top = by_tongue.where("term >= 0").groupBy("term").agg(F.sum("n").alias("n"), F.max(F.struct("n", "tongue")).alias("m")).select("term", "n", "m.tongue").toPandas()
-    home[top["term"].to_numpy(int)], n_docs[top["term"].to_numpy(int)] = np.unique(top["tongue"].to_numpy(int), return_inverse=True)[1], top["n"].to_numpy(float)
-    factors = Factors(np.zeros((1 << TERM_BITS, max(1, k))), home)
+    enough = by_tongue.where("term >= 0").groupBy("term").agg(F.sum("n").alias("n"), F.max(F.struct("n", "tongue")).alias("m")).where(F.col("n") >= MIN_DOCUMENTS)
+    top = enough.select("term", "n", "m.tongue").toPandas().sort_values("term")
+    columns, n_docs = top["term"].to_numpy(int), top["n"].to_numpy(float)
+    factors = Factors(columns, np.zeros((len(columns), max(1, k))), np.unique(top["tongue"].to_numpy(int), return_inverse=True)[1])
+    place = factors.told(SMOOTH).place
     # seeds: what part of the topics that name a word belong to each subject
     for r in topics:
-        factors.weights[_hash([w.lower() for w in r["words"].split()]), subjects.index(r["subject"])] += 1.0
+        at = place[_hash([w.lower() for w in r["words"].split()])]
+        factors.weights[at[at >= 0], subjects.index(r["subject"])] += 1.0
     named = factors.weights.sum(axis=1, keepdims=True)
     factors.weights = np.where(named > 0, factors.weights / np.maximum(named, 1) * n_docs[:, None], factors.weights)
     votes = labels.where(F.col("subject").isin(subjects)).select(F.col(key).alias("key"), "subject", "rater").distinct().groupBy("key", "subject").count()
     best = votes.groupBy("key").agg(F.max("count").alias("most"))
     top = votes.join(best, "key").where("count = most").groupBy("key").agg(F.collect_set("subject").alias("s"))
     code = F.transform("s", lambda x: (F.array_position(F.array(*[F.lit(s) for s in subjects]), x) - 1).cast("int"))
-    held = read.select("key", "terms", "mark").mapInArrow(_presence, f"key {kind}, held array<int>")
+    shared = spark.sparkContext.broadcast(factors.told(SMOOTH))
+    held = read.select("key", "terms", "mark").mapInArrow(_presence(shared), f"key {kind}, held array<int>")
     rated = settle(held.join(top.select("key", code.alias("given")), "key", "left").select("held", F.coalesce("given", F.array().cast("array<int>")).alias("given")))
+    smooth = SMOOTH
     for turn in range(rounds if k else 0):
-        shared = spark.sparkContext.broadcast(factors)
+        # from the middle on, only columns that are at least a quarter as uneven as telling ones are updated
+        shared = spark.sparkContext.broadcast(factors.told(smooth, TELLING / 4 if turn >= rounds // 2 else -1.0))
         rows = rated.mapInArrow(_update(shared, k), "at int, w array<double>")
         sums = rows.groupBy("at").agg(*[F.sum(F.col("w")[j]).alias(f"w{j}") for j in range(k)]).toPandas()
-        weights = np.zeros((1 << TERM_BITS, k))
+        weights = factors.weights.copy() if turn >= rounds // 2 else np.zeros_like(factors.weights)
         weights[sums["at"].to_numpy(int)] = sums[[f"w{j}" for j in range(k)]].to_numpy(float)
-        factors = Factors(weights, home, FIRST_SMOOTH if turn < rounds // 2 else SMOOTH)
+        factors, smooth = Factors(columns, weights, factors.home), FIRST_SMOOTH if turn < rounds // 2 else SMOOTH
         shared.destroy()
-    shared = spark.sparkContext.broadcast(factors)
+    shared = spark.sparkContext.broadcast(factors.told(smooth, TELLING / 2))
     if not k:
         return spark.createDataFrame([], f"{key} {kind}, subject string, share double")
     out = read.select("key", "lengths", "terms", "mark").mapInArrow(_decide(shared, subjects, least), f"key {kind}, subject string, share double")

@@ -16,7 +16,7 @@ def pairs_met(texts, threshold):
     for out in neardup._sketch(3)(iter([batch])):
         for block, *packed in zip(*[out.column(i).to_pylist() for i in range(4)]):
             levels[block * neardup._BLOCK : (block + 1) * neardup._BLOCK] += neardup._unsqueeze(*packed)
-    rows = [np.concatenate(x) for x in zip(*[[out.column(i).to_numpy() for i in range(2)] for out in neardup._prefixes(3, neardup._level(levels), threshold)(iter([batch]))])]
+    rows = [np.concatenate(x) for x in zip(*[[out.column(i).to_numpy() for i in range(2)] for out in neardup._prefixes(3, neardup._sent(neardup._level(levels)), threshold)(iter([batch]))])]
     order = np.argsort(rows[0].view(np.uint64) >> np.uint64(neardup.PLACE_BITS + 2), kind="stable")
     cut = np.array_split(order, 7)
     blocks = [pa.RecordBatch.from_arrays([pa.array(r[i]) for r in rows], names=["g", "w"]) for i in cut]
