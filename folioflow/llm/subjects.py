@@ -98,7 +98,7 @@ def _groups(terms: np.ndarray, owner: np.ndarray, texts: list[str]) -> np.ndarra
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every document the number of terms of each sentence, and the terms."""
+    """Of every document the number of terms of each sentence, the terms, and each term once, the mark among them."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
         spans = [sentence_spans(t) for t in texts]
@@ -106,9 +106,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, counts = _tokens([t[a:z] for t, s in zip(texts, spans) for a, z in s])
         ends = np.r_[0, np.cumsum(sizes)]
         places = np.r_[0, np.cumsum(counts)][ends]
+        owner = np.repeat(np.arange(len(texts)), np.diff(places))
+        marks = _hash(["mark " + (m or "").strip().lower() for m in batch.column(2).to_pylist()])
+        once = np.unique((np.r_[owner, np.arange(len(texts))] << 32) | np.r_[terms, marks])
+        bounds = np.searchsorted(once, np.arange(len(texts) + 1) << 32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(_groups(terms, np.repeat(np.arange(len(texts)), np.diff(places)), [t or "" for t in texts]), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(counts, pa.int32())), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(terms, pa.int32())), pa.array(_hash(["mark " + (m or "").strip().lower() for m in batch.column(2).to_pylist()]), pa.int32())],
-            names=["key", "tongue", "lengths", "terms", "mark"],
+            [
+                batch.column(0), pa.array(_groups(terms, owner, [t or "" for t in texts]), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(counts, pa.int32())),
+                pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(terms, pa.int32())), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(once & 0xFFFFFFFF, pa.int32())),
+            ],
+            names=["key", "tongue", "lengths", "terms", "once"],
         )
 
 
@@ -121,10 +128,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each term by language; the term -1 stands for all documents."""
     for batch in batches:
         rows, terms = _flat(batch.column(1))
-        rows, terms = np.r_[rows, np.arange(batch.num_rows)], np.r_[terms, batch.column(2).to_numpy()]
         tongue = batch.column(0).to_numpy()
-        key = np.unique((rows.astype(np.int64) << 32) | terms)
-        pairs, n = np.unique((tongue[key >> 32].astype(np.int64) << 32) | (key & 0xFFFFFFFF), return_counts=True)
+        pairs, n = np.unique((tongue[rows].astype(np.int64) << 32) | terms, return_counts=True)
         groups, every = np.unique(tongue, return_counts=True)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[pairs >> 32, groups]), pa.array(np.r_[pairs & 0xFFFFFFFF, np.full(len(groups), -1)]), pa.array(np.r_[n, every])], names=["tongue", "term", "n"]
@@ -157,7 +162,7 @@ class Factors:
         some = np.flatnonzero(uneven > least)
         place = np.full(1 << TERM_BITS, -1, dtype=np.int32)
         place[self.columns[some]] = np.arange(len(some))
-        return Told(place, some, share[some], np.where(uneven[some] >= TELLING, uneven[some], 0.0))
+        return Told(place, some, share[some].astype(np.float32), np.where(uneven[some] >= TELLING, uneven[some], 0.0).astype(np.float32))
 
     @staticmethod
     def unevenness(share: np.ndarray) -> np.ndarray:
@@ -179,10 +184,11 @@ class Told:
 def _mixtures(rows: np.ndarray, at: np.ndarray, n: int, share: np.ndarray, q: np.ndarray, given: np.ndarray | None = None, steps: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(W of each document, how much the document can tell), by multiplicative updates with H fixed; ``rows`` are in order."""
     k = share.shape[1]
-    w = np.full((n, k), 1.0 / k)
+    w = np.full((n, k), 1.0 / k, dtype=np.float32)
     known = np.zeros(n)
     if given is not None:
-        w = given * 0.8 + (1 - 0.8 * given.sum(axis=1, keepdims=True)) / k
+        given = given.astype(np.float32)
+        w = given * np.float32(0.8) + (1 - 0.8 * given.sum(axis=1, keepdims=True)) / k
         known += 2.0 * given.sum(axis=1)
     some = q[at] > 0
     rows, at = rows[some], at[some]
@@ -190,7 +196,7 @@ def _mixtures(rows: np.ndarray, at: np.ndarray, n: int, share: np.ndarray, q: np
     known += np.bincount(rows, qt, n)
     starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.array([], dtype=np.int64)
     for _ in range(steps):
-        sums = np.full((n, k), 0.05)
+        sums = np.full((n, k), 0.05, dtype=np.float32)
         if len(rows):
             owed = w[rows] * s
             owed *= (qt / owed.sum(axis=1))[:, None]
@@ -224,11 +230,9 @@ def _presence(shared):  # noqa: ANN001, ANN202
         place = shared.value.place
         for batch in batches:
             rows, terms = _flat(batch.column(1))
-            rows, terms = np.r_[rows, np.arange(batch.num_rows)], np.r_[terms, batch.column(2).to_numpy()]
             some = place[terms] >= 0
-            key = np.unique((rows[some].astype(np.int64) << 32) | terms[some])
-            ends = np.r_[0, np.cumsum(np.bincount(key >> 32, minlength=batch.num_rows))]
-            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key & 0xFFFFFFFF, pa.int32()))
+            ends = np.r_[0, np.cumsum(np.bincount(rows[some], minlength=batch.num_rows))]
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(terms[some], pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["key", "held"])
 
     return emit
@@ -249,7 +253,7 @@ def _update(shared, k: int):  # noqa: ANN001, ANN202
             given /= np.maximum(1, given.sum(axis=1, keepdims=True))
             w, trust = _mixtures(rows, at, batch.num_rows, share, q, given, 3)
             owed = w[rows] * share[at]
-            owed *= (trust[rows] / owed.sum(axis=1))[:, None]
+            owed *= (trust[rows].astype(np.float32) / owed.sum(axis=1))[:, None]
             for j in range(k):
                 total[:, j] += np.bincount(at, owed[:, j], len(total))
         some = np.flatnonzero(total.sum(axis=1) > 0)
@@ -268,9 +272,9 @@ def _decide(shared, subjects: list[str], least: float):  # noqa: ANN001, ANN202
             sentence = np.repeat(np.arange(len(owner)), lengths)
             place = told.place[batch.column(2).flatten().to_numpy(zero_copy_only=False)]
             sentence, place = sentence[place >= 0], place[place >= 0]
-            mark = told.place[batch.column(3).to_numpy()]
-            held = np.unique(np.r_[(owner[sentence].astype(np.int64) << 32) | place, (np.flatnonzero(mark >= 0) << 32) | mark[mark >= 0]])
-            w, _ = _mixtures(held >> 32, held & 0xFFFFFFFF, batch.num_rows, share, q)
+            rows, held = _flat(batch.column(3))
+            held = told.place[held]
+            w, _ = _mixtures(rows[held >= 0], held[held >= 0], batch.num_rows, share, q)
             # every sentence is a document that begins at the mixture of the one it stands in
             heard = q[place] > 0
             mixed = _sentence_mixtures(sentence[heard], place[heard], w[owner] + PRIOR, share, q)
@@ -305,8 +309,8 @@ def subject_shares(df: DataFrame, keys: DataFrame, labels: DataFrame, key: str =
     k = len(subjects)
     src = df.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(mark).cast("string") if mark else F.lit(None).cast("string")).alias("mark"))
     kind = dict(src.dtypes)["key"]
-    read = settle(spread(src).mapInArrow(_read, f"key {kind}, tongue int, lengths array<int>, terms array<int>, mark int"))
-    by_tongue = read.select("tongue", "terms", "mark").mapInArrow(_spread, "tongue long, term long, n long").groupBy("tongue", "term").agg(F.sum("n").alias("n"))
+    read = settle(spread(src).mapInArrow(_read, f"key {kind}, tongue int, lengths array<int>, terms array<int>, once array<int>"))
+    by_tongue = read.select("tongue", "once").mapInArrow(_spread, "tongue long, term long, n long").groupBy("tongue", "term").agg(F.sum("n").alias("n"))
     enough = by_tongue.where("term >= 0").groupBy("term").agg(F.sum("n").alias("n"), F.max(F.struct("n", "tongue")).alias("m")).where(F.col("n") >= MIN_DOCUMENTS)
     top = enough.select("term", "n", "m.tongue").toPandas().sort_values("term")
     columns, n_docs = top["term"].to_numpy(int), top["n"].to_numpy(float)
@@ -323,7 +327,7 @@ def subject_shares(df: DataFrame, keys: DataFrame, labels: DataFrame, key: str =
     top = votes.join(best, "key").where("count = most").groupBy("key").agg(F.collect_set("subject").alias("s"))
     code = F.transform("s", lambda x: (F.array_position(F.array(*[F.lit(s) for s in subjects]), x) - 1).cast("int"))
     shared = spark.sparkContext.broadcast(factors.told(SMOOTH))
-    held = read.select("key", "terms", "mark").mapInArrow(_presence(shared), f"key {kind}, held array<int>")
+    held = read.select("key", "once").mapInArrow(_presence(shared), f"key {kind}, held array<int>")
     rated = settle(held.join(top.select("key", code.alias("given")), "key", "left").select("held", F.coalesce("given", F.array().cast("array<int>")).alias("given")))
     smooth = SMOOTH
     for turn in range(rounds if k else 0):
@@ -338,7 +342,7 @@ def subject_shares(df: DataFrame, keys: DataFrame, labels: DataFrame, key: str =
     shared = spark.sparkContext.broadcast(factors.told(smooth, TELLING / 2))
     if not k:
         return spark.createDataFrame([], f"{key} {kind}, subject string, share double")
-    out = read.select("key", "lengths", "terms", "mark").mapInArrow(_decide(shared, subjects, least), f"key {kind}, subject string, share double")
+    out = read.select("key", "lengths", "terms", "once").mapInArrow(_decide(shared, subjects, least), f"key {kind}, subject string, share double")
     return out.groupBy(F.col("key").alias(key), "subject").agg(F.max("share").alias("share"))
 
 
