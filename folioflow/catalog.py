@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.operators import records
-from folioflow.plans import cleaning_queries, corpus_queries, signal_queries, string_queries, text_queries, vector_queries
+from folioflow.plans import cleaning_queries, content_queries, corpus_queries, feature_queries, signal_queries, source_queries, string_queries, text_queries, vector_queries
 
-_PARTS = (corpus_queries, cleaning_queries, text_queries, vector_queries, signal_queries, string_queries)
+_PARTS = (corpus_queries, cleaning_queries, text_queries, vector_queries, signal_queries, string_queries, source_queries, content_queries, feature_queries)
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:

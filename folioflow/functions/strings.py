@@ -6,10 +6,11 @@ Any null argument gives null.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
 
 SCRIPT = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("spos", T.IntegerType()), T.StructField("dpos", T.IntegerType())]))
 BLOCKS = T.ArrayType(T.StructType([T.StructField("spos", T.IntegerType()), T.StructField("dpos", T.IntegerType()), T.StructField("length", T.IntegerType())]))
@@ -43,6 +44,13 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def hamming_column(a: Column, b: Column) -> Column:
+    """Places at which two columns of strings of one length differ; an error where the lengths differ, null for null."""
+    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
+    n = F.aggregate(F.filter(pairs, lambda x: x.isNotNull()), F.lit(0), lambda total, x: total + x)
+    return F.when(F.length(a) != F.length(b), F.raise_error(F.lit("strings of one length are wanted"))).otherwise(n)
+
+
 def hamming(a: str, b: str) -> int:
     if len(a) != len(b):
         raise ValueError("strings of one length are wanted")
@@ -50,26 +58,24 @@ def hamming(a: str, b: str) -> int:
 
 
 def jaro(a: str, b: str) -> float:
-    """Matches are the earliest free equal letters less than half of the shorter length (rounded up) away."""
-    if not a and not b:
-        return 1.0
+    """Letters of the longer string are matched in turn, each with the earliest free equal letter of the shorter one whose
+    place is at most half of the shorter length (rounded up) away; a match out of turn is half a transposition."""
     if not a or not b:
-        return 0.0
-    if len(a) > len(b):
-        a, b = b, a
-    reach = (len(a) + 1) // 2
-    used, matched = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach + 1) if i >= reach else 0, min(len(b), i + reach)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                matched.append(c)
+        return float(not a and not b)
+    short, long = sorted((a, b), key=len)
+    reach = (len(short) + 1) // 2
+    turn = [0] * len(short)
+    found = 0
+    for i, c in enumerate(long):
+        for j in range(max(0, i - reach), min(len(short), i + reach + 1)):
+            if not turn[j] and short[j] == c:
+                found += 1
+                turn[j] = found
                 break
-    m = len(matched)
-    if not m:
+    if not found:
         return 0.0
-    swapped = sum(x != y for x, y in zip(matched, (b[j] for j in range(len(b)) if used[j]))) / 2
-    return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
+    out_of_turn = sum(t != n for n, t in enumerate(filter(None, turn), 1))
+    return (found / len(a) + found / len(b) + 1 - out_of_turn / found / 2) / 3
 
 
 def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
@@ -82,6 +88,18 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
     return min(1.0, j + weight * prefix * (1 - j))
 
 
+def quick_ratio(a: str, b: str) -> float:
+    """Upper bound of the ratio by the letters in common, whatever their order."""
+    if not a and not b:
+        return 1.0
+    left, both = Counter(a), 0
+    for c in b:
+        if left[c] > 0:
+            left[c] -= 1
+            both += 1
+    return 2.0 * both / (len(a) + len(b))
+
+
 def quick_ratio_bound(a: str, b: str) -> float:
     """Upper bound of the ratio by lengths alone."""
     return 2.0 * min(len(a), len(b)) / (len(a) + len(b)) if a or b else 1.0

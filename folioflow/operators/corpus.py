@@ -73,9 +73,45 @@ def phrase_flags(df: DataFrame, text: str, flags: dict[str, list[str]]) -> DataF
 
 
 def route(df: DataFrame, text: str, phrases: list[str]) -> DataFrame:
-    """A row for every phrase that a row holds, with the phrase."""
-    found = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.lower(F.col(text)), p))
-    return df.withColumn("phrase", F.explode(found))
+    """A row for every phrase that a row holds (in any case), with the phrase; a row that holds none has phrase "none"."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    found = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, F.lower(p)))
+    return df.withColumn("phrase", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("none")))))
+
+
+def route_by_number(df: DataFrame, value: str) -> DataFrame:
+    """With part: the whole part of a number written as text, null where it is none."""
+    return df.withColumn("part", F.col(value).cast("string").try_cast("double").cast("int"))
+
+
+def write_parts(df: DataFrame, part: str, path: str) -> str:
+    """One folder for each value of ``part``."""
+    df.write.mode("overwrite").partitionBy(part).parquet(path)
+    return path
+
+
+def by_mask(left: DataFrame, mask: DataFrame, order: str, mask_order: str, flag: str) -> DataFrame:
+    """Rows whose place in their order is the place of a row of ``mask`` with a flag above 0 (two tables side by side)."""
+    places = number_rows(mask, mask_order).where(F.col(flag) > 0).select(F.col("row_no").alias("_row"))
+    rows = number_rows(left, order)
+    return rows.join(places, rows["row_no"] == places["_row"], "left_semi").drop("row_no")
+
+
+def side_by_side(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """The rows of two tables with equal places in their orders; rows beyond the shorter one are left out."""
+    return number_rows(left, left_order).join(number_rows(right, right_order), "row_no").drop("row_no")
+
+
+def number_rows(df: DataFrame, order: str) -> DataFrame:
+    """With row_no from 1, in the order of a unique column."""
+    return renumber(df, order, "row_no")
+
+
+def criterion(column: str, kind: str, value: object) -> Column:
+    """'matchstr' (equal text), 'matchval' (equal number), 'minthres' (at least), 'maxthres' (at most)."""
+    number = F.col(column).cast("string").try_cast("double")
+    tests = {"matchstr": lambda: F.col(column) == F.lit(value), "matchval": lambda: number == F.lit(value), "minthres": lambda: number >= F.lit(value), "maxthres": lambda: number <= F.lit(value)}
+    return F.coalesce(tests[kind](), F.lit(False))
 
 
 def hash_sample(df: DataFrame, key: str, part: int, of: int) -> DataFrame:
@@ -100,12 +136,19 @@ def id_range(df: DataFrame, key: str) -> DataFrame:
 
 
 def renumber(df: DataFrame, key: str, name: str = "new_id") -> DataFrame:
-    """Numbers 1.. in the order of a unique key: ranges of the key are sorted in parallel, then offset by the rows before."""
-    ranged = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    """Numbers 1.. in the order of a unique key.
+
+    Ranges of the key are sorted in parallel and kept in the shared folder, with the range and the place in it as columns; so
+    both readings of them are of one and the same cut.  Only the sizes of the ranges are summed up in one place.
+    """
+    from folioflow.plans.lineage import settle
+
+    w = Window.partitionBy("_part").orderBy(key)
+    ranged = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
+    ranged = settle(ranged.withColumn("_at", F.row_number().over(w)))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    return ranged.withColumn("_at", place).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return ranged.join(before, "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def combine(frames: list[DataFrame], key: str, offset: int) -> DataFrame:
@@ -122,6 +165,21 @@ def first_wins(frames: list[DataFrame], key: str) -> DataFrame:
     return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
+def combine_apart(frames: list[DataFrame], key: str, least: bool = False) -> DataFrame:
+    """Union in which the k-th frame's ids are raised by k times an offset that keeps all apart: a power of ten above every id
+    (so that ids can be read off), or the greatest id and ten more where ``least``."""
+    tops = reduce(DataFrame.unionByName, [f.agg(F.max(key).alias("m")) for f in frames])
+    top = tops.agg(F.max("m")).scalar()
+    offset = top + 10 if least else F.pow(F.lit(10), F.length(top.cast("string"))).cast("long")
+    return reduce(DataFrame.unionByName, [f.withColumn(key, F.col(key) + k * offset).withColumn("corpus_no", F.lit(k)) for k, f in enumerate(frames)])
+
+
+def append(main: DataFrame, parts: list[DataFrame], key: str, path: str, least: bool = False) -> str:
+    """The main corpus and parts with ids apart written to a new folder; the main corpus stays as it is."""
+    combine_apart([main, *parts], key, least).drop("corpus_no").write.mode("errorifexists").parquet(path)
+    return path
+
+
 def packed_id(source: Column, year: Column, month: Column, day: Column, part: Column) -> Column:
     return source * 10**7 + (year - 1940) * 10**5 + month * 10**3 + day * 10 + part
 
@@ -143,6 +201,26 @@ def merge_every(df: DataFrame, number: str, text: str, n: int) -> DataFrame:
     return out.where(F.col("_n") == n).drop("_n")
 
 
+def merge_tables(frames: list[tuple[DataFrame, str]], key: str, order: str, strict: bool = True) -> DataFrame:
+    """Tables by key, one row a key: the columns of the first as they are, of the k-th with _k behind their names.
+
+    Each table comes with how its parts are folded: 'max' or 'sum' (numbers), 'maxstr' (the last text), 'join' (texts one after
+    another, by ``order``) or 'none' (the first part).  ``strict``: keys that are not in all tables are an error.
+    """
+    def fold(df: DataFrame, how: str, k: int) -> DataFrame:
+        value = {
+            "max": lambda c: F.max(c), "sum": lambda c: F.sum(c), "maxstr": lambda c: F.max(F.col(c).cast("string")), "none": lambda c: F.min_by(c, order),
+            "join": lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(c).cast("string").alias("v")))), lambda r: r["v"]), ""),
+        }[how]
+        return df.groupBy(key).agg(*[value(c).alias(f"{c}_{k}" if k else c) for c in df.columns if c not in (key, order)]).withColumn(f"_in_{k}", F.lit(1))
+
+    out = reduce(lambda a, b: a.join(b, key, "full"), [fold(df, how, k) for k, (df, how) in enumerate(frames)])
+    present = reduce(lambda a, b: a + b, [F.coalesce(f"_in_{k}", F.lit(0)) for k in range(len(frames))])
+    if strict:
+        out = out.withColumn(key, F.when(present < len(frames), F.raise_error(F.lit("keys differ between the tables"))).otherwise(F.col(key)))
+    return out.drop(*[f"_in_{k}" for k in range(len(frames))])
+
+
 def merge_columns(left: DataFrame, right: DataFrame, key: str, value: str, how: str) -> DataFrame:
     """Values of two tables by key, parts folded by ``how`` ('sum' or 'max'), suffixed _1 and _2."""
     def fold(df: DataFrame, k: int) -> DataFrame:
@@ -191,6 +269,19 @@ def text_figures(df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("mean_sentences", F.round(F.col("sentences") / F.col("articles"), 6)).withColumn("mean_words", F.round(F.col("words") / F.col("articles"), 6))
 
 
+def part_figures(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """One row: articles, extra_parts (rows of an article behind its first), long_articles (those with extra parts), empty rows,
+    sentences and words (of rows with words; a word of one character must be a letter or digit), and means by article."""
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "[ \\t\\n\\r]+"), lambda w: (F.length(w) > 1) | w.rlike("^[A-Za-z0-9]$"))
+    rows = df.select(key, F.size(words).cast("long").alias("w"), F.when(F.size(words) > 0, F.size(F.split(F.col(text), "\\.", -1))).otherwise(0).cast("long").alias("s"))
+    each = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("w") == 0).alias("empty"), F.sum("w").alias("w"), F.sum("s").alias("s"))
+    out = each.agg(
+        F.count_if(F.col("n") > F.col("empty")).alias("articles"), F.sum(F.col("n") - 1).alias("extra_parts"), F.count_if(F.col("n") > 1).alias("long_articles"),
+        F.sum("empty").alias("empty"), F.sum("s").alias("sentences"), F.sum("w").alias("words"),
+    )
+    return out.withColumn("mean_sentences", F.round(F.col("sentences") / F.col("articles"), 6)).withColumn("mean_words", F.round(F.col("words") / F.col("articles"), 6))
+
+
 def word_counts(df: DataFrame, text: str, least: int, leave_out: list[str] | None = None) -> DataFrame:
     """Words in lower case, parted by blanks and points, that occur at least ``least`` times."""
     word = F.explode(F.split(F.lower(F.col(text)), "[ \\t\\n\\r.]+")).alias("word")
@@ -200,6 +291,11 @@ def word_counts(df: DataFrame, text: str, least: int, leave_out: list[str] | Non
     return out.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+def gram_counts(df: DataFrame, text: str, least: int, longest: int = 4, shortest: int = 1) -> DataFrame:
+    """gram, size, n of runs of ``shortest`` to ``longest`` words that occur at least ``least`` times."""
+    return reduce(DataFrame.unionByName, [ngram_counts(df, text, n, least).withColumn("size", F.lit(n)) for n in range(shortest, longest + 1)])
+
+
 def ngram_counts(df: DataFrame, text: str, n: int, least: int) -> DataFrame:
     """Runs of ``n`` words joined by ``_`` that occur at least ``least`` times; a run never leaves its text."""
     words = F.filter(F.split(F.lower(F.col(text)), "[ \\t\\n\\r.]+"), lambda w: w != "")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def split_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -19,6 +21,11 @@ def flag_tokens(df: DataFrame) -> DataFrame:
     return df.withColumn("punc", punc).withColumn("num", num).withColumn("term_str", term)
 
 
+def flag_tokens_strict(df: DataFrame) -> DataFrame:
+    """With term_str in the later form: also without apostrophes, slashes, digits, blanks and hyphens."""
+    return flag_tokens(df).withColumn("term_str", F.regexp_replace("term_str", r"[\"'_*.\\/0-9\s-]", ""))
+
+
 def vocabulary(tokens: DataFrame, term: str = "term_str") -> DataFrame:
     """term_str, n, p of every distinct term."""
     counts = tokens.where(F.col(term).isNotNull()).groupBy(term).agg(F.count(F.lit(1)).alias("n"))
@@ -51,6 +58,125 @@ def tf_idf_smoothed(bow: DataFrame, doc: str = "doc_id", term: str = "term_id",
     return out.select(term, "df", (F.col("x") + alpha * rest).alias("tf_sum"), F.greatest("y", alpha * most).alias("tf_max"))
 
 
+def tf_idf_stats(bow: DataFrame, stop: DataFrame, terms: Column | int, doc: str = "doc_id", term: str = "term_id", alpha: float = 1e-6) -> DataFrame:
+    """term, df, idf (log2 of documents over df), and sum, mean and max of smoothed share times idf, of terms that are no stop words.
+
+    The share is (n + alpha) / (length + alpha * ``terms``) over the dense grid; absent terms are added in closed form.
+    """
+    length = bow.groupBy(doc).agg(F.sum("n").alias("l"))
+    docs = length.agg(F.count(F.lit(1))).scalar()
+    rest, most = length.agg(F.sum(1 / (F.col("l") + alpha * terms))).scalar(), length.agg(F.max(1 / (F.col("l") + alpha * terms))).scalar()
+    kept = bow.join(stop.select(term).distinct(), term, "left_anti").join(length, doc)
+    out = kept.groupBy(term).agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("n") / (F.col("l") + alpha * terms)).alias("x"), F.max((F.col("n") + alpha) / (F.col("l") + alpha * terms)).alias("y"))
+    idf = F.log2(docs / F.col("df"))
+    total = (F.col("x") + alpha * rest) * idf
+    return out.select(term, "df", idf.alias("idf"), total.alias("tfidf_sum"), (total / docs).alias("tfidf_mean"), (F.greatest("y", alpha * most) * idf).alias("tfidf_max"))
+
+
+def restrict(weights: DataFrame, terms: DataFrame, term: str = "term_id") -> DataFrame:
+    """The weights of the terms given."""
+    return weights.join(terms.select(term).distinct(), term, "left_semi")
+
+
+def lookup(df: DataFrame, key: str, table: DataFrame, value: str, missing: int = -1) -> DataFrame:
+    """``df`` with the table's value for its key, ``missing`` where there is none; a key is taken with its least value."""
+    one = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias("_v"))
+    return df.join(one, key, "left").withColumn(value, F.coalesce("_v", F.lit(missing))).drop("_v")
+
+
+# ---- features of texts: fitted on one part, applied to another -----------------------------------------------------
+
+
+def count_features(df: DataFrame, key: str, text: str, shortest: int = 1, longest: int = 1, binary: bool = False) -> DataFrame:
+    """key, feature, n: runs of words of at least two letters, digits or underscores, in lower case."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) > 1)
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    rows = df.select(key, words.alias("w")).select(key, F.explode(F.flatten(F.array(*[runs(n) for n in range(shortest, longest + 1)]))).alias("feature"))
+    out = rows.groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("n", F.lit(1).cast("long")) if binary else out
+
+
+def fit_features(counts: DataFrame, docs: Column | int, least: float, most: float, key: str) -> DataFrame:
+    """feature, feature_id (from 0, by name) and df of the features in at least a share ``least`` and at most ``most`` of the documents."""
+    from folioflow.operators.corpus import renumber
+
+    spread = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= least * docs) & (F.col("df") <= most * docs))
+    return renumber(spread, "feature", "feature_id").withColumn("feature_id", (F.col("feature_id") - 1).cast("long"))
+
+
+def apply_features(counts: DataFrame, fitted: DataFrame) -> DataFrame:
+    """The counts of fitted features, with feature_id."""
+    return counts.join(fitted, "feature")
+
+
+def apply_variance(bow: DataFrame, variance: DataFrame, term: str = "term_id") -> DataFrame:
+    """Counts times the variance of their terms as fitted elsewhere; terms not fitted are left out."""
+    return bow.join(variance.select(term, "variance"), term).withColumn("weight", F.col("n") * F.col("variance"))
+
+
+def fit_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: least and greatest of every column."""
+    return df.agg(*[f(c).alias(f"{c}_{name}") for c in columns for f, name in ((F.min, "low"), (F.max, "high"))])
+
+
+def scale_by(df: DataFrame, bounds: DataFrame, columns: list[str], whole: bool = False) -> DataFrame:
+    """Columns scaled by fitted bounds and held to 0..1, rounded to 0 or 1 where ``whole``; a column of one value is only held."""
+    out = df.crossJoin(F.broadcast(bounds))  # one row
+    for c in columns:
+        low, width = F.col(f"{c}_low"), F.col(f"{c}_high") - F.col(f"{c}_low")
+        x = F.when(width == 0, F.col(c).cast("double")).otherwise((F.col(c) - low) / width)
+        out = out.withColumn(c, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(x) if whole else x)))
+    return out.drop(*[f"{c}_{x}" for c in columns for x in ("low", "high")])
+
+
+def combine_features(frames: list[DataFrame], key: str, feature: str = "feature_id") -> DataFrame:
+    """Feature sets of the same keys side by side: the k-th set's features come behind those of the sets before it."""
+    from functools import reduce
+
+    wide = [f.agg(F.coalesce(F.max(feature), F.lit(-1)) + 1).scalar() for f in frames]
+    out, offset = [], F.lit(0)
+    for f, n in zip(frames, wide):
+        out.append(f.withColumn(feature, F.col(feature) + offset))
+        offset = offset + n
+    return reduce(DataFrame.unionByName, out)
+
+
+def bounds_of(bow: DataFrame, by: str, value: str = "n", others: Column | int | None = None) -> DataFrame:
+    """by, low, high of sparse values; where fewer than ``others`` cells are given, the rest are 0."""
+    out = bow.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("_n"))
+    if others is not None:
+        out = out.withColumn("low", F.when(F.col("_n") < others, F.least("low", F.lit(0))).otherwise(F.col("low"))).withColumn("high", F.when(F.col("_n") < others, F.greatest("high", F.lit(0))).otherwise(F.col("high")))
+    return out.drop("_n")
+
+
+def reduce_dimensions(bow: DataFrame, k: int, doc: str = "doc_id", term: str = "term_id", unit: bool = True) -> DataFrame:
+    """doc and features: documents in the ``k`` greatest singular directions of the matrix, each scaled to 0..1, then to length 1.
+
+    The decomposition works on term by term products of at most as many terms as ``bow`` holds: restrict it before.
+    """
+    from pyspark.ml.feature import MinMaxScaler, Normalizer
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    from folioflow.operators.corpus import renumber
+    from folioflow.plans.lineage import settle
+
+    places = renumber(bow.select(term).distinct(), term, "_i")
+    rows = settle(bow.join(places, term).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct((F.col("_i") - 1).alias("i"), F.col("n").cast("double").alias("v")))).alias("c")))
+    wide = places.count()
+    vectors = rows.rdd.map(lambda r: Vectors.sparse(wide, [int(x["i"]) for x in r["c"]], [x["v"] for x in r["c"]]))
+    basis = RowMatrix(vectors).computeSVD(min(k, wide), computeU=False).V.toArray()
+
+    @F.pandas_udf("array<double>")
+    def project(terms: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([(v @ basis[np.asarray(i, dtype=int)]).tolist() for i, v in zip(terms, values)])
+
+    out = rows.select(doc, array_to_vector(project("c.i", "c.v")).alias("raw"))
+    scaled = MinMaxScaler(inputCol="raw", outputCol="features").fit(out).transform(out).select(doc, "features")
+    return Normalizer(inputCol="features", outputCol="unit").transform(scaled).select(doc, F.col("unit").alias("features")) if unit else scaled
+
+
 def tf_idf_unit(bow: DataFrame, doc: str = "doc_id", term: str = "term_id") -> DataFrame:
     """doc, term, f: n * (ln((1 + docs) / (1 + df)) + 1), each document scaled to length 1."""
     spread = bow.groupBy(term).agg(F.count(F.lit(1)).alias("df"))

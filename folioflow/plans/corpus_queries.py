@@ -125,7 +125,7 @@ def split_by_phrase(s, d):
 
 @query("SELECT phrase, doc_id FROM documents, (VALUES ('bank'), ('judge'), ('senator')) v(phrase) WHERE contains(lower(text), phrase)")
 def route_by_phrases(s, d):
-    return C.route(table(s, d, "documents"), "text", ["bank", "judge", "senator"]).select("phrase", "doc_id")
+    return C.route(table(s, d, "documents"), "text", ["bank", "judge", "senator"]).where("phrase <> 'none'").select("phrase", "doc_id")
 
 
 @query("SELECT DISTINCT term_str, coalesce(term_str IN (SELECT unnest(string_split(words, ' ')) FROM topic_keys), false) AS listed FROM vocab WHERE term_str IS NOT NULL")
@@ -241,7 +241,8 @@ def month_numbers(s, d):
     return table(s, d, "df").groupBy("month", C.month_number(F.col("month")).alias("month_nr")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) FILTER (try_cast(year AS INTEGER) IS NULL) AS bad_year, count(*) FILTER (try_cast(num_day AS INTEGER) IS NULL) AS bad_day FROM (SELECT trim(year) AS year, trim(num_day) AS num_day FROM df WHERE NOT contains(year, '.'))")
+@query("""SELECT count(*) FILTER (NOT coalesce(regexp_full_match(trim(year), '[+-]?[0-9]+') AND try_cast(trim(year) AS INTEGER) IS NOT NULL, false)) AS bad_year,
+    count(*) FILTER (NOT coalesce(regexp_full_match(trim(num_day), '[+-]?[0-9]+') AND try_cast(trim(num_day) AS INTEGER) IS NOT NULL, false)) AS bad_day FROM df""")
 def bad_date_counts(s, d):
     """Years and days of all rows that are no whole number; null is none."""
     whole = table(s, d, "df").select(F.trim("year").try_cast("int").alias("y"), F.trim("num_day").try_cast("int").alias("n"))
@@ -253,7 +254,7 @@ def forward_fill_meta(s, d):
     return C.fill_forward(table(s, d, "df").where("source is not null"), ["source"], ["doc_number", "load_ts"], ["section"]).select("doc_number", F.to_date("load_ts").alias("load_day"), "section")
 
 
-@query("SELECT doc_id, split_part(trim(text), ' ', 1) AS first_word FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(10))")
+@query(r"SELECT doc_id, regexp_extract(text, '[^\s\x{0B}\pZ\x{1C}-\x{1F}\x{85}]+') AS first_word FROM documents WHERE text IS NOT NULL")
 def length_first_word(s, d):
     """First word of every text, parted by any blank; empty where the text is blank."""
     return table(s, d, "documents").where("text is not null").select("doc_id", F.regexp_extract("text", r"[^\s\p{Z}\x{1C}-\x{1F}\x{85}]+", 0).alias("first_word"))

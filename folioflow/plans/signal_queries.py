@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from folioflow.operators import signals as G
-from folioflow.plans.vector_queries import table, vocab_quantile_filter, words
+from folioflow.plans.vector_queries import ORACLES as VECTOR_SQL, table, vocab_quantile_filter, words
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -83,7 +83,7 @@ def emotion_totals(s, d):
     return G.unpivot_sums(scored(s, d), FEELINGS)
 
 
-@query(f"WITH {_W}, {_D} SELECT year(day)::INTEGER AS year, month(day)::INTEGER AS month, string_agg(term_str, ' ' ORDER BY doc_id, sentence_num, token_num) AS month_str FROM w JOIN d USING (doc_id) WHERE sentence_num = 0 GROUP BY 1, 2")
+@query(f"WITH {_W}, {_D} SELECT year(day)::INTEGER AS year, month(day)::INTEGER AS month, doc_id // {PART_IDS} AS part_no, string_agg(term_str, ' ' ORDER BY doc_id, sentence_num, token_num) AS month_str FROM w JOIN d USING (doc_id) GROUP BY 1, 2, 3")
 def month_strings(s, d):
     """All words of a month in order, in parts of PART_IDS document numbers: the parts joined by part_no are the month."""
     ordered = F.array_sort(F.collect_list(F.struct("sentence_num", "token_num", "term_str")))
@@ -138,17 +138,16 @@ def rolling_triangle(s, d):
     return out.select("month", F.round("rolling_sum", 6).alias("rolling_sum"), F.round("rolling_mean", 6).alias("rolling_mean"))
 
 
-# Places of a term are its day's number since 1999, so that no global order of tokens is needed.
-_PLACES = f"{_W}, {_D}, pl AS (SELECT term_str, (day - DATE '1999-01-01')::INTEGER AS place FROM w JOIN d USING (doc_id) WHERE term_str IN ('bank', 'judge', 'teacher', 'galaxy', 'senator', 'fund'))"
-_KDE = """n AS (SELECT term_str, count(*) AS n FROM pl GROUP BY 1), g AS (SELECT unnest(range(200)) AS sample),
-    k AS (SELECT term_str, sample::INTEGER AS sample, sum(exp(-power((sample * 1500 / 199.0 - place) / 60, 2) / 2)) / (any_value(n) * 60 * sqrt(2 * pi())) * 1500 / 200 AS density FROM pl JOIN n USING (term_str), g
-    WHERE abs(sample * 1500 / 199.0 - place) <= 480 GROUP BY 1, 2)"""
-
-
 # Samples of a curve, friends of a term and edges of the network, as in the reference.
 SAMPLES, FRIENDS, EDGES = 1000, 10, 1000
 # Places a part of a term's list may span.
 PART_DAYS = 100
+# Places of a term are its day's number since 1999, so that no global order of tokens is needed; terms are those of the filtered vocabulary.
+_KEPT = VECTOR_SQL["vocab_quantile_filter"].replace("WITH v AS", "kv AS (WITH v AS", 1) + ")"
+_PLACES = f"{_W}, {_D}, {_KEPT}, pl AS (SELECT term_str, (day - DATE '1999-01-01')::INTEGER AS place FROM w JOIN d USING (doc_id) WHERE term_str IN (SELECT term_str FROM kv) AND day IS NOT NULL)"
+_KDE = f"""n AS (SELECT term_str, count(*) AS n FROM pl GROUP BY 1), pc AS (SELECT term_str, place, count(*) AS times FROM pl GROUP BY 1, 2), g AS (SELECT unnest(range({SAMPLES})) AS sample),
+    k AS (SELECT term_str, sample::INTEGER AS sample, sum(times * exp(-power((sample * 1500 / {SAMPLES - 1}.0 - place) / 60, 2) / 2)) / (any_value(n) * 60 * sqrt(2 * pi())) * 1500 / {SAMPLES} AS density FROM pc JOIN n USING (term_str), g
+    WHERE abs(sample * 1500 / {SAMPLES - 1}.0 - place) <= 480 GROUP BY 1, 2)"""
 
 
 def places(s: SparkSession, d: str) -> DataFrame:
@@ -171,14 +170,14 @@ def peak_position(s, d):
     return curves(s, d).groupBy("term_str").agg(F.max_by("sample", F.round("density", 9)).alias("peak"))
 
 
-@query(f"WITH {_PLACES} SELECT term_str, list_sort(list(place)) AS places FROM pl GROUP BY 1")
+@query(f"WITH {_PLACES} SELECT term_str, place // {PART_DAYS} AS part_no, list_sort(list(place)) AS places FROM pl GROUP BY 1, 2")
 def term_offsets(s, d):
     """Sorted places of a term, in parts of PART_DAYS days: the parts joined by part_no are its list."""
     return places(s, d).groupBy("term_str", F.floor(F.col("place") / PART_DAYS).alias("part_no")).agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
 _PAIRS = f"""{_PLACES}, {_KDE}, t AS (SELECT DISTINCT term_str FROM k), full_k AS (SELECT term_str, g.sample::INTEGER AS sample, coalesce(density, 0) AS density FROM t CROSS JOIN g LEFT JOIN k USING (term_str, sample)),
-    pr AS (SELECT a.term_str AS x, b.term_str AS y, sum(least(a.density, b.density) * CASE WHEN sample IN (0, 199) THEN 0.5 ELSE 1 END) AS overlap, corr(a.density, b.density) AS corr FROM full_k a JOIN full_k b USING (sample) WHERE a.term_str < b.term_str GROUP BY 1, 2)"""
+    pr AS (SELECT a.term_str AS x, b.term_str AS y, sum(least(a.density, b.density) * CASE WHEN sample IN (0, {SAMPLES - 1}) THEN 0.5 ELSE 1 END) AS overlap, corr(a.density, b.density) AS corr FROM full_k a JOIN full_k b USING (sample) WHERE a.term_str < b.term_str GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_PAIRS} SELECT x, y, round(overlap, 6) AS overlap FROM pr WHERE overlap > 1e-9")
@@ -191,7 +190,7 @@ def pair_corr(s, d):
     return G.overlaps(curves(s, d), "term_str", SAMPLES).where("overlap > 1e-9").select("x", "y", F.round("corr", 6).alias("corr"))
 
 
-@query(f"WITH {_PAIRS}, sy AS (SELECT x, y, round(overlap, 6) AS overlap FROM pr UNION ALL SELECT y, x, round(overlap, 6) FROM pr) SELECT x, y, overlap FROM sy QUALIFY row_number() OVER (PARTITION BY x ORDER BY overlap DESC, y) <= 3")
+@query(f"WITH {_PAIRS}, sy AS (SELECT x, y, round(overlap, 6) AS overlap FROM pr UNION ALL SELECT y, x, round(overlap, 6) FROM pr) SELECT x, y, overlap FROM sy QUALIFY row_number() OVER (PARTITION BY x ORDER BY overlap DESC, y) <= {FRIENDS}")
 def friends(s, d):
     from folioflow.operators.vectors import top_each
 
@@ -200,6 +199,6 @@ def friends(s, d):
     return top_each(both, "x", "overlap", "y", FRIENDS).drop("place")
 
 
-@query(f"WITH {_PAIRS} SELECT x, y, round(overlap, 6) AS overlap FROM pr ORDER BY round(overlap, 6) DESC, x, y LIMIT 10")
+@query(f"WITH {_PAIRS} SELECT x, y, round(overlap, 6) AS overlap FROM pr ORDER BY round(overlap, 6) DESC, x, y LIMIT {EDGES}")
 def top_edges(s, d):
     return G.overlaps(curves(s, d), "term_str", SAMPLES).select("x", "y", F.round("overlap", 6).alias("overlap")).orderBy(F.desc("overlap"), "x", "y").limit(EDGES)

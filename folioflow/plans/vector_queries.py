@@ -51,7 +51,7 @@ def tfidf_top(s, d):
     return V.top(mean, "mean_f", "term_id", 20)
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\pL\pM\pN_]+|[^\pL\pM\pN_ \n]') AS w FROM documents WHERE NOT regexp_matches(text, '[^\x{0000}-\x{024F}]') AND NOT contains(text, chr(160)))
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\pL\pM\pN_]+|[^\pL\pM\pN_\s\x{0B}\pZ\x{1C}-\x{1F}\x{85}]') AS w FROM documents)
     SELECT doc_id, unnest(range(len(w)))::INTEGER AS token_num, unnest(w) AS token_str FROM t""")
 def token_table(s, d):
     """Tokens of all texts."""

@@ -8,16 +8,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from folioflow.operators.dedup import delivered_again
 from folioflow.operators.corpus import MONTHS, date_of, fill_forward, word_count
 
 SCHEMA = "path string, seq int, vendor_id string, publication string, date_line string, title string, edition string, text string, meta map<string,string>"
 # Sources that are left out, and how long a part of a text may be.
 SKIPPED_SOURCES = ("blogs", ".co", "law")
 PART_LENGTH = 32_600
+NO_RIGHTS = "voor dit artikel geen publicatierecht"
+US_SOURCES = (
+    "wall street journal", "boston globe", "tampa bay times", "star-tribune", "new york times", "washington post", "usa today",
+    "atlanta journal-constitution", "philadelphia inquirer", "denver post", "daily news", "new york post", "san jose mercury news",
+)
 _META = re.compile(r"^([A-Z][A-Za-z-]*(?: [A-Za-z-]+){0,2}): ?(.*)$")
 _CAPS = re.compile(r"^([A-Z][A-Z-]+): ?(.*)$")
 
@@ -37,6 +44,50 @@ def split_text(text: str, size: int = PART_LENGTH) -> list[str]:
     return [*parts, text[at:]]
 
 
+def skipped(source: Column, only: tuple[str, ...] | None = None) -> Column:
+    """Whether a source is left out: its name holds one of SKIPPED_SOURCES, or it is not one of ``only``."""
+    low = F.lower(source)
+    out = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in SKIPPED_SOURCES])
+    return F.coalesce(out | ~low.isin(*only) if only else out, F.lit(False))
+
+
+def without_rights(df: DataFrame, text: str = "text") -> DataFrame:
+    """Rows but those whose text only says that there is no right to publish it."""
+    return df.where(~F.coalesce(F.contains(text, F.lit(NO_RIGHTS)), F.lit(False)))
+
+
+def is_int(value: Column) -> Column:
+    return F.coalesce(value.cast("string").rlike(r"^\s*[+-]?[0-9]+\s*$"), F.lit(False))
+
+
+def is_year(value: Column) -> Column:
+    """A whole number from 1800 to 2100."""
+    return is_int(value) & F.coalesce(F.trim(value.cast("string")).try_cast("long").between(1800, 2100), F.lit(False))
+
+
+def is_month(value: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(value)).isin(*MONTHS), F.lit(False))
+
+
+def is_word_count(line: Column) -> Column:
+    """Two words, the second "words"."""
+    return F.coalesce(line.rlike(r"^\s*\S+\s+words\s*$"), F.lit(False))
+
+
+def is_date_line(line: Column) -> Column:
+    """A line such as "May 3, 2001 Thursday 9:00 AM Eastern Time"."""
+    month = "|".join(MONTHS)
+    return F.coalesce(line.rlike(rf"(?i)^\s*({month})\s+[0-9]+\S(\s.*)?\s(?-i:Time)\s*$"), F.lit(False))
+
+
+def numbered(parsed: DataFrame, name: str = "doc_nr") -> DataFrame:
+    """Articles of all files under one running number from 1, by path and place in the file."""
+    from folioflow.operators.corpus import renumber
+
+    keyed = parsed.withColumn("_key", F.concat_ws("\x01", "path", F.lpad(F.col("seq").cast("string"), 10, "0")))
+    return renumber(keyed, "_key", name).drop("_key")
+
+
 def _blocks(lines: list[str]) -> list[list[str]]:
     out: list[list[str]] = [[]]
     for line in lines:
@@ -157,10 +208,10 @@ def parse(dumps: DataFrame, vendor: str | None = None) -> DataFrame:
 
 
 def articles(parsed: DataFrame, fill: bool = False) -> DataFrame:
-    """Parsed articles with year, month, day, weekday, length, and duplicate: whether the day's file has the same start of text before.
+    """Parsed articles with year, month, day, weekday, length, and duplicate: whether its file has the article of its day before.
 
     ``fill``: missing dates, sources and languages are those of the article before (as in ProQuest dumps).  Sources on the
-    list of skipped ones are left out.
+    list of skipped ones and notices without rights are left out.
     """
     out = fill_forward(parsed, ["path"], ["seq"], ["publication", "date_line"]) if fill else parsed
     month = "(?i)(" + "|".join(MONTHS) + ")"
@@ -169,7 +220,4 @@ def articles(parsed: DataFrame, fill: bool = False) -> DataFrame:
     day = F.coalesce(F.nullif(F.regexp_extract(line, month + r"\.? (\d{1,2})\b", 2), F.lit("")), F.regexp_extract(line, r"\b(\d{1,2})\.? " + month, 1))
     year = F.regexp_extract(line, r"\b((?:18|19|20)\d\d)\b", 1)
     out = out.withColumn("published", date_of(year, name, day)).withColumn("weekday", F.date_format("published", "EEEE")).withColumn("length", word_count("title", "text"))
-    for word in SKIPPED_SOURCES:
-        out = out.where(~F.coalesce(F.contains(F.lower("publication"), F.lit(word)), F.lit(False)))
-    same = Window.partitionBy("path", "published", F.xxhash64(F.substring("text", 1, 200))).orderBy("seq")
-    return out.withColumn("duplicate", (F.row_number().over(same) > 1) & (F.length("text") > 0))
+    return delivered_again(without_rights(out.where(~skipped(F.col("publication")))), "path", "published", "seq", "title", "text")
