@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.operators import records
-from folioflow.plans import cleaning_queries, content_queries, corpus_queries, feature_queries, signal_queries, source_queries, string_queries, text_queries, vector_queries
+from folioflow.plans import cleaning_queries, content_queries, corpus_queries, feature_queries, preparation_queries, signal_queries, source_queries, string_queries, text_queries, vector_queries
 
-_PARTS = (corpus_queries, cleaning_queries, text_queries, vector_queries, signal_queries, string_queries, source_queries, content_queries, feature_queries)
+_PARTS = (corpus_queries, cleaning_queries, text_queries, vector_queries, signal_queries, string_queries, source_queries, content_queries, feature_queries, preparation_queries)
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -50,10 +50,14 @@ _LINES = f"""lines AS (SELECT row_no, rtrim(line_text, chr(13) || chr(10)) AS t
     parts AS (SELECT row_no, t, n, trim(trim(f.f2, '"'), chr(32) || chr(9)) AS y, trim(trim(f.f3, '"'), chr(32) || chr(9)) AS m, trim(trim(f.f4, '"'), chr(32) || chr(9)) AS d FROM cut),
     raws AS (SELECT row_no, CASE WHEN NOT regexp_full_match(t, '{_FIELD}(,{_FIELD})*') THEN 'quoting' WHEN t IS NULL OR n <> 8 THEN 'column_count' ELSE {_DATE_FAULT} END AS reason FROM parts)"""
 
+_NAMES = ("docid", "year", "month", "num_day", "weekday", "title", "text", "section")
+_CELLS = ", ".join(f"CASE WHEN starts_with(v.{c}, '\"') THEN replace(v.{c}[2:-2], '\"\"', '\"') ELSE v.{c} END AS {c}" for c in _NAMES)
 ORACLES: dict[str, str] = {
     "p7_found": f"""WITH {_LINES}, dated AS (SELECT doc_number, trim(year, chr(32) || chr(9)) AS y, trim(month, chr(32) || chr(9)) AS m, trim(num_day, chr(32) || chr(9)) AS d FROM df)
         SELECT DISTINCT 'raw_rows' AS table_name, row_no AS row_key, reason FROM raws WHERE reason IS NOT NULL
         UNION SELECT 'df', doc_number, {_DATE_FAULT} FROM dated WHERE {_DATE_FAULT} IS NOT NULL""",
+    "p7_valid": f"""WITH {_LINES}, good AS (SELECT row_no, file_name, regexp_extract(rtrim(line_text, chr(13) || chr(10)), '^{",".join([_FIELD] * 8)}$', {list(_NAMES)}) AS v FROM raw_rows JOIN raws USING (row_no) WHERE reason IS NULL)
+        SELECT row_no, file_name, {_CELLS} FROM good""",
 }
 
 

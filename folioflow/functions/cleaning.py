@@ -15,6 +15,9 @@ Rules = list[tuple[str, str]]
 _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 _BLANK = r"[ \t\n\r\f]"
 
+# Fractions and signs that are written out.
+FRACTIONS = {"half": "1/2", "third": "1/3", "two_thirds": "2/3", "quarter": "1/4", "three_quarters": "3/4", "fifth": "1/5"}
+SIGNS = {"also": "&", "percent": "%", "plus": r"\+", "equals": "=", "either": "/"}
 # Web addresses become words.
 ADDRESSES: Rules = [
     (r"www[0-9]{0,3}[.]([a-zA-Z0-9])+[.]([a-z]{2,4})", r"xx\1 xx\2"),
@@ -22,12 +25,10 @@ ADDRESSES: Rules = [
 ]
 
 
-def fractions(words: tuple[str, ...]) -> Rules:
-    return list(zip(("1/2", "1/3", "2/3", "1/4", "3/4", "1/5"), words, strict=True))
-
-
-def signs(words: tuple[str, ...]) -> Rules:
-    return [*zip(("&", "%", r"\+", "=", "/"), words, strict=False), (r"\b([Nn][or])(\. )([0-9]+)\b", words[5] + r"\3")]
+def written_out(**words: str) -> Rules:
+    """Fractions and signs as words: by the names of FRACTIONS and SIGNS, in their order; ``number`` is for "No. 5"."""
+    spelled = [(sign, words[name]) for name, sign in (FRACTIONS | SIGNS).items()]
+    return [*spelled, (r"\b([Nn][or])(\. )([0-9]+)\b", words["number"] + r"\3")]
 
 
 def points(names: dict[str, str], any_case: bool = True) -> Rules:
@@ -67,33 +68,33 @@ MONTH_NAMES: Rules = points({"Jan": "January", "Feb": "February", "Mar": "March"
 INCORPORATED: Rules = points({"inc": "incorporated"})
 ENGLISH: Rules = [
     *MONEY, *TIMES, *SHORT_FORMS, *VALENCE, *PROVINCES, *STATES, *VERSUS, *ADDRESS, *INCORPORATED, *MONTH_NAMES,
-    *fractions((" half ", " one third ", " two thirds ", " one fourth ", " three fourths ", " one fifth ")), *signs((" and ", " percent ", " plus ", " is equal to ", " or ", " number ")),
+    *written_out(half=" half ", third=" one third ", two_thirds=" two thirds ", quarter=" one fourth ", three_quarters=" three fourths ", fifth=" one fifth ", also=" and ", percent=" percent ", plus=" plus ", equals=" is equal to ", either=" or ", number=" number "),
 ]
 # The same for other languages.
 FRENCH: Rules = [
     (r"(?i)\bmr\.? ?", "monsieur "), (r"(?i)\bmme\.? ?", "madame "), (r"(?i)\bmlle\.? ?", "mademoiselle "), (r"(?i)aujourd'hui", "aujourdhui"), (r"(?i)(c|d|j|l|m|qu|r|s|t)'([a-zA-Zàî])", r"\1e \2"),
-    *fractions((" la moitie ", " un tiers ", " deux tiers ", " un quart ", " trois quarts ", " vingt pour cent ")), *signs((" et ", " pour cent ", " plus ", " est ", " ou ", " numero ")),
+    *written_out(half=" la moitie ", third=" un tiers ", two_thirds=" deux tiers ", quarter=" un quart ", three_quarters=" trois quarts ", fifth=" vingt pour cent ", also=" et ", percent=" pour cent ", plus=" plus ", equals=" est ", either=" ou ", number=" numero "),
 ]
 GERMAN: Rules = [
     *points({"ca": "circa", "vs": "versus", "St": "Sint"}),
-    *fractions((" die halfte ", " ein drittel ", " zwei drittel ", " ein viertel ", " drei viertel ", " ein funftel ")), *signs((" und ", " prozent ", " plus ", " ist ", " oder ", " nummer ")),
+    *written_out(half=" die halfte ", third=" ein drittel ", two_thirds=" zwei drittel ", quarter=" ein viertel ", three_quarters=" drei viertel ", fifth=" ein funftel ", also=" und ", percent=" prozent ", plus=" plus ", equals=" ist ", either=" oder ", number=" nummer "),
 ]
 SPANISH: Rules = [
     *points({"Sr": "Senor ", "Sra": "Senora ", "Srta": "Senorita "}),
-    *fractions((" un medio ", " un tercio ", " dos tercios ", " un cuarto ", " tres cuartos ", " un quinto ")), *signs((" y ", " por ciento ", " mas ", " es igual a ", " o ", " numero ")),
+    *written_out(half=" un medio ", third=" un tercio ", two_thirds=" dos tercios ", quarter=" un cuarto ", three_quarters=" tres cuartos ", fifth=" un quinto ", also=" y ", percent=" por ciento ", plus=" mas ", equals=" es igual a ", either=" o ", number=" numero "),
 ]
 DUTCH: Rules = [
     (",,", '"'), (r"(?i)\bun-", "niet "), (r"(?i)\b([a-z]+)'s\b", r"\1"),
     *points({"ca": "circa", "vs": "versus", "St": "Sint", "e.d": "en dergelijke", "o.a": "onder anderen", "d.m.v": "door middel van", "d.w.z": "dat wil zeggen", "t.a.v": "ten aanzien van", "m.m.v": "met medewerking van"}),
-    *fractions((" de helft ", " een derde ", " twee derde ", " een vierde ", " drie vierde ", " een vijfde ")), *signs((" en ", " procent ", " plus ", " is gelijk aan ", " of ", " nummer ")),
+    *written_out(half=" de helft ", third=" een derde ", two_thirds=" twee derde ", quarter=" een vierde ", three_quarters=" drie vierde ", fifth=" een vijfde ", also=" en ", percent=" procent ", plus=" plus ", equals=" is gelijk aan ", either=" of ", number=" nummer "),
 ]
-DANISH: Rules = [*fractions((" 1div2 ", " 1div3 ", " 2div3 ", " 1div4 ", " 3div4 ", " 1div5 ")), *signs((" og ", " prosent ", " plus ", " er ", " eller ", " nummer "))]
+DANISH: Rules = [*written_out(half=" 1div2 ", third=" 1div3 ", two_thirds=" 2div3 ", quarter=" 1div4 ", three_quarters=" 3div4 ", fifth=" 1div5 ", also=" og ", percent=" prosent ", plus=" plus ", equals=" er ", either=" eller ", number=" nummer ")]
 ITALIAN: Rules = [
     (r"(?i)\bSig\.", "Signore "), (r"(?i)\bSigg\.", "Signori "), (r"\bS\.", "Santo "), (r"\bSS\.", "Santi "),
     (r"(?i)\b(bell|grand|sant|quest|quell|tutt|mezz|molt|cent|quant)'([aeiouyhAEIOUYH][A-Za-z0-9_]*?a\b)", r"\1a \2"), (r"(?i)\b(bell|grand|sant|quest|quell|tutt|mezz|molt|cent|quant)'([aeiouyhAEIOUYH])", r"\1o \2"),
     (r"(?i)\b(buon)'([aeiouyhAEIOUYH])", r"\1a \2"), (r"(?i)\b(fors|dev|diss)'([aeiouyhAEIOUYH])", r"\1e \2"), (r"(?i)l'([aeiouyhAEIOUYH][A-Za-z0-9_]*?a\b)", r"la \1"), (r"(?i)l'([aeiouyhAEIOUYH])", r"lo \1"),
     (r"(?i)un'([aeiouyhAEIOUYH])", r"una \1"), (r"(?i)d'ora", "da ora"), (r"(?i)d'allora", "da allora"), (r"(?i)(d|m|t|v|s)'([aeiouyhAEIOUYH])", r"\1i \2"), (r"(?i)(gl|c)'([eiEI])", r"\1i \2"), (r"(?i)(n)'([aeiouyhAEIOUYH])", r"\1e \2"),
-    *fractions((" la meta ", " un terzo ", " due terzi ", " un quarto ", " tre quarti ", " un quinto ")), *signs((" e ", " per cento ", " piu ", " e ", " o ", " numero ")),
+    *written_out(half=" la meta ", third=" un terzo ", two_thirds=" due terzi ", quarter=" un quarto ", three_quarters=" tre quarti ", fifth=" un quinto ", also=" e ", percent=" per cento ", plus=" piu ", equals=" e ", either=" o ", number=" numero "),
 ]
 PACKS = {"english": ENGLISH, "français": FRENCH, "deutsch": GERMAN, "espanol": SPANISH, "nederlands": DUTCH, "dansk": DANISH, "italiano": ITALIAN}
 

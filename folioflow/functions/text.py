@@ -8,7 +8,7 @@ from functools import lru_cache, reduce
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from folioflow.functions import cleaning as K
 
@@ -68,7 +68,7 @@ def visible(html: str | None) -> str | None:
     return "".join(parser.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_html(pages: pd.Series) -> pd.Series:
     return pages.map(visible, na_action="ignore")
 

@@ -188,9 +188,10 @@ def packed_id(source: Column, year: Column, month: Column, day: Column, part: Co
 
 
 def join_parts(df: DataFrame, key: str, part: str, text: str, separator: str = " ") -> DataFrame:
-    """One row a key: its parts' texts in order."""
+    """One row a key: its parts' texts in order.  Rows without a key are parts of nothing known and stay single."""
+    known, single = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull()).select(key, text)
     ordered = F.array_sort(F.collect_list(F.struct(part, text)))
-    return df.groupBy(key).agg(F.array_join(F.transform(ordered, lambda r: r[text]), separator).alias(text))
+    return known.groupBy(key).agg(F.array_join(F.transform(ordered, lambda r: r[text]), separator).alias(text)).unionByName(single)
 
 
 def merge_every(df: DataFrame, number: str, text: str, n: int) -> DataFrame:

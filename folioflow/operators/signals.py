@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Blocks of curves that are compared pair by pair: each curve is sent so many times.
 BLOCKS = 6
@@ -44,7 +44,7 @@ def rolling_triangle(series: DataFrame, order: str, value: str, width: int, grou
     return out.withColumn("rolling_mean", F.col("rolling_sum") / h).drop("_b", "_n")
 
 
-def low_pass(series: DataFrame, place: str, value: str, n: int, keep: int = 5, points: int = 100) -> DataFrame:
+def low_pass(series: DataFrame, place: str, value: str, n: Column | int, keep: int = 5, points: int = 100) -> DataFrame:
     """point, smooth: the ``keep`` lowest cosine components of a series (places 0..n-1), drawn at ``points`` places."""
     k = series.sparkSession.range(keep).select(F.col("id").cast("int").alias("k"))
     spectrum = series.join(F.broadcast(k)).groupBy("k").agg((2 * F.sum(F.col(value) * F.cos(math.pi * F.col("k") * (2 * F.col(place) + 1) / (2 * n)))).alias("y"))

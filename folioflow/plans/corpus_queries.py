@@ -196,7 +196,7 @@ def merge_every_n(s, d):
     return C.merge_every(items, "k", "text", 4).withColumn("group_id", F.col("group_id").cast("long"))
 
 
-@query("SELECT docid, string_agg(sent_str, ' ' ORDER BY sentence_id, sent_str) AS sent_str FROM sents WHERE sent_str IS NOT NULL GROUP BY 1")
+@query("SELECT docid, string_agg(sent_str, ' ' ORDER BY sentence_id, sent_str) AS sent_str FROM sents WHERE sent_str IS NOT NULL AND docid IS NOT NULL GROUP BY 1 UNION ALL SELECT docid, sent_str FROM sents WHERE sent_str IS NOT NULL AND docid IS NULL")
 def merge_parts(s, d):
     return C.join_parts(table(s, d, "sents").where("sent_str is not null"), "docid", "sentence_id", "sent_str")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.operators import signals as G
 from folioflow.plans.vector_queries import ORACLES as VECTOR_SQL, table, vocab_quantile_filter, words
@@ -10,19 +10,17 @@ from folioflow.plans.vector_queries import ORACLES as VECTOR_SQL, table, vocab_q
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-# A small lexicon of words of the tables, in place of one that is not given.
-LEXICON = [
-    ("praised", 1, 0, 1), ("admired", 1, 0, 1), ("welcomed", 1, 0, 1), ("gentle", 1, 0, 0), ("bright", 1, 0, 1), ("pleasant", 1, 0, 1), ("generous", 1, 0, 0),
-    ("ignored", 0, 1, 0), ("avoided", 0, 1, 0), ("bitter", 0, 1, 0), ("doubted", 0, 1, 0), ("sour", 0, 1, 0), ("weary", 0, 1, 0), ("hollow", 0, 1, 0), ("stubborn", 0, 1, 0),
-]
+# The lexicon is the table of key words: a column for each subject, as a lexicon of feelings has one for each feeling.
+FEELINGS = ["arts", "education", "finance", "health", "law", "politics", "science", "sport", "technology", "transport"]
+# Valence is the first of these less the second.
+POLES = ("sport", "law")
 # Document numbers a part of a month's words may span, so that no string grows with the collection.
 PART_IDS = 4096
-FEELINGS = ["positive", "negative", "joy"]
-_LEX = "lex(term_str, positive, negative, joy) AS (VALUES " + ", ".join(str(r) for r in LEXICON) + ")"
+_LEX = "lex AS (SELECT term_str, " + ", ".join(f"max((subject = '{f}')::INTEGER) AS {f}" for f in FEELINGS) + " FROM (SELECT subject, lower(unnest(string_split(words, ' '))) AS term_str FROM topic_keys) WHERE term_str <> '' GROUP BY 1)"
 _W = "w AS (SELECT doc_id, sentence_num, token_num, min(term_id) AS term_id, min(term_str) AS term_str FROM token WHERE doc_id IS NOT NULL AND punc = 0 AND num = 0 GROUP BY ALL)"
 _D = "d AS (SELECT doc_id, min(make_date(year, month, day)) AS day, min(section) AS section FROM doc GROUP BY 1)"
-_S = f"{_LEX}, {_W}, {_D}, s AS (SELECT w.doc_id, day, section, token_num, coalesce(positive, 0) AS positive, coalesce(negative, 0) AS negative, coalesce(joy, 0) AS joy FROM w JOIN d USING (doc_id) LEFT JOIN lex USING (term_str))"
-_SUMS = "sum(positive)::BIGINT AS positive, sum(negative)::BIGINT AS negative, sum(joy)::BIGINT AS joy"
+_S = f"{_LEX}, {_W}, {_D}, s AS (SELECT w.doc_id, day, section, token_num, " + ", ".join(f"coalesce({f}, 0) AS {f}" for f in FEELINGS) + " FROM w JOIN d USING (doc_id) LEFT JOIN lex USING (term_str))"
+_SUMS = ", ".join(f"sum({f})::BIGINT AS {f}" for f in FEELINGS)
 
 
 def query(sql: str | None = None):  # noqa: ANN201
@@ -35,8 +33,9 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
-def lexicon(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(LEXICON, "term_str string, positive int, negative int, joy int")
+def lexicon(s: SparkSession, d: str) -> DataFrame:
+    words = table(s, d, "topic_keys").select("subject", F.explode(F.split(F.lower("words"), " ")).alias("term_str")).where("term_str <> ''")
+    return words.groupBy("term_str").agg(*[F.max((F.col("subject") == f).cast("int")).alias(f) for f in FEELINGS])
 
 
 def docs(s: SparkSession, d: str) -> DataFrame:
@@ -44,7 +43,7 @@ def docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
-    return G.score(words(s, d), lexicon(s), FEELINGS).join(docs(s, d), "doc_id")
+    return G.score(words(s, d), lexicon(s, d), FEELINGS).join(docs(s, d), "doc_id")
 
 
 @query(f"WITH {_S} SELECT doc_id, {_SUMS} FROM s GROUP BY 1")
@@ -72,13 +71,13 @@ def sentiment_section_filter(s, d):
     return G.sums_by(scored(s, d).where("section = 'International'"), FEELINGS, ["day"])
 
 
-@query(f"WITH {_S}, p AS (SELECT year(day)::INTEGER AS year, month(day)::INTEGER AS month, section, positive, negative, joy FROM s) SELECT year, month, section, 3 - grouping_id(year, month, section) // 4 - grouping_id(year, month, section) // 2 % 2 - grouping_id(year, month, section) % 2 AS depth, {_SUMS} FROM p GROUP BY ROLLUP (year, month, section)")
+@query(f"WITH {_S}, p AS (SELECT year(day)::INTEGER AS year, month(day)::INTEGER AS month, section, " + ", ".join(FEELINGS) + f" FROM s) SELECT year, month, section, 3 - grouping_id(year, month, section) // 4 - grouping_id(year, month, section) // 2 % 2 - grouping_id(year, month, section) % 2 AS depth, {_SUMS} FROM p GROUP BY ROLLUP (year, month, section)")
 def sentiment_by_prefix(s, d):
     t = scored(s, d).withColumns({"year": F.year("day"), "month": F.month("day")})
     return G.sums_of_prefixes(t, FEELINGS, ["year", "month", "section"])
 
 
-@query(f"WITH {_S}, t AS (SELECT {_SUMS} FROM s) SELECT feeling, total FROM t UNPIVOT (total FOR feeling IN (positive, negative, joy))")
+@query(f"WITH {_S}, t AS (SELECT {_SUMS} FROM s) SELECT feeling, total FROM t UNPIVOT (total FOR feeling IN (" + ", ".join(FEELINGS) + "))")
 def emotion_totals(s, d):
     return G.unpivot_sums(scored(s, d), FEELINGS)
 
@@ -93,12 +92,12 @@ def month_strings(s, d):
     return t.agg(F.array_join(F.transform(F.filter(parts, lambda x: x["str"] != ""), lambda x: x["str"]), " ").alias("month_str"))
 
 
-_MONTHS = f"{_S}, m AS (SELECT year(day)::INTEGER * 12 + month(day)::INTEGER - 1 AS month, (sum(positive) - sum(negative))::BIGINT AS valence FROM s GROUP BY 1)"
+_MONTHS = f"{_S}, m AS (SELECT year(day)::INTEGER * 12 + month(day)::INTEGER - 1 AS month, (sum({POLES[0]}) - sum({POLES[1]}))::BIGINT AS valence FROM s GROUP BY 1)"
 
 
 def months(s: SparkSession, d: str) -> DataFrame:
     t = scored(s, d).groupBy((F.year("day") * 12 + F.month("day") - 1).alias("month"))
-    return t.agg((F.sum("positive") - F.sum("negative")).alias("valence"))
+    return t.agg((F.sum(POLES[0]) - F.sum(POLES[1])).alias("valence"))
 
 
 @query(f"WITH {_MONTHS} SELECT month, valence FROM m ORDER BY valence DESC, month LIMIT 7")
@@ -127,8 +126,10 @@ _SERIES = f"{_MONTHS}, o AS (SELECT month, valence, row_number() OVER (ORDER BY
 @query(f"""WITH {_SERIES}, k AS (SELECT unnest(range(5)) AS k), y AS (SELECT k, 2 * sum(valence * cos(pi() * k * (2 * i + 1) / (2 * n))) AS y FROM o, k GROUP BY 1), g AS (SELECT unnest(range(100)) AS point)
     SELECT point::INTEGER AS point, round(sum(CASE WHEN k = 0 THEN y ELSE 2 * y * cos(pi() * k * (point + 0.5) / 100) END), 6) AS smooth FROM g, y GROUP BY 1""")
 def dct_lowpass(s, d):
-    series = months(s, d).withColumn("i", F.row_number().over(Window.orderBy("month")) - 1)
-    return G.low_pass(series, "i", "valence", series.count()).withColumn("smooth", F.round("smooth", 6))
+    from folioflow.operators.corpus import renumber
+
+    series = renumber(months(s, d), "month", "i").withColumn("i", F.col("i") - 1)
+    return G.low_pass(series, "i", "valence", series.agg(F.count(F.lit(1))).scalar()).withColumn("smooth", F.round("smooth", 6))
 
 
 @query(f"""WITH {_SERIES}, p AS (SELECT a.month, count(*) AS c, sum(b.valence * (3 - abs(a.i - b.i)) / 3.0) AS v FROM o a JOIN o b ON abs(a.i - b.i) <= 2 GROUP BY 1)
@@ -202,3 +203,26 @@ def friends(s, d):
 @query(f"WITH {_PAIRS} SELECT x, y, round(overlap, 6) AS overlap FROM pr ORDER BY round(overlap, 6) DESC, x, y LIMIT {EDGES}")
 def top_edges(s, d):
     return G.overlaps(curves(s, d), "term_str", SAMPLES).select("x", "y", F.round("overlap", 6).alias("overlap")).orderBy(F.desc("overlap"), "x", "y").limit(EDGES)
+
+
+_FELT = f"{_S}, pl AS (SELECT feeling AS term_str, (day - DATE '1999-01-01')::INTEGER AS place FROM (SELECT day, feeling, v FROM s UNPIVOT (v FOR feeling IN ({', '.join(FEELINGS)}))) WHERE v > 0 AND day IS NOT NULL)"
+
+
+@query(f"WITH {_FELT}, {_KDE} SELECT term_str AS feeling, sample, round(density, 9) AS density FROM k")
+def feeling_kde(s, d):
+    """Densities of all feelings over the days."""
+    t = scored(s, d).withColumn("feeling", F.explode(F.array_compact(F.array(*[F.when(F.col(f) > 0, F.lit(f)) for f in FEELINGS]))))
+    felt = t.where("day is not null").select("feeling", F.date_diff("day", F.lit("1999-01-01").cast("date")).alias("place"))
+    return G.density(felt, "feeling", "place", 1500, 60, SAMPLES).withColumn("density", F.round("density", 9))
+
+
+@query(f"WITH {_PAIRS}, t20 AS (SELECT term_str FROM n ORDER BY n DESC, term_str LIMIT 20) SELECT x, y, round(coalesce(overlap, 1), 6) AS overlap FROM (SELECT a.term_str AS x, b.term_str AS y FROM t20 a, t20 b) g LEFT JOIN (SELECT x, y, overlap FROM pr WHERE overlap > 1e-9 UNION ALL SELECT y, x, overlap FROM pr WHERE overlap > 1e-9) o USING (x, y)")
+def overlap_crosstab(s, d):
+    """Overlaps of the twenty most frequent terms crosswise, 1 where there is none (a term with itself), in long form."""
+    p = places(s, d)
+    most = p.groupBy("term_str").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term_str").limit(20).select("term_str")
+    pairs = G.overlaps(G.density(p.join(most, "term_str", "left_semi"), "term_str", "place", 1500, 60, SAMPLES), "term_str", SAMPLES).where("overlap > 1e-9")
+    both = pairs.select("x", "y", "overlap").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "overlap"))
+    names = [r["term_str"] for r in most.collect()]  # twenty at most
+    wide = both.groupBy("x").pivot("y", names).agg(F.sum("overlap")).fillna(1, names)
+    return wide.unpivot("x", names, "y", "overlap").withColumn("overlap", F.round("overlap", 6))

@@ -32,34 +32,21 @@ def page_number(s, d):
     return t.groupBy("section", pages.section_letter(m).alias("letter"), pages.page(m).alias("page"), pages.page_column(m).alias("page_column")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('iv', 4), ('xiv', 14), ('MCMXCIX', 1999), ('ix', 9), ('page', NULL)) v(mark, value)")
-def roman_numeral(s, d):
-    return s.createDataFrame([("iv",), ("xiv",), ("MCMXCIX",), ("ix",), ("page",)], "mark string").withColumn("value", pages.roman(F.col("mark")))
-
-
-@query("SELECT DISTINCT term_str FROM vocab WHERE term_str IS NOT NULL")
-def stemmed_terms(s, d):
-    """Every distinct term, each stemmed once."""
-    terms = table(s, d, "vocab").where("term_str is not null").select("term_str").distinct()
-    return terms.where(column(porter.stem, T.StringType())("term_str").isNotNull())
-
-
 @query()
 def porter_stems(s, d):
     terms = table(s, d, "vocab").where("term_str is not null").select("term_str").distinct()
     return terms.withColumn("stem", column(porter.stem, T.StringType())("term_str"))
 
 
-@query("SELECT doc_id FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, text AS joined FROM documents WHERE text IS NOT NULL")
 def split_long_text(s, d):
-    """Documents whose parts, joined again, are the text: all of them."""
+    """Texts cut into parts of five hundred characters and joined again: the texts."""
     parts = column(lambda t: split_text(t, 500), T.ArrayType(T.StringType()))
-    t = table(s, d, "documents").where("text is not null").select("doc_id", "text", F.posexplode(parts("text")).alias("part", "piece"))
-    joined = t.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"]), "").alias("joined"), F.min("text").alias("text"))
-    return joined.where("joined = text").select("doc_id")
+    t = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(parts("text")).alias("part", "piece"))
+    return t.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"]), "").alias("joined"))
 
 
 @query("SELECT doc_number, min(load_ts)::DATE AS load_day FROM df GROUP BY 1")
-def ingest_once(s, d):
+def first_delivery(s, d):
     """Articles delivered more than once, once: the first delivery counts."""
     return table(s, d, "df").groupBy("doc_number").agg(F.to_date(F.min("load_ts")).alias("load_day"))

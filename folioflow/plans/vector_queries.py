@@ -172,8 +172,10 @@ def minmax_scale(s, d):
 
 @query("SELECT DISTINCT doc_number, subject, dense_rank() OVER (ORDER BY subject) - 1 AS code FROM labels")
 def label_encode(s, d):
-    codes = table(s, d, "labels").select("subject").distinct().withColumn("code", (F.row_number().over(Window.orderBy("subject")) - 1).cast("long"))
-    return table(s, d, "labels").select("doc_number", "subject").distinct().join(F.broadcast(codes), "subject")
+    from folioflow.operators.corpus import renumber
+
+    codes = renumber(table(s, d, "labels").select("subject").where("subject is not null").distinct(), "subject", "code").withColumn("code", (F.col("code") - 1).cast("long"))
+    return table(s, d, "labels").select("doc_number", "subject").distinct().join(codes, "subject")
 
 
 @query("SELECT doc_number, max((subject = 'law')::INTEGER) AS law, max((subject = 'sport')::INTEGER) AS sport, max((subject = 'science')::INTEGER) AS science FROM labels GROUP BY 1")

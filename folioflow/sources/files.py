@@ -11,6 +11,7 @@ from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+NULL = r"\N"
 _CSV = {"quote": '"', "escape": '"', "multiLine": "true", "encoding": "UTF-8"}
 
 
@@ -24,15 +25,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
 # ---- delimited tables ---------------------------------------------------------------------------------------------
 
 
-def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> str:
-    """All columns as text.  Nulls are written as nothing and empty strings as \"\", so that both come back."""
-    df.write.mode(mode).options(**_CSV, header=str(header).lower(), nullValue="", emptyValue='""', quoteAll="false", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite", null: str = NULL) -> str:
+    """All columns as text; nulls are written as ``null``, so that they and empty strings both come back."""
+    df.write.mode(mode).options(**_CSV, header=str(header).lower(), nullValue=null, ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
     return path
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = True, names: list[str] | None = None) -> DataFrame:
-    """A delimited table; ``names`` are given to the columns of files without a header."""
-    reader = spark.read.options(**_CSV, header=str(header).lower(), nullValue="", emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = True, names: list[str] | None = None, null: str = NULL) -> DataFrame:
+    """A delimited table; ``names`` are given to the columns of files without a header.  What is written as ``null`` is null."""
+    reader = spark.read.options(**_CSV, header=str(header).lower(), nullValue=null, emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.toDF(*names) if names else df
 
