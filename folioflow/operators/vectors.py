@@ -141,6 +141,33 @@ def combine_features(frames: list[DataFrame], key: str, feature: str = "feature_
     return reduce(DataFrame.unionByName, out)
 
 
+def vectorize(
+    texts: DataFrame, train: DataFrame, key: str, text: str, counting: str = "scaled", weighting: str = "tfidf", least: float = 0.01, most: float = 0.5, shortest: int = 1, longest: int = 1,
+) -> DataFrame:
+    """key, feature_id, weight: features of ``texts``, all of them fitted on those whose keys are in ``train``.
+
+    counting: 'binary', 'count', 'scaled' (over the greatest count of the training part) or 'augmented' (0.5 + 0.5 of the
+    text's greatest); weighting: 'none', 'tfidf' (ln((1 + N) / (1 + df)) + 1, rows of length 1) or 'variance'.
+    """
+    every = count_features(texts, key, text, shortest, longest, counting == "binary")
+    keys = train.select(key).distinct()
+    docs = texts.join(keys, key, "left_semi").agg(F.count(F.lit(1))).scalar()
+    fit = fit_features(every.join(keys, key, "left_semi"), docs, least, most, key)
+    bow = apply_features(every, fit).select(key, "feature_id", F.col("n").cast("double").alias("n"), "df")
+    if counting == "scaled":
+        bow = bow.withColumn("n", F.col("n") / bow.join(keys, key, "left_semi").agg(F.max("n")).scalar())
+    elif counting == "augmented":
+        bow = augmented_counts(bow, key).drop("n").withColumnRenamed("augmented", "n")
+    if weighting == "variance":
+        variance = term_variance(bow.join(keys, key, "left_semi"), key, "feature_id")
+        return apply_variance(bow, variance, "feature_id").select(key, "feature_id", "weight")
+    if weighting == "none":
+        return bow.select(key, "feature_id", F.col("n").alias("weight"))
+    raw = bow.withColumn("w", F.col("n") * (F.log((1 + docs) / (1 + F.col("df"))) + 1))
+    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norm, key).select(key, "feature_id", (F.col("w") / F.col("norm")).alias("weight"))
+
+
 def bounds_of(bow: DataFrame, by: str, value: str = "n", others: Column | int | None = None) -> DataFrame:
     """by, low, high of sparse values; where fewer than ``others`` cells are given, the rest are 0."""
     out = bow.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("_n"))

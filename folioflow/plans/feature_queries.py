@@ -137,6 +137,22 @@ def parameter_grid(s, d):
     return s.createDataFrame(list(product(*GRID.values())), "count_kind string, weighting string, least double, longest int")
 
 
+_WEIGHTED = f"{_COUNTS}, a AS (SELECT doc_number, feature_id, n, df FROM c JOIN v USING (feature)), r AS (SELECT doc_number, feature_id, n * (ln((1 + (SELECT count(*) FROM tr)) / (1 + df)::DOUBLE) + 1) AS w FROM a)"
+
+
+@query(f"WITH {_WEIGHTED} SELECT doc_number, feature_id, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_number)), 9) AS weight FROM r")
+def vectorized_tfidf(s, d):
+    """The whole run: counts scaled, weighted, fitted on the rated articles."""
+    out = V.vectorize(texts(s, d), rated(s, d), "doc_number", "text", "scaled", "tfidf", 0.02, 0.5, 1, 2)
+    return out.withColumn("weight", F.round("weight", 9))
+
+
+@query(f"WITH {_COUNTS} SELECT doc_number, feature_id, round(0.5 + 0.5 * n / (max(n) OVER (PARTITION BY doc_number))::DOUBLE, 9) AS weight FROM c JOIN v USING (feature)")
+def vectorized_augmented(s, d):
+    out = V.vectorize(texts(s, d), rated(s, d), "doc_number", "text", "augmented", "none", 0.02, 0.5, 1, 2)
+    return out.withColumn("weight", F.round("weight", 9))
+
+
 @query()
 def svd_reduce(s, d):
     """Articles in the twenty greatest singular directions of the three hundred most frequent terms."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from folioflow.functions import pages, porter, text as X
+from folioflow.functions import cleaning as K, pages, porter, text as X
 from folioflow.functions.strings import column
 from folioflow.plans.registry import registry, table
 from folioflow.sources import vendors
@@ -157,3 +157,43 @@ def author_split(s, d):
 def roman_marks(s, d):
     t = table(s, d, "df").where("section is not null").select(F.lower(F.trim("section")).alias("mark")).distinct()
     return t.withColumn("value", pages.roman(F.col("mark")))
+
+
+@query(f"SELECT doc_number, year, month, {K.clean_sql(_FOLD.replace('text', 'body'), K.chain('english'))} AS text FROM (SELECT DISTINCT doc_number, year, month, concat_ws(' . ', title, text) AS body FROM df WHERE language = 'English')")
+def cleaned_articles(s, d):
+    """Title and text joined, in ASCII and cleaned, beside the columns that are kept."""
+    one = table(s, d, "df").where("language = 'English'").select("doc_number", "year", "month", F.concat_ws(" . ", "title", "text").alias("body")).distinct()
+    return one.select("doc_number", "year", "month", K.clean(X.ascii_fold(F.col("body")), K.chain("english")).alias("text"))
+
+
+@query(r"""WITH m AS (SELECT DISTINCT section FROM df WHERE section IS NOT NULL), t AS (SELECT section, list_filter(string_split(trim(regexp_replace(section, '[^\pL\pN]+', ' ', 'g')), ' '), lambda x: true)[-1] AS last FROM m)
+    SELECT section, last, regexp_full_match(lower(last), '[a-z]{0,2}[0-9]{1,3}[a-z]{0,2}') AS is_page, coalesce(try_cast(nullif(regexp_extract(last, '([0-9]+)', 1), '') AS INTEGER), 0) AS number,
+    CASE WHEN regexp_extract(lower(last), '^[^a-z]*([a-z])', 1) = '' THEN 0 ELSE ascii(regexp_extract(lower(last), '^[^a-z]*([a-z])', 1)) - 96 END::INTEGER AS letter FROM t""")
+def page_tokens(s, d):
+    """The last token of every section mark: whether it is one of a page, its number and letter."""
+    t = table(s, d, "df").where("section is not null").select("section").distinct().withColumn("last", F.element_at(F.split(pages.split_inside(F.col("section")), " "), -1))
+    letter, number = pages.letters_and_number(F.col("last"))
+    return t.select("section", "last", pages.is_page_token(F.col("last")).alias("is_page"), number.alias("number"), letter.cast("int").alias("letter"))
+
+
+@query()
+def page_fields(s, d):
+    """Section, part, page and column of every section mark, with what was odd about it."""
+    return table(s, d, "df").where("section is not null").select("section").distinct().select("section", F.inline(F.array(pages.fields(F.col("section")))).alias("f_section", "part", "page", "page_column", "repeated", "ignored", "none"))
+
+
+@query(f"SELECT term_str, (term_str IN ({', '.join(repr(w) for w in X.STOP_WORDS.split())}) OR term_str IN ('said', 'mr', 'corp'))::INTEGER AS stop FROM (SELECT DISTINCT term_str FROM vocab WHERE term_str IS NOT NULL)")
+def stop_flags(s, d):
+    """Stop flags of the vocabulary by the published list and words of one's own, by a join."""
+    words = s.createDataFrame([(w,) for w in sorted({*X.STOP_WORDS.split(), "said", "mr", "corp"})], "term_str string").withColumn("stop", F.lit(1))
+    return table(s, d, "vocab").where("term_str is not null").select("term_str").distinct().join(words, "term_str", "left").fillna(0, ["stop"])
+
+
+@query("SELECT year, month, day, section, doc_key, row_number() OVER (ORDER BY year, month, day, coalesce(section, ''), coalesce(doc_key, ''), section IS NULL, doc_key IS NULL) - 1 AS new_id FROM (SELECT DISTINCT year, month, day, section, doc_key FROM doc WHERE doc_key IS NULL OR doc_key NOT IN ('pm', 'billion', 'million', 'am'))")
+def doc_ids(s, d):
+    """Distinct articles by date, section and key, with new ids."""
+    from folioflow.operators.corpus import renumber
+
+    t = table(s, d, "doc").where(F.col("doc_key").isNull() | ~F.col("doc_key").isin("pm", "billion", "million", "am")).select("year", "month", "day", "section", "doc_key").distinct()
+    key = F.struct("year", "month", "day", F.coalesce("section", F.lit("")).alias("s"), F.coalesce("doc_key", F.lit("")).alias("k"), F.col("section").isNull().alias("sn"), F.col("doc_key").isNull().alias("kn"))
+    return renumber(t.withColumn("_k", key), "_k", "new_id").withColumn("new_id", (F.col("new_id") - 1).cast("long")).drop("_k")

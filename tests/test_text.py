@@ -104,3 +104,29 @@ def test_content_windows(spark):
     many = {r.k: (r.x, r.y, r.n_matches) for r in N.filter_by_many(df, "t", {"x": (["bank"], []), "y": (["river bank", "b c"], [])}).collect()}
     assert many == {0: (2, 1, 3), 4: (1, 0, 1), 5: (1, 1, 2), 6: (2, 0, 2)}
     assert {r.k for r in N.extract_by_content(df, "k", "t", ["bank"], ["river bank"]).collect()} == {0, 4, 6}
+
+
+@pytest.mark.parametrize(("mark", "want"), [
+    ("Section B; Part 2; Page 14; Column 3", (2, 2, 14, 3, False, False, False)), ("Sports; Pg. B4", (2, 0, 4, 0, False, False, False)), ("A12", (1, 0, 12, 0, False, False, False)),
+    ("News, 7", (0, 0, 7, 0, False, False, False)), ("Arts", (0, 0, 0, 0, False, False, True)), ("Page 3; Page 5", (0, 0, 3, 0, True, False, False)), ("Section C; Page B4", (3, 0, 4, 0, False, True, False)),
+    ("", (0, 0, 0, 0, False, False, True)),
+])
+def test_page_fields(spark, mark, want):
+    from folioflow.functions import pages
+
+    assert tuple(one(spark, mark, pages.fields)) == want
+
+
+def test_published_stems():
+    from folioflow.functions.porter import stem
+
+    pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing hopping hop falling fall hissing hiss filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit operator oper feudalism feudal hopefulness hope formaliti formal triplicate triplic formative form formalize formal electrical electr goodness good revival reviv allowance allow inference infer adjustment adjust effective effect probate probat rate rate controll control roll roll"
+    words = pairs.split()
+    assert [stem(w) for w in words[::2]] == words[1::2]
+
+
+def test_dated_lines(spark):
+    lines = ["1 of 3 DOCUMENTS", "", "Paper", "Title", "text", "2 of 3 DOCUMENTS", "", "Paper", "Title", "3 of 3 DOCUMENTS", "x"]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(lines)], "path string, n int, line string")
+    got = [r.line for r in X.dated_lines(df, "n", "line", "May 3, 2001", 2, 3).orderBy("n", "rank").collect()]
+    assert got == [*lines[:8], "", "May 3, 2001", *lines[8:]]
