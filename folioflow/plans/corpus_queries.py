@@ -47,14 +47,15 @@ def source_distinct_dates(s, d):
     return table(s, d, "documents").select("source", F.to_date("pub_ts").alias("day"), F.date_format("pub_ts", "EEEE").alias("weekday")).distinct()
 
 
-@query("SELECT month(ts)::INTEGER AS month, day(ts)::INTEGER AS day, count(*) AS n FROM events WHERE year(ts) = 2024 GROUP BY ALL")
+@query("SELECT month, day, count(*) AS n FROM doc WHERE year = 2001 GROUP BY ALL")
 def counts_by_month_day(s, d):
-    return table(s, d, "events").where(F.year("ts") == 2024).groupBy(F.month("ts").alias("month"), F.day("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    """Articles of one year by month and day."""
+    return table(s, d, "doc").where("year = 2001").groupBy("month", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT year, count(*) AS n FROM doc GROUP BY 1")
 def counts_by_year(s, d):
-    return table(s, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    return table(s, d, "doc").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""WITH t AS (SELECT len(string_split(text, '.'))::BIGINT AS s, len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> ''))::BIGINT AS w FROM documents WHERE length(text) > 0)
