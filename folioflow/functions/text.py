@@ -242,3 +242,16 @@ def split_author(line: str | None) -> tuple[str, str] | None:
         else:
             return " ".join(author), " ".join(words[i:])
     return " ".join(author), ""
+
+
+def stem_texts(stem, together: bool = False):  # noqa: ANN001, ANN201
+    """A function of a text column: every word stemmed, sentences (between points) joined by " . "; ``together``: negations tied, too.
+
+    The stemmers remember words, so that each distinct word of a worker is stemmed once.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def apply(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " . ".join(" ".join(stem(w) for w in part.split()) for part in t.split(".")), na_action="ignore")
+
+    return lambda text: join_negations(apply(text)) if together else apply(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from folioflow.functions import cleaning as K, pages, porter, text as X
+from folioflow.functions import cleaning as K, pages, porter, porter2, text as X
 from folioflow.functions.strings import column
 from folioflow.plans.registry import registry, table
 from folioflow.sources import vendors
@@ -197,3 +197,16 @@ def doc_ids(s, d):
     t = table(s, d, "doc").where(F.col("doc_key").isNull() | ~F.col("doc_key").isin("pm", "billion", "million", "am")).select("year", "month", "day", "section", "doc_key").distinct()
     key = F.struct("year", "month", "day", F.coalesce("section", F.lit("")).alias("s"), F.coalesce("doc_key", F.lit("")).alias("k"), F.col("section").isNull().alias("sn"), F.col("doc_key").isNull().alias("kn"))
     return renumber(t.withColumn("_k", key), "_k", "new_id").withColumn("new_id", (F.col("new_id") - 1).cast("long")).drop("_k")
+
+
+@query()
+def snowball_stems(s, d):
+    """Every distinct term of the vocabulary with its stem of the second form."""
+    terms = table(s, d, "vocab").where("term_str is not null").select("term_str").distinct()
+    return terms.withColumn("stem", column(porter2.stem, T.StringType())("term_str"))
+
+
+@query()
+def stemmed_texts(s, d):
+    """Texts in lower case with their words stemmed and negations tied to what they deny."""
+    return docs(s, d).select("doc_id", X.stem_texts(porter.stem, together=True)(F.lower("text")).alias("value"))

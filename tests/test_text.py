@@ -130,3 +130,22 @@ def test_dated_lines(spark):
     df = spark.createDataFrame([("f", i, t) for i, t in enumerate(lines)], "path string, n int, line string")
     got = [r.line for r in X.dated_lines(df, "n", "line", "May 3, 2001", 2, 3).orderBy("n", "rank").collect()]
     assert got == [*lines[:8], "", "May 3, 2001", *lines[8:]]
+
+
+def test_published_stems_of_the_second_form():
+    from folioflow.functions.porter2 import stem
+
+    pairs = (
+        "consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist consolation consol console consol "
+        "consoled consol consolingly consol knack knack knackeries knackeri knacks knack knave knave knaves knave knavish knavish kneaded knead kneel kneel knees knee knell knell knightly knight knights knight knives knive "
+        "knotted knot knotty knotti skies sky dying die news news succeed succeed running run hoping hope hopping hop cries cri ties tie gas gas this this gaps gap kiwis kiwi luxuriated luxuri generate generat generous generous "
+        "by by say say agreed agre conditional condit vietnamization vietnam sensational sensat happily happili controlling control"
+    ).split()
+    assert [stem(w) for w in pairs[::2]] == pairs[1::2]
+
+
+def test_stemmed_texts(spark):
+    from folioflow.functions.porter import stem
+
+    assert one(spark, "ponies were hopping. it is not relational", lambda c: X.stem_texts(stem)(c)) == "poni were hop . it is not relat"
+    assert one(spark, "it is not relational", lambda c: X.stem_texts(stem, True)(c)) == "it is not_relat" and one(spark, None, lambda c: X.stem_texts(stem)(c)) is None
