@@ -86,7 +86,8 @@ def ending(text: str) -> tuple[str, list[str], int]:
     body = text.rstrip()
     if body.endswith("�"):
         return "cut", [], len(body.rstrip("�"))
-    m = _BRACKETED_ELLIPSIS.search(body)
+    # these patterns end where the text ends: its last character tells whether to search at all
+    m = _BRACKETED_ELLIPSIS.search(body) if body.endswith((")", "]")) else None
     if m:
         return "cut", [], m.start()
     line_at = max(body.rfind(c) for c in S.LINE_MARKS) + 1
@@ -97,11 +98,11 @@ def ending(text: str) -> tuple[str, list[str], int]:
     quote, _, depth, _, _ = S.unpack(state)
     if quote or depth:
         return "cut", [], len(body)
-    m = _ELLIPSIS.search(body)
+    m = _ELLIPSIS.search(body, line_at) if body.endswith(("..", "…")) else None
     if m:
         words = [shape(w) for w in line[: m.start() - line_at].split()[-3:]]
         return "ellipsis", ["e " + " ".join(words)], m.start()
-    m = _END_QUOTE.search(body)
+    m = _END_QUOTE.search(body, line_at) if body.endswith(tuple("\"”»“’)]」』")) else None
     if m and any(c in m.group(2) for c in '"”»“'):
         key = _quote_key(body, m.start() + len(m.group(1)))
         return ("quote", [key], len(body)) if key else ("whole", [], len(body))
