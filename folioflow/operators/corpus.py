@@ -231,9 +231,24 @@ def merge_columns(left: DataFrame, right: DataFrame, key: str, value: str, how:
 
 
 def fill_forward(df: DataFrame, group: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """Nulls replaced by the last value before them in their group."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    """Nulls replaced by the last value before them in their group.
+
+    Rows are cut by ranges of group and order, so that a group of very many rows spans several; each range is filled by
+    itself, and what it begins with comes from the last value of the group's ranges before it.
+    """
+    from folioflow.plans.lineage import settle
+
+    by = [F.col(c) for c in (*group, *order)]
+    ranged = settle(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    last = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns}
+    ends = ranged.groupBy("_part", *group).agg(*last.values())
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], *[F.last(c, ignorenulls=True).over(before).alias(f"_c{i}") for i, c in enumerate(columns)])
+    same = reduce(lambda a, b: a & b, [local[g].eqNullSafe(carried[f"_g{i}"]) for i, g in enumerate(group)], local["_part"] == carried["_p"])
+    out = local.join(carried, same, "left")
+    return out.select(*[F.coalesce(F.col(c), F.col(f"_c{columns.index(c)}")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 
 
 # ---- counts and orders --------------------------------------------------------------------------------------------

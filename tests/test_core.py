@@ -53,6 +53,17 @@ def test_first_wins_and_fill(spark):
     assert [r.v for r in C.fill_forward(t, ["g"], ["i"], ["v"]).orderBy("g", "i").collect()] == [None, "x", "x", None]
 
 
+def test_fill_over_many_ranges(spark):
+    rng = random.Random(6)
+    rows = [(g, i, rng.choice([None, None, None, f"{g}{i}"]), rng.choice([None, i])) for g in ("a", "b", None) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, i int, v string, w int").repartition(7)
+    want, last = {}, {}
+    for g, i, v, w in rows:
+        last[g] = (v or last.get(g, (None, None))[0], w if w is not None else last.get(g, (None, None))[1])
+        want[g, i] = last[g]
+    assert {(r.g, r.i): (r.v, r.w) for r in C.fill_forward(df, ["g"], ["i"], ["v", "w"]).collect()} == want
+
+
 def test_triangle_widths(spark):
     rows = [(i, float((i * 7) % 11)) for i in range(20)]
     df = spark.createDataFrame(rows, "i int, v double")
