@@ -184,7 +184,7 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(w) > 1 and script(w[0]) in ("LATIN", "CYRILLIC", "GREEK") and not mixes(w):
                 for a, b in zip(w, w[1:]):
                     pairs[a + b] += n
-        yield pd.DataFrame({"pair": list(pairs), "n": list(pairs.values())}, columns=["pair", "n"])
+        yield pd.DataFrame({"pair": pd.Series(list(pairs), dtype=object), "n": pd.Series(list(pairs.values()), dtype="int64")})
 
 
 def pair_scores(df: DataFrame, text: str = "text") -> dict[str, float]:

@@ -307,7 +307,7 @@ def subject_shares(df: DataFrame, keys: DataFrame, labels: DataFrame, key: str =
     topics = keys.where("subject is not null and words is not null").select("subject", "words").collect()
     subjects = sorted({r["subject"] for r in topics})
     k = len(subjects)
-    src = df.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(mark).cast("string") if mark else F.lit(None).cast("string")).alias("mark"))
+    src = df.where(F.col(text).rlike(r"[^\s\p{Z}\x{1C}-\x{1F}\x{85}]")).select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(mark).cast("string") if mark else F.lit(None).cast("string")).alias("mark"))
     kind = dict(src.dtypes)["key"]
     read = settle(spread(src).mapInArrow(_read, f"key {kind}, tongue int, lengths array<int>, terms array<int>, once array<int>"))
     by_tongue = read.select("tongue", "once").mapInArrow(_spread, "tongue long, term long, n long").groupBy("tongue", "term").agg(F.sum("n").alias("n"))

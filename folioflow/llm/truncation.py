@@ -217,7 +217,7 @@ def find_cuts(df: DataFrame, key: str = "doc_number", source: str = "source", te
     """
     from folioflow.plans.lineage import settle, spread
 
-    src = df.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text"))
+    src = df.where(F.col(text).rlike(r"[^\s\p{Z}\x{1C}-\x{1F}\x{85}]")).select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text"))
     kind = dict(src.dtypes)["_key"]
     read = settle(spread(src).mapInPandas(_read, f"kind int, key {kind}, source string, verdict string, keys array<string>, length int, n_chars int, context string, ends long, seen long"))
     ends = read.where("kind = 0").select("key", "source", "verdict", "keys", "length", "n_chars").dropDuplicates(["key", "source", "n_chars", "verdict", "length"])
