@@ -93,7 +93,7 @@ def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
             by_text, by_title = matches(titles[j], texts[j], titles[i], texts[i])
             if by_text:
                 rows.append((pdf["key"].iat[j], pdf["key"].iat[i], by_title))
-    return pd.DataFrame({"day": pdf["day"].iat[0], "key": [r[0] for r in rows], "before": [r[1] for r in rows], "title": [r[2] for r in rows]})
+    return pd.DataFrame([(pdf["day"].iat[0], *r) for r in rows], columns=["day", "key", "before", "title"])
 
 
 def _titles(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,7 +117,7 @@ def _titles(pdf: pd.DataFrame) -> pd.DataFrame:
             plain.append(j)
     keys = pdf["key"].tolist()
     pairs = [(keys[j], keys[i]) for j, i in rows] + [(keys[j], None) for j in plain]
-    return pd.DataFrame({"day": pdf["day"].iat[0], "key": [p[0] for p in pairs], "before": pd.Series([p[1] for p in pairs], dtype=object)})
+    return pd.DataFrame([(pdf["day"].iat[0], *p) for p in pairs], columns=["day", "key", "before"], dtype=object)
 
 
 def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -129,7 +129,7 @@ def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = lambda links: any(k not in dropped for k in (links if links is not None else []))
         if kept(texts) and (any_title or kept(titles)):
             dropped.add(key)
-    return pd.DataFrame({"day": pdf["day"].iloc[0], "key": sorted(suspects & dropped)})
+    return pd.DataFrame([(pdf["day"].iloc[0], k) for k in sorted(suspects & dropped)], columns=["day", "key"])
 
 
 def duplicates_of_day(df: DataFrame, key: str, day: str, title: str, text: str) -> DataFrame:
