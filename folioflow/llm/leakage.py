@@ -5,9 +5,9 @@ it stand in a document with at most ``budget`` words changed, left out or put in
 cut into aligned pieces of (run + 1) // (budget + 2) words: any run of the item then holds
 budget + 1 whole pieces, one of which must stand in the document unchanged.  Pieces are hashed; a
 bitmap of fixed size over the items' pieces picks, in one scan of the documents, the places worth
-a look, and these meet the pieces in a join on the hash, each with the words around it.  Every
-run that holds the piece is then held against the document's words by Myers' bit-parallel distance,
-which alone decides.  No item and no document is gathered anywhere.
+a look, and these meet the pieces in a join on the hash, each with the words around it.  Where these
+hold enough of the item's words, every run with the piece is held against them by Myers' bit-parallel
+distance, which alone decides.  No item and no document is gathered anywhere.
 
 Texts are compared as words in one form: look-alike letters, accents, widths, invisible
 characters, case, punctuation and spacing do not count.
@@ -175,9 +175,31 @@ def least_changes(item: list[int], off: int, near: list[int], place: int, run: i
     return best
 
 
+def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as a matrix, and which of its cells are given."""
+    sizes = np.diff(column.offsets.to_numpy())
+    given = np.arange(max(1, sizes.max(initial=0))) < sizes[:, None]
+    out = np.zeros(given.shape, dtype=np.int64)
+    out[given] = column.flatten().to_numpy()
+    return out, given
+
+
+def may_hold(items: pa.Array, near: pa.Array, run: int, budget: int) -> np.ndarray:
+    """Where some run of the item has all but ``budget`` of its words, in any order, among the document's: necessary for a leak."""
+    out = np.zeros(len(items), dtype=bool)
+    for at in range(0, len(items), 4096):
+        (x, x_given), (y, y_given) = _padded(items.slice(at, 4096)), _padded(near.slice(at, 4096))
+        held = ((x[:, :, None] == y[:, None, :]) & y_given[:, None, :]).any(axis=2) & x_given
+        sums = np.cumsum(np.pad(held, ((0, 0), (1, 0))), axis=1)
+        if sums.shape[1] > run:
+            out[at : at + 4096] = (sums[:, run:] - sums[:, :-run] >= run - budget).any(axis=1)
+    return out
+
+
 def _verify(run: int, width: int, budget: int):  # noqa: ANN202
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.take(pa.array(np.flatnonzero(may_hold(batch.column(3), batch.column(5), run, budget))))
             known: dict[tuple, int] = {}
             changes = []
             for item, off, near, place in zip(*[batch.column(i).to_pylist() for i in range(3, 7)]):

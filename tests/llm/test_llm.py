@@ -197,7 +197,9 @@ def test_leaks_by_brute_force(item, doc, budget):
     bits = next(leakage._marked(iter([pieces]))).column(0)[0].as_py()
     hits = next(leakage._hits(run, width, budget, bits)(iter([pa.RecordBatch.from_pydict({"doc": pa.array([1]), "t": pa.array([" ".join(doc)])})])))
     found = any(
-        x["h"] == y["h"] and leakage.least_changes(y["words"], y["off"], x["near"], x["place"], run, width, budget) <= budget for x in hits.to_pylist() for y in pieces.to_pylist()
+        x["h"] == y["h"]
+        and leakage.may_hold(pa.array([y["words"]], pa.list_(pa.int64())), pa.array([x["near"]], pa.list_(pa.int64())), run, budget)[0]
+        and leakage.least_changes(y["words"], y["off"], x["near"], x["place"], run, width, budget) <= budget for x in hits.to_pylist() for y in pieces.to_pylist()
     )
     assert found == any(leakage.myers(item[a : a + run], doc) <= budget for a in range(len(item) - run + 1))
 
