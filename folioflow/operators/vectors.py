@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -176,30 +178,53 @@ def bounds_of(bow: DataFrame, by: str, value: str = "n", others: Column | int |
     return out.drop("_n")
 
 
+def _products(wide: int):  # noqa: ANN202
+    """Sums of products of features over a task's rows, a row of the matrix each."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gram = np.zeros((wide, wide))
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at : at + 512]
+                dense = np.zeros((len(part), wide))
+                for r, (i, v) in enumerate(zip(part["i"], part["v"])):
+                    dense[r, i] = v
+                gram += dense.T @ dense
+        yield pd.DataFrame({"row": range(wide), "sums": [g.tobytes() for g in gram]})
+
+    return add
+
+
+def _sum_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"row": [pdf["row"].iat[0]], "sums": [np.sum([np.frombuffer(x) for x in pdf["sums"]], axis=0).tobytes()]})
+
+
 def reduce_dimensions(bow: DataFrame, k: int, doc: str = "doc_id", term: str = "term_id", unit: bool = True) -> DataFrame:
     """doc and features: documents in the ``k`` greatest singular directions of the matrix, each scaled to 0..1, then to length 1.
 
-    The decomposition works on term by term products of at most as many terms as ``bow`` holds: restrict it before.
+    One pass sums up the products of features; what is decomposed is the matrix of terms by terms, so ``bow`` is to be
+    restricted to some thousand terms before.
     """
     from pyspark.ml.feature import MinMaxScaler, Normalizer
     from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
 
     from folioflow.operators.corpus import renumber
     from folioflow.plans.lineage import settle
 
     places = renumber(bow.select(term).distinct(), term, "_i")
-    rows = settle(bow.join(places, term).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct((F.col("_i") - 1).alias("i"), F.col("n").cast("double").alias("v")))).alias("c")))
+    cells = F.array_sort(F.collect_list(F.struct((F.col("_i") - 1).cast("int").alias("i"), F.col("n").cast("double").alias("v"))))
+    rows = settle(bow.join(places, term).groupBy(doc).agg(cells.alias("c")).select(doc, F.col("c.i").alias("i"), F.col("c.v").alias("v")))
     wide = places.count()
-    vectors = rows.rdd.map(lambda r: Vectors.sparse(wide, [int(x["i"]) for x in r["c"]], [x["v"] for x in r["c"]]))
-    basis = RowMatrix(vectors).computeSVD(min(k, wide), computeU=False).V.toArray()
+    gram = np.zeros((wide, wide))
+    for r in rows.select("i", "v").mapInPandas(_products(wide), "row int, sums binary").groupBy("row").applyInPandas(_sum_rows, "row int, sums binary").toLocalIterator():
+        gram[r["row"]] = np.frombuffer(r["sums"])
+    basis = np.linalg.eigh(gram)[1][:, ::-1][:, : min(k, wide)].copy()
 
     @F.pandas_udf("array<double>")
     def project(terms: pd.Series, values: pd.Series) -> pd.Series:
         return pd.Series([(v @ basis[np.asarray(i, dtype=int)]).tolist() for i, v in zip(terms, values)])
 
-    out = rows.select(doc, array_to_vector(project("c.i", "c.v")).alias("raw"))
+    out = rows.select(doc, array_to_vector(project("i", "v")).alias("raw"))
     scaled = MinMaxScaler(inputCol="raw", outputCol="features").fit(out).transform(out).select(doc, "features")
     return Normalizer(inputCol="features", outputCol="unit").transform(scaled).select(doc, F.col("unit").alias("features")) if unit else scaled
 

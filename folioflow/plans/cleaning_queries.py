@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.functions import cleaning as K
+from folioflow.plans.lineage import spread
 from folioflow.plans.vector_queries import table
 
 QUERIES: dict = {}
@@ -15,7 +16,7 @@ def _rules(name: str, rules: K.Rules, lang: str | None) -> None:
     def run(s, d):  # noqa: ANN001, ANN202
         docs = table(s, d, "documents")
         docs = docs.where(F.col("lang") == lang) if lang else docs
-        return docs.select("doc_id", K.clean(F.col("text"), rules).alias("clean"))
+        return spread(docs.select("doc_id", "text")).select("doc_id", K.clean(F.col("text"), rules).alias("clean"))
 
     run.__name__ = name
     QUERIES[name] = run

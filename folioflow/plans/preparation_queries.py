@@ -6,6 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from folioflow.functions import cleaning as K, pages, porter, porter2, text as X
 from folioflow.functions.strings import column
+from folioflow.plans.lineage import spread
 from folioflow.plans.registry import registry, table
 from folioflow.sources import vendors
 
@@ -13,7 +14,8 @@ QUERIES, ORACLES, query = registry()
 
 
 def docs(s, d):  # noqa: ANN001, ANN201
-    return table(s, d, "documents")
+    """The documents, spread over the cores: preparing texts outweighs moving them."""
+    return spread(table(s, d, "documents"))
 
 
 def _words(words: str) -> str:
@@ -163,7 +165,7 @@ def roman_marks(s, d):
 def cleaned_articles(s, d):
     """Title and text joined, in ASCII and cleaned, beside the columns that are kept."""
     one = table(s, d, "df").where("language = 'English'").select("doc_number", "year", "month", F.concat_ws(" . ", "title", "text").alias("body")).distinct()
-    return one.select("doc_number", "year", "month", K.clean(X.ascii_fold(F.col("body")), K.chain("english")).alias("text"))
+    return spread(one).select("doc_number", "year", "month", K.clean(X.ascii_fold(F.col("body")), K.chain("english")).alias("text"))
 
 
 @query(r"""WITH m AS (SELECT DISTINCT section FROM df WHERE section IS NOT NULL), t AS (SELECT section, list_filter(string_split(trim(regexp_replace(section, '[^\pL\pN]+', ' ', 'g')), ' '), lambda x: true)[-1] AS last FROM m)
