@@ -48,11 +48,11 @@ def rolling_triangle(series: DataFrame, order: str, value: str, width: int, grou
 
 def low_pass(series: DataFrame, place: str, value: str, n: Column | int, keep: int = 5, points: int = 100) -> DataFrame:
     """point, smooth: the ``keep`` lowest cosine components of a series (places 0..n-1), drawn at ``points`` places."""
-    k = series.sparkSession.range(keep).select(F.col("id").cast("int").alias("k"))
-    spectrum = series.join(F.broadcast(k)).groupBy("k").agg((2 * F.sum(F.col(value) * F.cos(math.pi * F.col("k") * (2 * F.col(place) + 1) / (2 * n)))).alias("y"))
-    grid = series.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
+    spread = series.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(keep - 1))))
+    spectrum = spread.groupBy("k").agg((2 * F.sum(F.col(value) * F.cos(math.pi * F.col("k") * (2 * F.col(place) + 1) / (2 * n)))).alias("y"))
+    drawn = spectrum.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     part = F.when(F.col("k") == 0, F.col("y")).otherwise(2 * F.col("y") * F.cos(math.pi * F.col("k") * (F.col("point") + 0.5) / points))
-    return grid.join(F.broadcast(spectrum)).groupBy("point").agg(F.sum(part).alias("smooth"))
+    return drawn.groupBy("point").agg(F.sum(part).alias("smooth"))
 
 
 def density(places: DataFrame, key: str, place: str, scale: float, width: float, points: int = 1000) -> DataFrame:

@@ -123,12 +123,12 @@ def fit_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def scale_by(df: DataFrame, bounds: DataFrame, columns: list[str], whole: bool = False) -> DataFrame:
     """Columns scaled by fitted bounds and held to 0..1, rounded to 0 or 1 where ``whole``; a column of one value is only held."""
-    out = df.crossJoin(F.broadcast(bounds))  # one row
+    out = df
     for c in columns:
-        low, width = F.col(f"{c}_low"), F.col(f"{c}_high") - F.col(f"{c}_low")
-        x = F.when(width == 0, F.col(c).cast("double")).otherwise((F.col(c) - low) / width)
+        low, high = bounds.select(f"{c}_low").scalar(), bounds.select(f"{c}_high").scalar()
+        x = F.when(high == low, F.col(c).cast("double")).otherwise((F.col(c) - low) / (high - low))
         out = out.withColumn(c, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(x) if whole else x)))
-    return out.drop(*[f"{c}_{x}" for c in columns for x in ("low", "high")])
+    return out
 
 
 def combine_features(frames: list[DataFrame], key: str, feature: str = "feature_id") -> DataFrame:

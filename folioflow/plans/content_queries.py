@@ -210,8 +210,8 @@ def uncoded_rows(s, d):
     return C.by_ids(table(s, d, "df"), table(s, d, "labels"), "doc_number", include=False).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, sentence_num, token_num, sum(1) OVER (ORDER BY doc_id, sentence_num, token_num) - 1 AS place FROM (SELECT DISTINCT doc_id, sentence_num, token_num FROM token WHERE doc_id IS NOT NULL)")
+@query("SELECT doc_id, sentence_num, token_num, row_number() OVER (ORDER BY doc_id, sentence_num, token_num) - 1 AS place FROM (SELECT DISTINCT doc_id, sentence_num, token_num FROM token WHERE doc_id IS NOT NULL)")
 def token_places(s, d):
     """The place of every token in the whole collection, in the order of articles."""
     t = table(s, d, "token").where("doc_id is not null").select("doc_id", "sentence_num", "token_num").distinct().withColumn("_k", F.struct("doc_id", "sentence_num", "token_num"))
-    return C.renumber(t, "_k", "place").select("doc_id", "sentence_num", "token_num", (F.col("place") - 1).cast("decimal(38,0)").alias("place"))
+    return C.renumber(t, "_k", "place").select("doc_id", "sentence_num", "token_num", (F.col("place") - 1).cast("long").alias("place"))

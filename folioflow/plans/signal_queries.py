@@ -153,7 +153,7 @@ _KDE = f"""n AS (SELECT term_str, count(*) AS n FROM pl GROUP BY 1), pc AS (SELE
 
 def places(s: SparkSession, d: str) -> DataFrame:
     """Places of the terms that the vocabulary's filter keeps."""
-    t = words(s, d, together=True).join(F.broadcast(vocab_quantile_filter(s, d).select("term_str")), "term_str", "left_semi")
+    t = words(s, d, together=True).join(vocab_quantile_filter(s, d).select("term_str"), "term_str", "left_semi")
     return t.join(docs(s, d), "doc_id").select("term_str", F.date_diff("day", F.lit("1999-01-01").cast("date")).alias("place"))
 
 
@@ -171,7 +171,7 @@ def peak_position(s, d):
     return curves(s, d).groupBy("term_str").agg(F.max_by("sample", F.round("density", 9)).alias("peak"))
 
 
-@query(f"WITH {_PLACES} SELECT term_str, place // {PART_DAYS} AS part_no, list_sort(list(place)) AS places FROM pl GROUP BY 1, 2")
+@query(f"WITH {_PLACES} SELECT term_str, (place // {PART_DAYS})::BIGINT AS part_no, list_sort(list(place)) AS places FROM pl GROUP BY 1, 2")
 def term_offsets(s, d):
     """Sorted places of a term, in parts of PART_DAYS days: the parts joined by part_no are its list."""
     return places(s, d).groupBy("term_str", F.floor(F.col("place") / PART_DAYS).alias("part_no")).agg(F.sort_array(F.collect_list("place")).alias("places"))
