@@ -11,7 +11,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Names of the months.
+# Names of the months, in English and other languages.
+FOREIGN_MONTHS = {
+    "français": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre", "deutsch": "januar februar märz april mai juni juli august september oktober november dezember",
+    "espanol": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre", "nederlands": "januari februari maart april mei juni juli augustus september oktober november december",
+    "dansk": "januar februar marts april maj juni juli august september oktober november december", "italiano": "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre",
+}
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
@@ -264,16 +269,23 @@ def source_dates(df: DataFrame, source: str, day: Column) -> DataFrame:
     return df.groupBy(source).agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count_distinct(day).alias("days"))
 
 
-def month_number(name: Column) -> Column:
-    """1..12 of an English month's name in any case, else null."""
+def month_names(every: bool = False) -> dict[str, int]:
+    """Numbers of the English names, or of all languages' (equal names have equal numbers)."""
+    lists = [MONTHS, *[x.split() for x in FOREIGN_MONTHS.values()]] if every else [MONTHS]
+    return {name: i + 1 for names in lists for i, name in enumerate(names)}
+
+
+def month_number(name: Column, every: bool = False) -> Column:
+    """1..12 of an English month's name (or of ``every`` language's) in any case, else null."""
     low = F.lower(F.trim(name))
-    return F.coalesce(*[F.when(low == m, F.lit(i + 1)) for i, m in enumerate(MONTHS)])
+    return F.coalesce(*[F.when(low == m, F.lit(n)) for m, n in month_names(every).items()])
 
 
-def date_of(year: Column, month: Column, day: Column) -> Column:
+def date_of(year: Column, month: Column, day: Column, every: bool = False) -> Column:
     """The date, or null where there is no such day."""
-    text = F.concat_ws("-", F.trim(year), F.lpad(month_number(month).cast("string"), 2, "0"), F.lpad(F.trim(day), 2, "0"))
-    return F.when(F.trim(year).rlike("^[0-9]{4}$") & month_number(month).isNotNull() & F.trim(day).rlike("^[0-9]{1,2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+    month_no = month_number(month, every)
+    text = F.concat_ws("-", F.trim(year), F.lpad(month_no.cast("string"), 2, "0"), F.lpad(F.trim(day), 2, "0"))
+    return F.when(F.trim(year).rlike("^[0-9]{4}$") & month_no.isNotNull() & F.trim(day).rlike("^[0-9]{1,2}$"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def text_figures(df: DataFrame, text: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioflow.functions.strings import ratio
 
+# How much of a text and a title is compared, the ratios above which they are similar, and what marks an earnings notice.
 TEXT_HEAD, TITLE_HEAD = 300, 60
 TEXT_RATIO, TITLE_RATIO = 0.9, 0.8
 EARNINGS = "reports earnings for Qtr"

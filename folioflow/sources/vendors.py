@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.operators.dedup import delivered_again
-from folioflow.operators.corpus import MONTHS, date_of, fill_forward, word_count
+from folioflow.operators.corpus import MONTHS, date_of, fill_forward, month_names, word_count
 
 SCHEMA = "path string, seq int, vendor_id string, publication string, date_line string, title string, edition string, text string, meta map<string,string>"
-# Sources that are left out, and how long a part of a text may be.
+# Sources that are left out, how long a part of a text may be, the notice of missing rights, and the sources of one country.
 SKIPPED_SOURCES = ("blogs", ".co", "law")
 PART_LENGTH = 32_600
 NO_RIGHTS = "voor dit artikel geen publicatierecht"
@@ -214,10 +214,10 @@ def articles(parsed: DataFrame, fill: bool = False) -> DataFrame:
     list of skipped ones and notices without rights are left out.
     """
     out = fill_forward(parsed, ["path"], ["seq"], ["publication", "date_line"]) if fill else parsed
-    month = "(?i)(" + "|".join(MONTHS) + ")"
+    month = r"(?iu)(?<!\pL)(" + "|".join(sorted(month_names(every=True), key=len, reverse=True)) + r")(?!\pL)"
     line = F.col("date_line")
     name = F.regexp_extract(line, month, 1)
-    day = F.coalesce(F.nullif(F.regexp_extract(line, month + r"\.? (\d{1,2})\b", 2), F.lit("")), F.regexp_extract(line, r"\b(\d{1,2})\.? " + month, 1))
+    day = F.coalesce(F.nullif(F.regexp_extract(line, month + r"\.? (\d{1,2})\b", 2), F.lit("")), F.regexp_extract(line, r"\b(\d{1,2})(?:\.|er|º)?(?: de)? " + month, 1))
     year = F.regexp_extract(line, r"\b((?:18|19|20)\d\d)\b", 1)
-    out = out.withColumn("published", date_of(year, name, day)).withColumn("weekday", F.date_format("published", "EEEE")).withColumn("length", word_count("title", "text"))
+    out = out.withColumn("published", date_of(year, name, day, every=True)).withColumn("weekday", F.date_format("published", "EEEE")).withColumn("length", word_count("title", "text"))
     return delivered_again(without_rights(out.where(~skipped(F.col("publication")))), "path", "published", "seq", "title", "text")

@@ -1,4 +1,5 @@
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from folioflow.functions.porter import stem
 from folioflow.sources import vendors as V
@@ -89,3 +90,25 @@ def test_split_joins(text, size):
 
 def test_stems():
     assert [stem(w) for w in ("caresses", "ponies", "relational", "hopping", "agreed", "electrical", "controlling")] == ["caress", "poni", "relat", "hop", "agre", "electr", "control"]
+
+
+def test_running_numbers_over_all_files(spark):
+    rows = [("b/LN/x.txt", 0), ("a/LN/y.txt", 1), ("a/LN/y.txt", 0), ("b/LN/x.txt", 11), ("b/LN/x.txt", 2)]
+    df = spark.createDataFrame(rows, "path string, seq int")
+    got = {(r.path, r.seq): r.doc_nr for r in V.numbered(df).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(rows))}
+    assert V.numbered(df.limit(0)).count() == 0
+
+
+def test_sources_left_out(spark):
+    df = spark.createDataFrame([("New York Times",), ("Daily Blogs",), ("x.com",), ("Law Review",), ("Elsewhere",), (None,)], "s string")
+    got = [tuple(r) for r in df.select(V.skipped(F.col("s")), V.skipped(F.col("s"), V.US_SOURCES)).collect()]
+    assert got == [(False, False), (True, True), (True, True), (True, True), (False, True), (False, False)]
+
+
+def test_dates_in_seven_languages(spark):
+    lines = ["May 11, 2001 Friday", "le 3 août 1999", "11. März 2000", "3 de mayo de 2001", "4 maart 2002", "1. maj 1999", "2 febbraio 2000", "1er juin 2001", "Marchall 2001", None, "31 febbraio 2000"]
+    want = ["2001-05-11", "1999-08-03", "2000-03-11", "2001-05-03", "2002-03-04", "1999-05-01", "2000-02-02", "2001-06-01", None, None, None]
+    parsed = spark.createDataFrame([("p", i, None, "The Post", x, "title", None, f"text {i}", None) for i, x in enumerate(lines)], V.SCHEMA)
+    got = {r.seq: r.published and str(r.published) for r in V.articles(parsed).collect()}
+    assert [got[i] for i in range(len(lines))] == want
