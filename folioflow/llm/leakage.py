@@ -19,6 +19,7 @@ items with equal passages are all reported; repeated rows give one result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,7 +135,7 @@ def _pieces(run: int, width: int):  # noqa: ANN202
 
 def _hits(run: int, width: int, budget: int, bitmap: bytes):  # noqa: ANN202
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap, dtype=np.uint8)
+        bits = np.frombuffer(zlib.decompress(bitmap), dtype=np.uint8)
         for batch in batches:
             owner, w = word_hashes(batch.column(1))
             rolled = _rolled(w, width)
@@ -157,11 +158,11 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def piece_bitmap(pieces: DataFrame) -> bytes:
-    """2 ** BITMAP_BITS bits, whatever the number of items, of which those of the pieces' hashes are set."""
+    """2 ** BITMAP_BITS bits, whatever the number of items, of which those of the pieces' hashes are set; compressed."""
     bits = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
     for r in pieces.select("h").coalesce(4).mapInArrow(_marked, "bits binary").toLocalIterator():
         bits |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return bits.tobytes()
+    return zlib.compress(bits.tobytes(), 1)
 
 
 def least_changes(item: list[int], off: int, near: list[int], place: int, run: int, width: int, budget: int) -> int:

@@ -2,6 +2,7 @@ import math
 import random
 import re
 import unicodedata
+import zlib
 
 import numpy as np
 import pytest
@@ -195,7 +196,7 @@ def test_leaks_by_brute_force(item, doc, budget):
     kind = {"item": pa.array([7]), "t": pa.array([" ".join(item)])}
     pieces = next(leakage._pieces(run, width)(iter([pa.RecordBatch.from_pydict(kind)])))
     bits = next(leakage._marked(iter([pieces]))).column(0)[0].as_py()
-    hits = next(leakage._hits(run, width, budget, bits)(iter([pa.RecordBatch.from_pydict({"doc": pa.array([1]), "t": pa.array([" ".join(doc)])})])))
+    hits = next(leakage._hits(run, width, budget, zlib.compress(bits))(iter([pa.RecordBatch.from_pydict({"doc": pa.array([1]), "t": pa.array([" ".join(doc)])})])))
     found = any(
         x["h"] == y["h"]
         and leakage.may_hold(pa.array([y["words"]], pa.list_(pa.int64())), pa.array([x["near"]], pa.list_(pa.int64())), run, budget)[0]
