@@ -75,25 +75,30 @@ def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
     low, high = pdf["x"].iat[0], pdf["y"].iat[0]
     titles, texts, blocks = pdf["title"].tolist(), pdf["text"].tolist(), pdf["b"].to_numpy()
     rows = []
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for j in range(1, len(pdf)):
-        before = np.arange(j)
-        if low != high:
-            before = before[blocks[:j] != blocks[j]]
-        if not len(before):
-            continue
-        special = not texts[j] or EARNINGS in titles[j]
-        if not special:
-            n = min(TEXT_HEAD, len(texts[j]))
-            if n not in by_length:
-                heads = [t[:n] for t in texts]
-                by_length[n] = _letters(heads), np.array([len(t) for t in heads])
-            letters, sizes = by_length[n]
-            before = before[_may_be(letters[j], n, letters[before], sizes[before], TEXT_RATIO)]
+
+    def compare(j: int, before: np.ndarray) -> None:
         for i in before.tolist():
             by_text, by_title = matches(titles[j], texts[j], titles[i], texts[i])
             if by_text:
                 rows.append((pdf["key"].iat[j], pdf["key"].iat[i], by_title))
+
+    def earlier(j: int) -> np.ndarray:
+        before = np.arange(j)
+        return before if low == high else before[blocks[:j] != blocks[j]]
+
+    by_length: dict[int, list[int]] = {}
+    for j in range(1, len(pdf)):
+        if not texts[j] or EARNINGS in titles[j]:
+            compare(j, earlier(j))
+        else:
+            by_length.setdefault(min(TEXT_HEAD, len(texts[j])), []).append(j)
+    # articles of one length are compared over as many characters of all: one table of letters at a time
+    for n, those in by_length.items():
+        heads = [t[:n] for t in texts]
+        letters, sizes = _letters(heads), np.array([len(t) for t in heads])
+        for j in those:
+            before = earlier(j)
+            compare(j, before[_may_be(letters[j], n, letters[before], sizes[before], TEXT_RATIO)])
     return pd.DataFrame([(pdf["day"].iat[0], *r) for r in rows], columns=["day", "key", "before", "title"])
 
 
