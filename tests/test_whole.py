@@ -83,3 +83,19 @@ def test_networks_take_every_term_of_the_filtered_vocabulary(spark, tmp_path):
         assert np.allclose(pair, (np.trapezoid(np.minimum(m[a], m[b])), np.corrcoef(m[a], m[b])[0, 1]), atol=1e-6)
     near = SQ.friends(spark, d).groupBy("x").count().collect()
     assert {(r.x, r["count"]) for r in near} == {(w, 10) for w in names} and SQ.top_edges(spark, d).count() == 91
+
+
+def test_doc_cosine_of_every_article(spark, tmp_path):
+    import numpy as np
+
+    # ids of which few are divisible by 50; w0 stands in every article and weighs nothing
+    articles = {i: [" ".join(["w0"] + [f"w{k}" for k in range(1, 15) for _ in range((i * 7 + k * 5) % 6 - 3)])] for i in [*range(1, 30), 50]}
+    d = tokens(spark, tmp_path, articles, dict.fromkeys(articles, (2001, 1, 1)))
+    bags = {i: [x[0].split().count(f"w{k}") for k in range(15)] for i, x in articles.items()}
+    n = np.array(list(bags.values()), dtype=float)
+    f = n / n.sum(1, keepdims=True) * np.log10(len(n) / np.maximum(1, (n > 0).sum(0)))
+    u = f / np.linalg.norm(f, axis=1, keepdims=True)
+    want = {(x, y): c for x, row in zip(bags, u @ u.T) for y, c in zip(bags, row) if x != y and c > 0.1000001}
+    got = {(r.doc_x, r.doc_y): r.cosine for r in VQ.doc_cosine(spark, d).collect()}
+    assert set(got) == set(want) and any(x % 50 for x, _ in want)
+    assert all(abs(got[p] - c) < 1e-6 for p, c in want.items())
