@@ -63,6 +63,25 @@ def test_reduced_dimensions(spark):
         assert np.allclose(got[:, j], want[:, j], atol=1e-6) or np.allclose(got[:, j], 1 - want[:, j], atol=1e-6)
 
 
+def test_cosines_by_blocks_shuffle_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    m = rng.integers(0, 4, (60, 300)) * (rng.random((60, 300)) < 2 / np.arange(1, 301) ** 0.5)
+    m[:, 0], m[7, 1:] = 1, 0  # a term of all documents weighs nothing; document 7 has no other
+    bow = spark.createDataFrame([(i, j, int(v)) for i, r in enumerate(m) for j, v in enumerate(r) if v], "doc_id long, term_id int, n long").repartition(3, "doc_id")
+    f = m * np.log10(60 / np.maximum(1, (m > 0).sum(0)))
+    with np.errstate(invalid="ignore"):
+        u = f / np.linalg.norm(f, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 6)
+    for size in (7, 2048):
+        out = V.cosines(bow, 0.1000001, 6, size=size)
+        assert "hashpartitioning(doc_x" not in out._jdf.queryExecution().toString()
+        rows = out.collect()
+        got = {(r.doc_x, r.doc_y): r.cosine for r in rows}
+        assert len(rows) == len(got) and set(got) == {(x, y) for x in range(60) for y in range(60) if x != y and not c[x, y] <= 0.1}
+        assert all(np.isclose(got[p], c[p], atol=1.1e-6, equal_nan=True) for p in got)
+        assert np.isnan(got[7, 3]) and np.isnan(got[3, 7])
+
+
 def test_merges(spark):
     a = spark.createDataFrame([(1, 0, "x"), (1, 1, "z"), (2, 0, "y")], "k int, p int, v string")
     b = spark.createDataFrame([(1, 0, 5), (2, 0, 6), (2, 1, 7)], "k int, p int, v int")
