@@ -90,15 +90,29 @@ def lookup(df: DataFrame, key: str, table: DataFrame, value: str, missing: int =
 # ---- features of texts: fitted on one part, applied to another -----------------------------------------------------
 
 
-def count_features(df: DataFrame, key: str, text: str, shortest: int = 1, longest: int = 1, binary: bool = False) -> DataFrame:
-    """key, feature, n: runs of words of at least two letters, digits or underscores, in lower case."""
+def feature_rows(df: DataFrame, key: str, text: str, shortest: int = 1, longest: int = 1) -> DataFrame:
+    """key, feature at every place: runs of words of at least two letters, digits or underscores, in lower case."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) > 1)
     runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    rows = df.select(key, words.alias("w")).select(key, F.explode(F.flatten(F.array(*[runs(n) for n in range(shortest, longest + 1)]))).alias("feature"))
-    out = rows.groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(key, words.alias("w")).select(key, F.explode(F.flatten(F.array(*[runs(n) for n in range(shortest, longest + 1)]))).alias("feature"))
+
+
+def count_features(df: DataFrame, key: str, text: str, shortest: int = 1, longest: int = 1, binary: bool = False) -> DataFrame:
+    """key, feature, n of all features (``feature_rows``)."""
+    out = feature_rows(df, key, text, shortest, longest).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
     return out.withColumn("n", F.lit(1).cast("long")) if binary else out
 
 
+def count_fitted(df: DataFrame, key: str, text: str, fitted: DataFrame, shortest: int = 1, longest: int = 1) -> DataFrame:
+    """key, feature_id, n of the fitted features alone; the others are dropped where they are found, before anything is counted.
+
+    The fitted features are sent to the texts: each is in a share ``least`` of the training documents, so there are at most
+    1 / ``least`` times as many as a training document has on the average, however many documents there are.
+    """
+    rows = feature_rows(df, key, text, shortest, longest).join(F.broadcast(fitted.select("feature", "feature_id")), "feature")
+    return rows.groupBy(key, "feature_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def fit_features(counts: DataFrame, docs: Column | int, least: float, most: float, key: str) -> DataFrame:
     """feature, feature_id (from 0, by name) and df of the features in at least a share ``least`` and at most ``most`` of the documents."""
     from folioflow.operators.corpus import renumber
@@ -132,13 +146,17 @@ def scale_by(df: DataFrame, bounds: DataFrame, columns: list[str], whole: bool =
     return out
 
 
-def combine_features(frames: list[DataFrame], key: str, feature: str = "feature_id") -> DataFrame:
-    """Feature sets of the same keys side by side: the k-th set's features come behind those of the sets before it."""
+def combine_features(frames: list[DataFrame], key: str, feature: str = "feature_id", fitted: dict[int, DataFrame] | None = None) -> DataFrame:
+    """Feature sets of the same keys side by side: the k-th set's features come behind those of the sets before it.
+
+    fitted: by a set's place the features that it was fitted with, each of which occurs in it; so its counts need not be made to number them.
+    """
     from functools import reduce
 
-    wide = [f.agg(F.coalesce(F.max(feature), F.lit(-1)) + 1).scalar() for f in frames]
+    named = [(fitted or {}).get(k, f) for k, f in enumerate(frames[:-1])]
+    wide = [f.agg(F.coalesce(F.max(feature), F.lit(-1)) + 1).scalar() for f in named]
     out, offset = [], F.lit(0)
-    for f, n in zip(frames, wide):
+    for f, n in zip(frames, [*wide, F.lit(0)]):
         out.append(f.withColumn(feature, F.col(feature) + offset))
         offset = offset + n
     return reduce(DataFrame.unionByName, out)

@@ -81,9 +81,10 @@ def scaled_by_train(s, d):
 @query(f"WITH {_COUNTS}, a AS (SELECT doc_number, feature_id, n FROM c JOIN v USING (feature)), o AS (SELECT (SELECT max(feature_id) FROM a) + 1 AS o) SELECT doc_number, feature_id, n::BIGINT AS n FROM a UNION ALL SELECT doc_number, feature_id + o, length(text)::BIGINT FROM (SELECT doc_number, 0 AS feature_id, text FROM x), o")
 def features_combined(s, d):
     """Words and, behind them, the length as one more feature."""
-    every, fit = fitted(s, d)
-    words = V.apply_features(every, fit).select("doc_number", "feature_id", "n")
-    return V.combine_features([words, texts(s, d).select("doc_number", F.lit(0).cast("long").alias("feature_id"), F.length("text").cast("long").alias("n"))], "doc_number")
+    fit = fitted(s, d)[1]
+    words = V.count_fitted(texts(s, d), "doc_number", "text", fit, 1, 2)
+    length = texts(s, d).select("doc_number", F.lit(0).cast("long").alias("feature_id"), F.length("text").cast("long").alias("n"))
+    return V.combine_features([words, length], "doc_number", fitted={0: fit})
 
 
 @query(f"WITH {_B} SELECT term_id, CASE WHEN count(*) < (SELECT count(DISTINCT doc_id) FROM b) THEN 0 ELSE min(n) END AS low, max(n) AS high FROM b GROUP BY 1")

@@ -45,6 +45,26 @@ def test_features(spark):
     assert V.count_features(df.limit(0), "k", "t").count() == 0
 
 
+def test_features_combined_shuffles_no_features(spark, tmp_path):
+    from folioflow.plans import feature_queries as FQ
+
+    texts = {1: "The bank, the river", 2: "a bank of the river", 3: None, 4: "", 5: "Bank of bank of the west", 6: "no such words"}
+    rows = [(k, t, load) for k, t in texts.items() for load in ([1] if k != 5 else [1, 2])]
+    spark.createDataFrame(rows, "doc_number long, text string, load_ts long").write.parquet(f"{tmp_path}/df.parquet")
+    spark.createDataFrame([(k, "law", 1) for k in (1, 2, 2, 3, 4, 9)], "doc_number long, subject string, rater int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for large tables
+    try:
+        out = FQ.features_combined(spark, str(tmp_path))
+        assert "hashpartitioning(feature#" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = sorted((r.doc_number, r.feature_id, r.n) for r in out.collect())
+    # rated and with a text: 1, 2 and 4; a feature in one of them is fitted, in two of them in more than half
+    fit = ["bank of", "bank the", "of", "of the", "the bank"]
+    held = {1: {"bank the": 1, "the bank": 1}, 2: {"bank of": 1, "of": 1, "of the": 1}, 5: {"bank of": 2, "of": 2, "of the": 1}}
+    assert got == sorted([(k, fit.index(f), n) for k, x in held.items() for f, n in x.items()] + [(k, 5, len(t)) for k, t in texts.items() if t is not None])
+
+
 def test_scaling(spark):
     train = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     data = spark.createDataFrame([(0.0, 0.3), (2.0, 7.0), (9.0, None)], "a double, b double")
